@@ -30,7 +30,7 @@ from .common import stage
 
 #: Lower-cases A-Z and blanks every other ASCII byte that is no letter or digit.
 _TABLE = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
-_WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.ASCII)
+_WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 
 
 def normal_words(text: str | None) -> list[bytes]:
