@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import stage
+from .tokens import worker_memory
 
 class WordIds(dict):
     """Word -> its token ids as little-endian unsigned 32-bit bytes; forgets all beyond ``limit`` words.
@@ -32,7 +33,7 @@ class WordIds(dict):
     unseen words are encoded without them, many in one call with a special token between.
     """
 
-    def __init__(self, vocabulary: str, limit: int = 500_000):
+    def __init__(self, vocabulary: str, limit: int = 1_000_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -102,7 +103,10 @@ def token_pieces(docs: DataFrame, vocabulary: str, key: str = "doc_id", text: st
     end = np.asarray([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = WordIds(vocabulary)
+        memory = worker_memory()
+        if (place := f"word ids {vocabulary}") not in memory:
+            memory[place] = WordIds(vocabulary)
+        cache = memory[place]
         for batch in batches:
             for at in range(0, batch.num_rows, 1000):
                 part = batch.slice(at, 1000)
