@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("quality", "decontaminate", "packing", "chat")
+MODULES = ("quality", "decontaminate", "language", "packing", "chat", "licenses")
 
 
 def queries() -> dict:
