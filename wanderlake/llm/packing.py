@@ -26,11 +26,19 @@ from pyspark.sql import types as T
 from .common import stage
 from .tokens import worker_memory
 
+def _byte_letters() -> str:
+    """The character that stands for each byte in byte-level vocabularies: itself where printable, else from 256 on."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = iter(range(256, 512))
+    return "".join(chr(b if b in plain else next(others)) for b in range(256))
+
+
 class WordIds(dict):
     """Word -> its token ids as little-endian unsigned 32-bit bytes; forgets all beyond ``limit`` words.
 
     Case and one last comma or full stop behind a letter never change the rest of a word's ids, so
-    unseen words are encoded without them, many in one call with a special token between.
+    unseen words are encoded without them; words of letters alone are one piece of the vocabulary's
+    own pattern and go to its merges directly, all others through the whole tokenizer.
     """
 
     def __init__(self, vocabulary: str, limit: int = 1_000_000):
@@ -38,59 +46,40 @@ class WordIds(dict):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.limit = Tokenizer.from_file(vocabulary), limit
-        special = [(k, v.content) for k, v in self.tokenizer.get_added_tokens_decoder().items() if v.special]
-        self.mark_id, self.mark = (special[-1][0], special[-1][1].encode()) if special else (-1, b"")
-        known = self.tokenizer.get_vocab()
-        self.is_end = np.zeros(max(known.values()) + 1, bool)
-        self.is_end[[k for w, k in known.items() if w.endswith("</w>")]] = True
+        self.letters = _byte_letters()
         self.ends = {c: self._alone(c) for c in (b",", b".")}
 
     def _alone(self, word: bytes) -> bytes:
         return np.asarray(self.tokenizer.encode(word.decode(), add_special_tokens=False).ids, "<u4").tobytes()
 
-    def _spaced(self, words: list[bytes]) -> None:
-        """Adds ids of words of letters alone: each is one piece, whose last token is an end token."""
-        ids = np.asarray(self.tokenizer.encode_batch_fast([b" ".join(words).decode()], add_special_tokens=False)[0].ids, "<u4")
-        self._cut(words, ids, np.flatnonzero(self.is_end[ids]) + 1, 0)
-
-    def _marked(self, words: list[bytes]) -> None:
-        """Adds ids of any words without the special token in them."""
-        ids = np.asarray(self.tokenizer.encode_batch_fast([self.mark.join(words).decode()], add_special_tokens=False)[0].ids, "<u4")
-        self._cut(words, ids, np.append(np.flatnonzero(ids == self.mark_id), len(ids)), 1)
-
-    def _cut(self, words: list[bytes], ids: np.ndarray, past: np.ndarray, gap: int) -> None:
-        raw, first = ids.tobytes(), np.concatenate([[0], past[:-1] + gap])
-        self.update(zip(words, (raw[a:b] for a, b in zip((first * 4).tolist(), (past * 4).tolist(), strict=True)), strict=True))
-
-    def _learn(self, words: list[bytes]) -> None:
-        """Adds ids of unseen words."""
-        letters, others = [], []
-        for w in words:
-            (letters if w.isalpha() or not w.isascii() and (s := w.decode()).isalpha() and max(s) < "\u0100" else others).append(w)
-        for at in range(0, len(letters), 5000):
-            self._spaced(letters[at : at + 5000])
-        plain = [w for w in others if self.mark and b"<|" not in w]
-        for at in range(0, len(plain), 5000):
-            self._marked(plain[at : at + 5000])
-        for w in others:
-            if w not in self:
-                self[w] = self._alone(w)
+    def _core(self, word: bytes) -> bytes:
+        """The ids of a word without last comma or full stop."""
+        found = self.get(word)
+        if found is None:
+            if word.isalpha():
+                pieces = self.tokenizer.model.tokenize(word.decode("ascii").lower())
+            elif not word.isascii() and (s := word.decode()).isalpha() and max(s) < "\u0100":
+                pieces = self.tokenizer.model.tokenize(s.lower().encode().decode("latin-1").translate(self.letters))
+            else:
+                pieces = None
+            found = self._alone(word) if pieces is None else b"".join([p.id.to_bytes(4, "little") for p in pieces])
+            self[word] = found
+        return found
+
+    def __missing__(self, word: bytes) -> bytes:
+        core, last = word.lower() if word.isascii() else word, word[-1:]
+        if last in self.ends and core[-2:-1].isalpha():
+            self[word] = found = self._core(core[:-1]) + self.ends[last]
+        else:
+            self[word] = found = self._core(core)
+        return found
 
     def encode(self, texts: list[str | None], end: bytes) -> list[bytes]:
         """The ids of each text and then ``end``."""
-        words = [(t.lower() if t.isascii() else t).encode().split() if t else [] for t in texts]
         if len(self) > self.limit:
             self.clear()
-        cores, ends = {}, self.ends
-        for w in set().union(*words).difference(self):
-            core = w.lower() if w.isascii() else w
-            last = core[-1:] if core[-1:] in ends and core[-2:-1].isalpha() else b""
-            cores[w] = (core[:-1] if last else core, last)
-        self._learn(list({core for core, _ in cores.values()}.difference(self)))
-        for w, (core, last) in cores.items():
-            self[w] = self[core] + ends[last] if last else self[core]
         get = self.__getitem__
-        return [b"".join(map(get, ws)) + end for ws in words]
+        return [b"".join(map(get, (t.lower() if t.isascii() else t).encode().split())) + end if t else end for t in texts]
 
 
 def token_pieces(docs: DataFrame, vocabulary: str, key: str = "doc_id", text: str = "text", capacity: int = 2048, end_id: int = 0, with_ids: bool = False) -> DataFrame:
