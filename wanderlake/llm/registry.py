@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("quality", "decontaminate", "language", "packing", "chat", "licenses", "jaccard")
+MODULES = ("quality", "warc", "decontaminate", "language", "packing", "chat", "licenses", "jaccard")
 
 
 def queries() -> dict:
