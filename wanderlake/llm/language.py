@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import in_fold
+from .common import in_fold, stage
 from .tokens import TokenTable
 
 _LETTERS = re.compile(r"[^\W\d_]+")
@@ -237,6 +237,9 @@ def fit_languages(docs: DataFrame, lang: str = "lang", text: str = "text", order
     known = docs.filter(F.col(lang).isNotNull()).select(F.col(lang).alias("lang"), F.col(text).alias("text"))
     parts = known.groupBy("lang").agg((F.lit(1e6) * F.least(F.lit(1.0), F.lit(max_docs) / F.count(F.lit(1)))).alias("part"))
     spot = F.xxhash64("text")
+    # One row per language, so few; beyond a count that holds for languages, Spark picks the join.
+    parts = stage(parts, "languages")
+    parts = F.broadcast(parts) if parts.count() <= 10_000 else parts
     sample = known.join(parts, "lang").filter(F.col("text").isNotNull() & (F.pmod(spot, F.lit(1_000_000)) < F.col("part"))).select("lang", "text", (F.pmod(F.xxhash64(spot), F.lit(10)) == 0).alias("held"))
     sample = sample.persist()
     counts: dict[str, dict[str, int]] = {}
