@@ -8,6 +8,11 @@ from pyspark.sql import functions as F
 from .common import stage
 
 
+def _few(df: DataFrame, rows: int, each: int = 100_000) -> DataFrame:
+    """Small tables in few files: what is known to be ``rows`` rows at most, in as many parts as that takes."""
+    return df.coalesce(max(1, -(-rows // each)))
+
+
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """id, root (the smallest id reachable) for every id that has a link.
 
@@ -15,14 +20,15 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     root, so paths halve; each round is written, and rounds end when no root changes.
     """
     both = links.select(F.col(a).alias("u"), F.col(b).alias("v")).union(links.select(F.col(b), F.col(a)))
-    edges = stage(both.filter("u != v").distinct(), "edges")
-    found = stage(edges.groupBy("u").agg(F.min("v").alias("v")).select(F.col("u").alias("id"), F.least("u", "v").alias("root")), "roots")
+    size = 2 * links.count()
+    edges = stage(_few(both.filter("u != v").distinct(), size), "edges")
+    found = stage(_few(edges.groupBy("u").agg(F.min("v").alias("v")).select(F.col("u").alias("id"), F.least("u", "v").alias("root")), size), "roots")
     while True:
         near = edges.join(found, edges["u"] == found["id"]).groupBy("v").agg(F.min("root").alias("near"))
         step = found.join(near, found["id"] == near["v"], "left").select("id", F.col("root").alias("old"), F.least("root", "near").alias("root"))
         up = found.select(F.col("id").alias("_id"), F.col("root").alias("_up"))
         step = step.join(up, step["root"] == up["_id"], "left").select("id", "old", F.least("root", "_up").alias("root"))
-        step = stage(step, "roots")
+        step = stage(_few(step, size), "roots")
         found = step.select("id", "root")
         if step.filter("root != old").isEmpty():
             return found

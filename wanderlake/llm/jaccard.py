@@ -31,17 +31,29 @@ from pyspark.sql import types as T
 
 from .common import stage
 from .components import components
-from .tokens import TokenTable
 
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
-def _word_hashes(words: list[bytes]) -> np.ndarray:
-    import xxhash
+class WordHashes(dict):
+    """Word -> 64-bit hash of its lower-cased form; forgets all beyond ``limit`` words."""
 
-    h = xxhash.xxh3_64_intdigest
-    return np.array([h(w.translate(_LOWER)) for w in words], np.uint64).reshape(-1, 1)
+    def __init__(self, limit: int = 300_000):
+        import xxhash
+
+        self.hash, self.limit = xxhash.xxh3_64_intdigest, limit
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = h = self.hash(word.translate(_LOWER))
+        return h
+
+    def of(self, text: str | None) -> np.ndarray:
+        """The hashes of a text's words, in order."""
+        if len(self) > self.limit:
+            self.clear()
+        words = text.encode("utf-8", "surrogatepass").split() if text else []
+        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
 
 
 def _shingles(words: np.ndarray, size: int) -> np.ndarray:
@@ -63,8 +75,11 @@ def prefix_length(n: int, percent: int) -> int:
 
 
 def _width(n: np.ndarray) -> np.ndarray:
-    """Bits of the bitmap of a set of n: the next power of two, 64 to 32768."""
-    return 1 << np.clip(np.ceil(np.log2(np.maximum(n, 1))), 6, 15).astype(np.int64)
+    """Bits of the bitmap of a set of n: the next power of two from 3 n on, 64 to 65536.
+
+    The more bits, the fewer shingles share one, and the closer the possible overlap is to the true one.
+    """
+    return 1 << np.clip(np.ceil(np.log2(3 * np.maximum(n, 1))), 6, 16).astype(np.int64)
 
 
 def _bitmap(values: np.ndarray) -> bytes:
@@ -81,7 +96,7 @@ def common_shingles(docs: DataFrame, text: str, size: int, local: int = 3, least
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = TokenTable(1, _word_hashes, np.uint64)
+        hashes = WordHashes()
         held, count = [], 0
 
         def counted() -> pa.RecordBatch:
@@ -91,12 +106,12 @@ def common_shingles(docs: DataFrame, text: str, size: int, local: int = 3, least
 
         for batch in batches:
             for at in range(0, batch.num_rows, 1000):
-                for rows in table.rows(batch.slice(at, 1000).column(0).to_pylist()):
-                    held.append(_shingles(table.matrix[rows, 0], size))
+                for said in batch.slice(at, 1000).column(0).to_pylist():
+                    held.append(_shingles(hashes.of(said), size))
                     count += len(held[-1])
-            if count > 4_000_000:
-                yield counted()
-                held, count = [], 0
+                if count > 3_000_000:
+                    yield counted()
+                    held, count = [], 0
         if held:
             yield counted()
 
@@ -114,14 +129,14 @@ def shingle_sets(docs: DataFrame, key: str, text: str, size: int, percent: int,
         schema.add("bitmap", T.BinaryType())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = TokenTable(1, _word_hashes, np.uint64)
+        hashes = WordHashes()
         seen: set[bytes] = set()
         for batch in batches:
             for at in range(0, batch.num_rows, 1000):
                 part = batch.slice(at, 1000)
                 n, digests, lists, bitmaps = [], [], [], []
-                for rows in table.rows(part.column(1).to_pylist()):
-                    own = np.unique(_shingles(table.matrix[rows, 0], size))
+                for said in part.column(1).to_pylist():
+                    own = np.unique(_shingles(hashes.of(said), size))
                     digest = hashlib.blake2b(own.tobytes(), digest_size=16).digest()
                     n.append(len(own))
                     digests.append(digest)
@@ -132,7 +147,7 @@ def shingle_sets(docs: DataFrame, key: str, text: str, size: int, percent: int,
                         lists.append(None)
                         bitmaps.append(None)
                         continue
-                    if len(seen) > 500_000:
+                    if len(seen) > 200_000:
                         seen.clear()
                     seen.add(digest)
                     late = np.zeros(len(own), bool)
@@ -317,46 +332,50 @@ def _verified(pairs: DataFrame, entries: DataFrame, docs: DataFrame, key: str, t
     wanted = stage(entries.join(ids, "id").select("id", F.col("key").alias("_key"), F.col("digest").alias("_digest")), "wanted")
     few = wanted.select("_key").distinct()
     if wanted.count() <= small:
-        few = F.broadcast(few)
+        few, wanted = F.broadcast(few), F.broadcast(wanted)
     again = docs.select(key, text).join(few, F.col(key).eqNullSafe(F.col("_key")), "left_semi")
     sets = shingle_sets(again, key, text, size, percent, None)
+    # Both joins below read this one exchange by id.
     sets = sets.join(wanted, sets["key"].eqNullSafe(wanted["_key"]) & (sets["digest"] == wanted["_digest"])).select("id", "shingles").dropDuplicates(["id"])
-    sets = stage(sets, "sets")
     one = pairs.select("a", "b").join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("p")), "a")
     two = one.join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("q")), "b")
     both = F.size(F.array_intersect("p", "q"))
     return stage(two.select("a", "b", (F.lit(100) * both >= F.lit(percent) * (F.size("p") + F.size("q") - both)).alias("linked")), "verified")
 
 
-def near_duplicate_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 4, percent: int = 85, block: int = 4000) -> DataFrame:
+def near_duplicate_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 4, percent: int = 85, block: int = 4000, small: int = 500_000) -> DataFrame:
     """key, n_shingles, component_id (smallest key of the class), one row per row of ``docs``."""
     common = common_shingles(docs, text, size)
     made = shingle_sets(docs, key, text, size, percent, common).withColumn("id", F.monotonically_increasing_id())
     made = stage(made, "shingles")
-    # An id of each distinct set: that of its first row, which has the prefix.
-    first = made.filter("n > 0").groupBy("digest").agg(F.min("id").alias("entry"))
-    joined = made.join(first, "digest", "left")
-    entries = stage(joined.filter("id = entry").select("id", "key", "digest", "n", "shingles", "bitmap"), "entries")
+    # An entry is the first row of a distinct set; of the rows that tasks have kept, others are left out.
+    slim = made.select("id", "key", "n", "digest", F.col("bitmap").isNotNull().alias("kept"))
+    first = slim.filter("n > 0").groupBy("digest").agg(F.min("id").alias("entry"))
+    owned = stage(slim.join(first, "digest", "left").select("id", "key", "n", "kept", "entry"), "owned")
+    extra = owned.filter("kept and id != entry").select("id")
+    extra = F.broadcast(extra) if extra.count() <= small else extra
+    entries = made.filter("bitmap is not null").join(extra, "id", "left_anti").select("id", "key", "digest", "n", "shingles", "bitmap")
     rows = entries.select("id", "n", F.explode("shingles").alias("token"))
-    meets = stage(rows.selectExpr("token", "id", "n", "count(*) over (partition by token) as df").filter("df > 1"), "meets")
+    # A row stays where its bucket has another of a size within reach.
+    rows = rows.selectExpr("token", "id", "n", "count(*) over (partition by token) as df", "lag(n) over (partition by token order by n, id) as below", "lead(n) over (partition by token order by n, id) as above")
+    meets = stage(rows.filter(f"100 * below >= {percent} * n or 100 * n >= {percent} * above").select("token", "id", "n", "df"), "meets")
     bits = entries.select("id", "bitmap")
     pairs = stage(tree_pairs(_blocks(meets.withColumn("label", F.col("id")), block).join(bits, "id"), percent, True), "pairs")
     tried = _verified(pairs.filter("a is not null").select("a", "b").distinct(), entries, docs, key, text, size, percent)
     links = tried.filter("linked").select("a", "b")
+    roots = components(links)
     marked = pairs.filter("token is not null").select("token").distinct()
     if not marked.isEmpty() and not tried.filter("not linked").isEmpty():
-        roots = components(links)
         again = meets.join(marked, "token", "left_semi").join(roots, "id", "left").select("token", "id", "n", "df", F.coalesce("root", "id").alias("label"))
         split = again.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo != hi").select("token")
         again = again.join(split, "token", "left_semi")
         more = tree_pairs(_blocks(again, block).join(bits, "id"), percent, False).select("a", "b").distinct()
         more = stage(more.join(tried.filter("not linked").select("a", "b"), ["a", "b"], "left_anti"), "pairs")
         if not more.isEmpty():
-            links = links.union(_verified(more, entries, docs, key, text, size, percent).filter("linked").select("a", "b"))
-    roots = components(links)
-    owned = made.select("key", "n", "id", "digest").join(first, "digest", "left")
-    owned = owned.join(roots.select(F.col("id").alias("entry"), "root"), "entry", "left")
-    owned = stage(owned.select("key", "n", F.coalesce("root", "entry").alias("class")), "owned")
+            found = _verified(more, entries, docs, key, text, size, percent).filter("linked").select("a", "b")
+            roots = components(links.union(found))
+    owned = owned.select("key", "n", "entry").join(roots.select(F.col("id").alias("entry"), "root"), "entry", "left")
+    owned = owned.select("key", "n", F.coalesce("root", "entry").alias("class"))
     least = owned.filter("class is not null").groupBy("class").agg(F.min("key").alias("least"))
     out = owned.join(least, "class", "left")
     return out.select(F.col("key").alias(key), F.col("n").alias("n_shingles"), F.coalesce("least", "key").alias("component_id"))
