@@ -3,7 +3,8 @@
 A text's set holds the 64-bit hashes of its distinct word shingles. Texts with equal sets are one
 entry. Two sets that reach the threshold share one of the first (1 - t) of their shingles in any
 common order, so entries meet in buckets of those shingles; shingles that many texts share come last
-in the order, which keeps buckets small. In a bucket, a signature tree (nodes with OR-combined bitmaps
+in the order, which keeps buckets small. A bucket of up to ``leaf`` entries is one leaf, whose pairs must meet in as
+many buckets as their prefixes must share shingles. In a larger bucket, a signature tree (nodes with OR-combined bitmaps
 and size ranges, entries in order of size) is traversed against itself; a node pair falls where its
 largest possible overlap misses the threshold. Pairs that pass are verified exactly.
 
@@ -32,6 +33,8 @@ from pyspark.sql import types as T
 from .common import stage
 from .components import components
 
+#: Sets from this size on must share three shingles of their prefixes, smaller ones one.
+SMALL_SET = 20
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -69,9 +72,18 @@ def _shingles(words: np.ndarray, size: int) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
+def shared_least(n: int) -> int:
+    """How many shingles of their prefixes two sets must share, by the size of the smaller; see ``prefix_length``."""
+    return 3 if n >= SMALL_SET else 1
+
+
 def prefix_length(n: int, percent: int) -> int:
-    """How many shingles of a set must be looked at so that no partner is missed."""
-    return n - -(-percent * n // 100) + 1 if n else 0
+    """How many shingles of a set must be looked at so that no partner is missed.
+
+    Partners have ceil(t n) common shingles; the l-th of them in any common order lies among the first
+    n - ceil(t n) + l of either set, so partners share l shingles of prefixes of that length.
+    """
+    return n - -(-percent * n // 100) + shared_least(n) if n else 0
 
 
 def _width(n: np.ndarray) -> np.ndarray:
@@ -264,19 +276,6 @@ def _bucket_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held)
 
 
-def _couples(n: np.ndarray, label: np.ndarray, side: np.ndarray, first: np.ndarray, second: np.ndarray, bits: list[np.ndarray], percent: int) -> np.ndarray:
-    """Which of the given entry pairs may reach the threshold (buckets that are one leaf of two)."""
-    lo, hi = np.minimum(n[first], n[second]), np.maximum(n[first], n[second])
-    ok = (label[first] != label[second]) & (side[first] != side[second]) & (100 * lo >= percent * hi)
-    for k in np.flatnonzero(ok).tolist():
-        x, y = bits[first[k]], bits[second[k]]
-        if len(x) != len(y):
-            x, y = (np.bitwise_or.reduce(z.reshape(-1, min(len(x), len(y))), axis=0) for z in (x, y))
-        most = min(lo[k], int(np.bitwise_count(x & y).sum()) + min(n[first[k]] - int(np.bitwise_count(x).sum()), n[second[k]] - int(np.bitwise_count(y).sum())))
-        ok[k] = 100 * most >= percent * (lo[k] + hi[k] - most)
-    return ok
-
-
 def tree_pairs(rows: DataFrame, percent: int, spanning: bool) -> DataFrame:
     """a, b, token: pairs to verify (token null), and with ``spanning`` the tokens of buckets where pairs were skipped.
 
@@ -293,12 +292,8 @@ def tree_pairs(rows: DataFrame, percent: int, spanning: bool) -> DataFrame:
             found: list[tuple[int, int]] = []
             marks: list[int] = []
             bits = [np.frombuffer(m, np.uint64) for m in maps]
-            side = np.where(x == y, np.arange(len(x)), own)
-            two = starts[:-1][np.diff(starts) == 2]
-            ok = _couples(n, label, side, two, two + 1, bits, percent)
-            found += list(zip(two[ok].tolist(), (two[ok] + 1).tolist(), strict=True))
             for s, e in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True):
-                if e - s < 3 or (label[s:e] == label[s]).all():
+                if e - s < 2 or (label[s:e] == label[s]).all():
                     continue
                 # Runs of sizes within reach of each other: no pair crosses from one run to the next.
                 cuts = [s, *(s + 1 + np.flatnonzero(100 * n[s : e - 1] < percent * n[s + 1 : e])).tolist(), e]
@@ -318,6 +313,20 @@ def tree_pairs(rows: DataFrame, percent: int, spanning: bool) -> DataFrame:
     return dealt.mapInArrow(run, "a long, b long, token long")
 
 
+def leaf_pairs(rows: DataFrame, percent: int) -> DataFrame:
+    """a, b: the pairs of buckets of one leaf that share enough shingles, counted over those buckets.
+
+    A pair whose shared shingles all have such buckets meets in as many of them as partners must share;
+    a pair that shares a shingle with a larger bucket is found by that bucket's tree.
+    """
+    lists = rows.groupBy("token").agg(F.sort_array(F.collect_list(F.struct("n", "id"))).alias("m"))
+    couples = "flatten(transform(sequence(1, size(m) - 1), i -> transform(slice(m, i + 1, size(m)), x -> struct(m[i - 1] as p, x as q))))"
+    met = lists.filter("size(m) > 1").select(F.explode(F.expr(couples)).alias("c")).filter(f"100 * c.p.n >= {percent} * c.q.n")
+    met = met.select(F.least("c.p.id", "c.q.id").alias("a"), F.greatest("c.p.id", "c.q.id").alias("b"), F.col("c.p.n").alias("n"))
+    met = met.groupBy("a", "b", "n").agg(F.count(F.lit(1)).alias("met"))
+    return met.filter(f"met >= case when n >= {SMALL_SET} then 3 else 1 end").select("a", "b")
+
+
 def _blocks(rows: DataFrame, block: int) -> DataFrame:
     """The rows of each bucket once, or where a bucket has over ``block`` rows, once for each block pair."""
     count = F.ceil(F.col("df") / F.lit(block)).cast("int")
@@ -343,7 +352,7 @@ def _verified(pairs: DataFrame, entries: DataFrame, docs: DataFrame, key: str, t
     return stage(two.select("a", "b", (F.lit(100) * both >= F.lit(percent) * (F.size("p") + F.size("q") - both)).alias("linked")), "verified")
 
 
-def near_duplicate_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 4, percent: int = 85, block: int = 4000, small: int = 500_000) -> DataFrame:
+def near_duplicate_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 4, percent: int = 85, block: int = 4000, small: int = 500_000, leaf: int = 8) -> DataFrame:
     """key, n_shingles, component_id (smallest key of the class), one row per row of ``docs``."""
     common = common_shingles(docs, text, size)
     made = shingle_sets(docs, key, text, size, percent, common).withColumn("id", F.monotonically_increasing_id())
@@ -360,8 +369,11 @@ def near_duplicate_classes(docs: DataFrame, key: str = "doc_id", text: str = "te
     rows = rows.selectExpr("token", "id", "n", "count(*) over (partition by token) as df", "lag(n) over (partition by token order by n, id) as below", "lead(n) over (partition by token order by n, id) as above")
     meets = stage(rows.filter(f"100 * below >= {percent} * n or 100 * n >= {percent} * above").select("token", "id", "n", "df"), "meets")
     bits = entries.select("id", "bitmap")
+    close = leaf_pairs(meets.filter(F.col("df") <= leaf), percent)
+    meets = meets.filter(F.col("df") > leaf)
     pairs = stage(tree_pairs(_blocks(meets.withColumn("label", F.col("id")), block).join(bits, "id"), percent, True), "pairs")
-    tried = _verified(pairs.filter("a is not null").select("a", "b").distinct(), entries, docs, key, text, size, percent)
+    close = stage(close.union(pairs.filter("a is not null").select("a", "b")).distinct(), "close")
+    tried = _verified(close, entries, docs, key, text, size, percent)
     links = tried.filter("linked").select("a", "b")
     roots = components(links)
     marked = pairs.filter("token is not null").select("token").distinct()
@@ -381,6 +393,26 @@ def near_duplicate_classes(docs: DataFrame, key: str = "doc_id", text: str = "te
     return out.select(F.col("key").alias(key), F.col("n").alias("n_shingles"), F.coalesce("least", "key").alias("component_id"))
 
 
+def one_per_class(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 4, percent: int = 85, small: int = 1_000_000) -> DataFrame:
+    """The rows of ``docs`` without near duplicates: of each class the row with the smallest key stays.
+
+    Of several rows with one key one stays; rows with a null key stay, as nothing names them.
+    """
+    found = stage(near_duplicate_classes(docs.select(key, text), key, text, size, percent), "classes")
+    kept = F.max((F.col("component_id") == F.col(key)).cast("int"))
+    by_key = stage(found.filter(F.col(key).isNotNull()).groupBy(F.col(key).alias("_key")).agg(kept.alias("kept"), F.count(F.lit(1)).alias("rows")), "keys")
+    gone, again = by_key.filter("kept = 0").select("_key"), by_key.filter("kept = 1 and rows > 1").select("_key")
+
+    def against(ids: DataFrame, how: str, rows: DataFrame) -> DataFrame:
+        few = ids.count() <= small
+        return rows.join(F.broadcast(ids) if few else ids, F.col(key) == F.col("_key"), how)
+
+    out = against(gone, "left_anti", docs)
+    if again.isEmpty():
+        return out
+    return against(again, "left_anti", out).unionByName(against(again, "left_semi", out).dropDuplicates([key]))
+
+
 def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate classes of all documents: 4-word shingles, Jaccard 0.85."""
     return near_duplicate_classes(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
