@@ -26,14 +26,15 @@ RULES = {
 BASE_RULES = ("short", "repetition")
 
 
-def document_measures(docs: DataFrame, key: str = "doc_id", text: str = "text", host: str = "source") -> DataFrame:
-    """key, host, n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_repeat_words per row.
+def document_measures(docs: DataFrame, key: str = "doc_id", text: str = "text", host: str = "source", whole: bool = False) -> DataFrame:
+    """key, host[, row: the whole row], n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_repeat_words per row.
 
     Three-word windows become longs, hash above and place below, so one primitive sort brings equal
     windows together; neighbours with equal hashes are then compared word by word.
     """
-    out = docs.select(F.col(key).alias("_key"), F.col(host).alias("_host"), F.coalesce(F.col(text), F.lit("")).alias("_t"))
-    out = out.select("_key", "_host", "_t", F.btrim("_t", F.lit(WHITE)).alias("_b"))
+    row = [F.struct("*").alias("_row")] if whole else []
+    out = docs.select(F.col(key).alias("_key"), F.col(host).alias("_host"), F.coalesce(F.col(text), F.lit("")).alias("_t"), *row)
+    out = out.select("*", F.btrim("_t", F.lit(WHITE)).alias("_b"))
     out = out.withColumn("_w", F.split("_b", WHITE_RE)).drop("_b")
     out = out.withColumn("n_words", F.expr("case when _w[0] = '' then 0L else cast(size(_w) as bigint) end"))
     out = out.withColumn("word_chars", F.length(F.translate("_t", WHITE, "")).cast("long"))
@@ -57,7 +58,7 @@ def document_measures(docs: DataFrame, key: str = "doc_id", text: str = "text",
         (a, q) -> named_struct('e', q + 3L, 't', a.t + q + 3L - greatest(q, a.e)), a -> a.t)"""
     out = out.withColumn("n_repeat_words", F.expr(covered))
     cols = ["n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words"]
-    return out.select(F.col("_key").alias(key), F.col("_host").alias(host), *cols)
+    return out.select(F.col("_key").alias(key), F.col("_host").alias(host), *(["_row"] if whole else []), *cols)
 
 
 def host_verdicts(measures: DataFrame, host: str = "source", max_rate: float = 0.9) -> DataFrame:
@@ -88,15 +89,17 @@ def host_verdicts(measures: DataFrame, host: str = "source", max_rate: float = 0
     return out.withColumn("host_rejected", bad)
 
 
-def apply_host_rules(docs: DataFrame, key: str = "doc_id", text: str = "text", host: str = "source", max_rate: float = 0.9) -> DataFrame:
-    """Measures, base_failed, host_rejected, host rates and kept per row of ``docs``.
+def _judged(measures: DataFrame, key: str, host: str, max_rate: float, small: int = 50_000) -> DataFrame:
+    """The measured rows with base_failed, host_rejected, host rates and kept.
 
-    The measures are written once and read twice. Hosts join back salted, so one host with a third
+    Verdicts of up to ``small`` hosts are broadcast; more join salted, so that one host with a third
     of all documents lies in many tasks.
     """
-    measures = stage(document_measures(docs, key, text, host), "measures")
-    verdicts = host_verdicts(measures, host, max_rate).select(host, "host_rejected", *[f"rate_{r}" for r in RULES])
-    out = salted_lookup(measures, verdicts, host, F.col(key))
+    verdicts = stage(host_verdicts(measures, host, max_rate).select(host, "host_rejected", *[f"rate_{r}" for r in RULES]), "verdicts")
+    if verdicts.count() <= small:
+        out = measures.join(F.broadcast(verdicts.withColumnRenamed(host, "_of")), F.col(host).eqNullSafe(F.col("_of")), "left").drop("_of")
+    else:
+        out = salted_lookup(measures, verdicts, host, F.col(key))
     failed = F.lit(False)
     for r in BASE_RULES:
         failed = failed | F.expr(RULES[r])
@@ -104,6 +107,20 @@ def apply_host_rules(docs: DataFrame, key: str = "doc_id", text: str = "text", h
     return out.withColumn("kept", ~F.col("base_failed") & ~F.col("host_rejected"))
 
 
+def apply_host_rules(docs: DataFrame, key: str = "doc_id", text: str = "text", host: str = "source", max_rate: float = 0.9) -> DataFrame:
+    """Measures, base_failed, host_rejected, host rates and kept per row of ``docs``.
+
+    The measures are written once and read twice.
+    """
+    return _judged(stage(document_measures(docs, key, text, host), "measures"), key, host, max_rate)
+
+
+def keep_by_host_rules(docs: DataFrame, key: str = "doc_id", text: str = "text", host: str = "source", max_rate: float = 0.9) -> DataFrame:
+    """The rows of ``docs`` that are kept, with their own columns."""
+    measured = _judged(stage(document_measures(docs, key, text, host, whole=True), "measures"), key, host, max_rate)
+    return measured.filter("kept").select("_row.*")
+
+
 def op1_host_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality verdict of every document."""
     out = apply_host_rules(spark.read.parquet(f"{sf_dir}/documents.parquet"))
