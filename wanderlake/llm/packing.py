@@ -186,10 +186,11 @@ def _round(bins: DataFrame, capacity: int, task_items: int) -> DataFrame:
 
 
 def pack(items: DataFrame, capacity: int = 2048, length: str = "length", nearly_full: float = 0.995, task_items: int = 200_000, fan_in: int = 8) -> DataFrame:
-    """The rows of ``items`` with sequence_id and offset; no sequence exceeds ``capacity``, none has gaps.
+    """The rows of ``items`` with sequence_id and offset (which replace columns so named); no sequence exceeds ``capacity``, none has gaps.
 
     ``nearly_full``: bins filled to that part are final; ``fan_in``: partitions that a round merges into one.
     """
+    items = items.drop("sequence_id", "offset")
     member = F.struct(*[F.col(c) for c in items.columns], F.lit(0).cast("long").alias("offset"))
     bins = items.select(F.col(length).cast("long").alias("fill"), F.array(member).alias("members"))
     limit = int(nearly_full * capacity)
@@ -209,7 +210,9 @@ def pack(items: DataFrame, capacity: int = 2048, length: str = "length", nearly_
     out = final[0]
     for more in final[1:]:
         out = out.unionByName(more)
-    out = out.select(F.monotonically_increasing_id().alias("sequence_id"), F.explode("members").alias("m"))
+    # Numbered before members are taken apart: in one select, each member would get a number.
+    out = out.withColumn("sequence_id", F.monotonically_increasing_id())
+    out = out.select("sequence_id", F.explode("members").alias("m"))
     return out.select(*[F.col(f"m.{c}").alias(c) for c in items.columns], "sequence_id", F.col("m.offset").alias("offset"))
 
 
