@@ -22,7 +22,7 @@ table gives an empty result; further columns are ignored. Long texts are hashed
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -213,9 +213,11 @@ class _Bucket:
                 theirs = np.arange(j * self.leaf, min((j + 1) * self.leaf, last))
                 open_ += [(level - 1, a, level - 1, theirs[theirs >= a] if i == j else theirs) for a in mine]
 
-    def pairs(self, label: np.ndarray, side: np.ndarray | None, spanning: bool) -> tuple[list[tuple[int, int]], bool]:
+    def pairs(self, label: np.ndarray, side: np.ndarray | None, spanning: bool, first: Callable[[int, int], bool] = lambda i, j: True) -> tuple[list[tuple[int, int]], bool]:
         """Entry pairs of different labels that may reach the threshold, and whether any was skipped.
 
+        ``first``: whether this is the bucket to return a pair, of those where it meets.
+
         ``side``: only pairs of different sides, in a task for two blocks; ``spanning``: each pair joins
         its labels, and pairs of one label are skipped.
         """
@@ -240,6 +242,8 @@ class _Bucket:
                 if label[i] == label[j]:
                     skipped = True
                     continue
+                if not first(i, j):
+                    continue
                 out.append((i, j))
                 if spanning:
                     label[label == label[j]] = label[i]
@@ -279,10 +283,12 @@ def _bucket_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
 def tree_pairs(rows: DataFrame, percent: int, spanning: bool) -> DataFrame:
     """a, b, token: pairs to verify (token null), and with ``spanning`` the tokens of buckets where pairs were skipped.
 
-    ``rows``: token, x, y (block pair), own (block), id, label, n, bitmap.
+    ``rows``: token, x, y (block pair), own (block), id, label, n, bitmap[, tokens]. With ``tokens``, the entry's
+    buckets, a pair comes only from the first bucket where it meets.
     """
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = rows.select("token", "x", "y", "own", "id", "label", "n", "bitmap").repartition(parts, "token", "x", "y").sortWithinPartitions("token", "x", "y", "n", "id")
+    tokens = F.col("tokens") if "tokens" in rows.columns else F.lit(None).cast("array<long>").alias("tokens")
+    dealt = rows.select("token", "x", "y", "own", "id", "label", "n", "bitmap", tokens).repartition(parts, "token", "x", "y").sortWithinPartitions("token", "x", "y", "n", "id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in _bucket_rows(batches):
@@ -292,6 +298,7 @@ def tree_pairs(rows: DataFrame, percent: int, spanning: bool) -> DataFrame:
             found: list[tuple[int, int]] = []
             marks: list[int] = []
             bits = [np.frombuffer(m, np.uint64) for m in maps]
+            lists = [None if t is None else set(t) for t in table.column(8).to_pylist()]
             for s, e in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True):
                 if e - s < 2 or (label[s:e] == label[s]).all():
                     continue
@@ -300,7 +307,9 @@ def tree_pairs(rows: DataFrame, percent: int, spanning: bool) -> DataFrame:
                 for p, q in zip(cuts, cuts[1:]):
                     if q - p < 2:
                         continue
-                    pairs, skipped = _Bucket(n[p:q], bits[p:q], percent).pairs(label[p:q], None if x[p] == y[p] else own[p:q], spanning)
+                    here = int(token[p])
+                    first = (lambda i, j, p=p, here=here: min(lists[p + i] & lists[p + j]) == here) if lists[p] is not None else (lambda i, j: True)
+                    pairs, skipped = _Bucket(n[p:q], bits[p:q], percent).pairs(label[p:q], None if x[p] == y[p] else own[p:q], spanning, first)
                     found += [(p + i, p + j) for i, j in pairs]
                     if skipped and spanning:
                         marks.append(int(token[p]))
@@ -380,7 +389,8 @@ def near_duplicate_classes(docs: DataFrame, key: str = "doc_id", text: str = "te
     if not marked.isEmpty() and not tried.filter("not linked").isEmpty():
         again = meets.join(marked, "token", "left_semi").join(roots, "id", "left").select("token", "id", "n", "df", F.coalesce("root", "id").alias("label"))
         split = again.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo != hi").select("token")
-        again = again.join(split, "token", "left_semi")
+        again = stage(again.join(split, "token", "left_semi"), "again")
+        again = again.join(again.groupBy("id").agg(F.collect_list("token").alias("tokens")), "id")
         more = tree_pairs(_blocks(again, block).join(bits, "id"), percent, False).select("a", "b").distinct()
         more = stage(more.join(tried.filter("not linked").select("a", "b"), ["a", "b"], "left_anti"), "pairs")
         if not more.isEmpty():
