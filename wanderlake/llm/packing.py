@@ -192,9 +192,11 @@ def pack(items: DataFrame, capacity: int = 2048, length: str = "length", nearly_
     """
     items = items.drop("sequence_id", "offset")
     member = F.struct(*[F.col(c) for c in items.columns], F.lit(0).cast("long").alias("offset"))
+    items = stage(items, "items")
     bins = items.select(F.col(length).cast("long").alias("fill"), F.array(member).alias("members"))
     limit = int(nearly_full * capacity)
-    bins = stage(_round(bins, capacity, task_items), "bins")
+    # As few parts as a task's bound allows: the more items a part has, the tighter it packs.
+    bins = stage(_round(bins.coalesce(max(1, -(-items.count() // task_items))), capacity, task_items), "bins")
     final, parts, before = [], None, None
     while True:
         left = bins.filter(F.col("fill") < limit)
