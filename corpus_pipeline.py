@@ -18,11 +18,20 @@ from wanderlake.llm.packing import pack, token_pieces
 from wanderlake.llm.quality import keep_by_host_rules
 
 
+def _aside(docs: DataFrame) -> DataFrame:
+    """The text, and the other columns out of the way of results' names."""
+    return docs.select(F.struct(*[c for c in docs.columns if c != "text"]).alias("_rest"), "text")
+
+
+def _back(found: DataFrame, docs: DataFrame) -> DataFrame:
+    """The columns as they were."""
+    return found.select(*[F.col("text" if c == "text" else f"_rest.{c}").alias(c) for c in docs.columns])
+
+
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is known."""
     models = fit_languages(training_rows(docs, F.col("doc_id")))
-    found = identify(docs.select(F.struct("*").alias("_row"), "text"), models, keep=["_row"])
-    return found.filter("not rejected").select("_row.*")
+    return _back(identify(_aside(docs), models).filter("not rejected"), docs)
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,8 +46,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without benchmark passages."""
-    found = find_contamination(docs.select(F.struct("*").alias("_row"), "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), keep=["_row"])
-    return found.filter("not contaminated").select("_row.*")
+    found = find_contamination(_aside(docs), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return _back(found.filter("not contaminated"), docs)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

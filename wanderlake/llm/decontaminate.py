@@ -11,7 +11,7 @@ the executors is bounded and every item counts.
 
 Defined results: a null or empty text has no words and no hits; an item without words has no
 window; a null item_id counts as the empty string; repeated items and rows count each; an empty
-benchmark hits nothing; columns besides those named are passed along or ignored.
+benchmark hits nothing; other columns are passed along, but for those that have a result's name.
 """
 
 from __future__ import annotations
@@ -117,8 +117,11 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text"
     """The ``keep`` columns (default: all) with n_words, n_hit, item_ids, word_ranges, spans (code point
     offsets of hit passages in the original text) and contaminated."""
     spark = docs.sparkSession
-    keep = docs.columns if keep is None else keep
-    struct = F.struct(*[F.col(c) for c in keep]) if keep else F.struct(F.lit(0).alias("none"))
+    made = ("n_words", "n_hit", "item_ids", "word_ranges", "spans", "contaminated")
+    keep = [c for c in (docs.columns if keep is None else keep) if c not in made]
+    # The text travels once, beside the other columns.
+    others = [c for c in keep if c != text]
+    struct = F.struct(*[F.col(c) for c in others]) if others else F.struct(F.lit(0).alias("none"))
     rows = docs.select(struct.alias("row"), F.col(text).alias("text"))
     empty = rows.select("row", "text", F.lit(0).cast("long").alias("n_words"), F.array().cast(_RANGES).alias("ranges"), F.array().cast("array<string>").alias("items"), F.array().cast(_SPANS).alias("spans"))
 
@@ -126,7 +129,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text"
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             windows = Windows(sent.value, window)
             kinds = None
-            for batch in batches:
+            for batch in (part.slice(at, 1000) for part in batches for at in range(0, part.num_rows, 1000)):
                 kinds = [f.type for f in batch.schema]
                 n_words, ranges, items, spans = [], [], [], []
                 for said, had, had_items in zip(batch.column(1).to_pylist(), batch.column(3).to_pylist(), batch.column(4).to_pylist(), strict=True):
@@ -149,7 +152,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text"
     if not done:
         out = scanned(out, spark.sparkContext.broadcast([]))
     hit = F.aggregate("ranges", F.lit(0).cast("long"), lambda a, x: a + x["past"] - x["first"])
-    return out.select(*[F.col(f"row.{c}").alias(c) for c in keep], "n_words", hit.alias("n_hit"), F.col("items").alias("item_ids"), F.col("ranges").alias("word_ranges"), "spans", (hit > 0).alias("contaminated"))
+    return out.select(*[F.col("text" if c == text else f"row.{c}").alias(c) for c in keep], "n_words", hit.alias("n_hit"), F.col("items").alias("item_ids"), F.col("ranges").alias("word_ranges"), "spans", (hit > 0).alias("contaminated"))
 
 
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

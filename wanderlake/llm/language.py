@@ -202,8 +202,9 @@ def letter_grams(docs: DataFrame, lang: str, text: str, order: int) -> DataFrame
 
 
 def _totals(docs: DataFrame, sent, keep: list[str], text: str, judge: bool) -> DataFrame:
-    """The kept columns and either the summed scores or the judgement of each text."""
-    source = docs.select(*keep, F.col(text).alias("_text"))
+    """The kept columns and either the summed scores or the judgement of each text; the text travels once."""
+    source = docs.select(*keep) if text in keep else docs.select(*keep, text)
+    place = source.columns.index(text)
     schema = T.StructType([source.schema[c] for c in keep])
     for name, kind in [("lang_pred", T.StringType()), ("score", T.DoubleType()), ("cross_entropy", T.DoubleType()), ("rejected", T.BooleanType())] if judge else [("totals", T.ArrayType(T.DoubleType()))]:
         schema.add(name, kind)
@@ -212,11 +213,10 @@ def _totals(docs: DataFrame, sent, keep: list[str], text: str, judge: bool) -> D
         models = LanguageModels(**sent.value)
         table = TokenTable(len(models.languages) + 1, models.word_scores)
         for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                part = batch.slice(at, 1000)
-                rows = table.rows(part.column(part.num_columns - 1).to_pylist())
-                sums = np.stack([table.matrix[r].sum(0) for r in rows])
-                kept = [part.column(i) for i in range(part.num_columns - 1)]
+            for at in range(0, batch.num_rows, 500):
+                part = batch.slice(at, 500)
+                sums = np.stack([table.matrix[r].sum(0) for r in table.rows(part.column(place).to_pylist())])
+                kept = [part.column(i) for i in range(len(keep))]
                 if judge:
                     names, share, entropy, bad = models.judge(sums)
                     found = [pa.array(names), pa.array(share), pa.array(entropy, mask=np.isnan(entropy)), pa.array(bad)]
@@ -276,8 +276,10 @@ def _calibrate(models: LanguageModels, held: list[tuple[int, np.ndarray]]) -> No
 
 
 def identify(docs: DataFrame, models: LanguageModels, keep: list[str] | None = None, text: str = "text") -> DataFrame:
-    """The ``keep`` columns (default: all) with lang_pred, score, cross_entropy and rejected."""
-    return _totals(docs, docs.sparkSession.sparkContext.broadcast(vars(models)), docs.columns if keep is None else keep, text, True)
+    """The ``keep`` columns (default: all) with lang_pred, score, cross_entropy and rejected, which replace columns so named."""
+    made = ("lang_pred", "score", "cross_entropy", "rejected")
+    keep = [c for c in (docs.columns if keep is None else keep) if c not in made]
+    return _totals(docs, docs.sparkSession.sparkContext.broadcast(vars(models)), keep, text, True)
 
 
 def training_rows(docs: DataFrame, key: Column) -> DataFrame:

@@ -21,7 +21,7 @@ class TokenTable(dict):
     forgotten, so memory is bounded.
     """
 
-    def __init__(self, width: int, learn: Callable[[list[bytes]], np.ndarray], dtype: type = np.float64, limit: int = 400_000):
+    def __init__(self, width: int, learn: Callable[[list[bytes]], np.ndarray], dtype: type = np.float64, limit: int = 200_000):
         self.learn, self.limit = learn, limit
         self.matrix = np.zeros((1024, width), dtype)
 
