@@ -24,7 +24,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import stage
-from .tokens import worker_memory
 
 def _byte_letters() -> str:
     """The character that stands for each byte in byte-level vocabularies: itself where printable, else from 256 on."""
@@ -41,7 +40,7 @@ class WordIds(dict):
     own pattern and go to its merges directly, all others through the whole tokenizer.
     """
 
-    def __init__(self, vocabulary: str, limit: int = 1_000_000):
+    def __init__(self, vocabulary: str, limit: int = 400_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -92,10 +91,7 @@ def token_pieces(docs: DataFrame, vocabulary: str, key: str = "doc_id", text: st
     end = np.asarray([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memory = worker_memory()
-        if (place := f"word ids {vocabulary}") not in memory:
-            memory[place] = WordIds(vocabulary)
-        cache = memory[place]
+        cache = WordIds(vocabulary)
         for batch in batches:
             for at in range(0, batch.num_rows, 1000):
                 part = batch.slice(at, 1000)

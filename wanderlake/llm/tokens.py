@@ -2,18 +2,11 @@
 
 from __future__ import annotations
 
-import sys
-import types
 from collections.abc import Callable
 
 import numpy as np
 
 
-def worker_memory() -> dict:
-    """A dictionary that lives as long as this Python worker: later tasks find what earlier ones left."""
-    return vars(sys.modules.setdefault("_wanderlake_worker", types.ModuleType("_wanderlake_worker")))
-
-
 class TokenTable(dict):
     """Word (bytes between ASCII white space) -> row of ``matrix``, which ``learn`` fills for unseen words.
 
