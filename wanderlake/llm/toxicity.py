@@ -136,7 +136,7 @@ def with_features(docs: DataFrame, lexicon: dict[str, float], keep: list[str], t
     return source.mapInArrow(run, schema)
 
 
-def learn_lexicon(sample: DataFrame, text: str = "text", label: str = "label", least: int = 8, most: int = 300) -> dict[str, float]:
+def learn_lexicon(sample: DataFrame, text: str = "text", label: str = "label", least: int = 5, most: int = 500) -> dict[str, float]:
     """Words far commoner in positive texts: word -> log odds ratio, the ``most`` strongest.
 
     Texts that begin alike count once, so that copies of one text don't make its words insults.
@@ -188,7 +188,7 @@ def _margins(rows: DataFrame, trees) -> DataFrame:
     return out.withColumn("margin", F.get(vector_to_array("rawPrediction"), F.lit(1)))
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", max_rows: int = 12_000, rounds: int = 12, depth: int = 3) -> ToxicityModel:
+def fit_toxicity(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", max_rows: int = 20_000, rounds: int = 12, depth: int = 3) -> ToxicityModel:
     """Fits on the rows of ``labels`` (which the caller has restricted), at most about ``max_rows`` of them."""
     from pyspark.ml.classification import GBTClassifier
     from pyspark.ml.feature import VectorAssembler
