@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import stage
+from .common import small_batches, stage
 
 #: Lower-cases A-Z and blanks every other ASCII byte that is no letter or digit.
 _TABLE = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
@@ -117,6 +117,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text"
     """The ``keep`` columns (default: all) with n_words, n_hit, item_ids, word_ranges, spans (code point
     offsets of hit passages in the original text) and contaminated."""
     spark = docs.sparkSession
+    small_batches(spark)
     made = ("n_words", "n_hit", "item_ids", "word_ranges", "spans", "contaminated")
     keep = [c for c in (docs.columns if keep is None else keep) if c not in made]
     # The text travels once, beside the other columns.

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import stage
+from .common import small_batches, stage
 from .components import components
 
 #: Sets from this size on must share three shingles of their prefixes, smaller ones one.
@@ -42,7 +42,7 @@ _ODD = np.uint64(0x9E3779B97F4A7C15)
 class WordHashes(dict):
     """Word -> 64-bit hash of its lower-cased form; forgets all beyond ``limit`` words."""
 
-    def __init__(self, limit: int = 300_000):
+    def __init__(self, limit: int = 250_000):
         import xxhash
 
         self.hash, self.limit = xxhash.xxh3_64_intdigest, limit
@@ -121,7 +121,7 @@ def common_shingles(docs: DataFrame, text: str, size: int, local: int = 3, least
                 for said in batch.slice(at, 1000).column(0).to_pylist():
                     held.append(_shingles(hashes.of(said), size))
                     count += len(held[-1])
-                if count > 3_000_000:
+                if count > 2_500_000:
                     yield counted()
                     held, count = [], 0
         if held:
@@ -363,6 +363,7 @@ def _verified(pairs: DataFrame, entries: DataFrame, docs: DataFrame, key: str, t
 
 def near_duplicate_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 4, percent: int = 85, block: int = 4000, small: int = 500_000, leaf: int = 8) -> DataFrame:
     """key, n_shingles, component_id (smallest key of the class), one row per row of ``docs``."""
+    small_batches(docs.sparkSession)
     common = common_shingles(docs, text, size)
     made = shingle_sets(docs, key, text, size, percent, common).withColumn("id", F.monotonically_increasing_id())
     made = stage(made, "shingles")

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import in_fold, stage
+from .common import in_fold, small_batches, stage
 from .tokens import TokenTable
 
 _LETTERS = re.compile(r"[^\W\d_]+")
@@ -203,6 +203,7 @@ def letter_grams(docs: DataFrame, lang: str, text: str, order: int) -> DataFrame
 
 def _totals(docs: DataFrame, sent, keep: list[str], text: str, judge: bool) -> DataFrame:
     """The kept columns and either the summed scores or the judgement of each text; the text travels once."""
+    small_batches(docs.sparkSession)
     source = docs.select(*keep) if text in keep else docs.select(*keep, text)
     place = source.columns.index(text)
     schema = T.StructType([source.schema[c] for c in keep])

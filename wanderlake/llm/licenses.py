@@ -20,6 +20,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import small_batches
+
 # Licence sentences in normal form, by identifier.
 SENTENCES = {
     "apache-grant": "licensed under the apache license version 2 0",
@@ -128,6 +130,7 @@ _BY_TEXT = {v: k for k, v in SENTENCES.items()}
 
 def scan_licenses(docs: DataFrame, text: str = "text", gap: int = 2, keep: list[str] | None = None) -> DataFrame:
     """The ``keep`` columns (default: all) with ``matches``: array of (license, start, end), in code points."""
+    small_batches(docs.sparkSession)
     keep = [c for c in (docs.columns if keep is None else keep) if c != "matches"]
     source = docs.select(*[F.col(c) for c in keep], F.col(text).alias("_text"))
     kind = T.ArrayType(T.StructType([T.StructField("license", T.StringType()), T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))

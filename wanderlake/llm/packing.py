@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import stage
+from .common import small_batches, stage
 
 def _byte_letters() -> str:
     """The character that stands for each byte in byte-level vocabularies: itself where printable, else from 256 on."""
@@ -40,7 +40,7 @@ class WordIds(dict):
     own pattern and go to its merges directly, all others through the whole tokenizer.
     """
 
-    def __init__(self, vocabulary: str, limit: int = 400_000):
+    def __init__(self, vocabulary: str, limit: int = 300_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -83,6 +83,7 @@ class WordIds(dict):
 
 def token_pieces(docs: DataFrame, vocabulary: str, key: str = "doc_id", text: str = "text", capacity: int = 2048, end_id: int = 0, with_ids: bool = False) -> DataFrame:
     """key, piece, start, length, ids_crc32[, ids]: each document's tokens and one end token, cut at ``capacity``."""
+    small_batches(docs.sparkSession)
     source = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
     kind = source.schema["key"].dataType
     schema = T.StructType([T.StructField(key, kind), T.StructField("piece", T.IntegerType()), T.StructField("start", T.LongType()), T.StructField("length", T.LongType()), T.StructField("ids_crc32", T.LongType())])

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import in_fold
+from .common import in_fold, small_batches
 from .tokens import TokenTable
 
 # Insults.
@@ -121,6 +121,7 @@ def text_features(values: np.ndarray) -> list[float]:
 
 def with_features(docs: DataFrame, lexicon: dict[str, float], keep: list[str], text: str = "text") -> DataFrame:
     """The ``keep`` columns and the features of each whole text."""
+    small_batches(docs.sparkSession)
     source = docs.select(*keep, F.col(text).alias("_text"))
     schema = T.StructType([source.schema[c] for c in keep] + [T.StructField(f, T.DoubleType()) for f in FEATURES])
 
