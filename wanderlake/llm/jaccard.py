@@ -213,18 +213,19 @@ class _Bucket:
                 theirs = np.arange(j * self.leaf, min((j + 1) * self.leaf, last))
                 open_ += [(level - 1, a, level - 1, theirs[theirs >= a] if i == j else theirs) for a in mine]
 
-    def pairs(self, label: np.ndarray, side: np.ndarray | None, spanning: bool, first: Callable[[int, int], bool] = lambda i, j: True) -> tuple[list[tuple[int, int]], bool]:
-        """Entry pairs of different labels that may reach the threshold, and whether any was skipped.
+    def pairs(self, label: np.ndarray, side: np.ndarray | None, spanning: bool, first: Callable[[int, int], bool] = lambda i, j: True) -> tuple[list[tuple[int, int]], list[np.ndarray]]:
+        """Entry pairs of different labels that may reach the threshold, and the groups in which some were skipped.
 
         ``first``: whether this is the bucket to return a pair, of those where it meets.
 
         ``side``: only pairs of different sides, in a task for two blocks; ``spanning``: each pair joins
         its labels, and pairs of one label are skipped.
         """
-        out, skipped, label = [], False, label.copy()
+        out, skipped, label = [], set(), label.copy()
         for a, b, c, d in self.node_pairs():
             if spanning and label[a] == label[c] and (label[a:b] == label[a]).all() and (label[c:d] == label[a]).all():
-                skipped = skipped or d - a > 2 or a != c
+                if a != c or b - a > 1:
+                    skipped.add(int(a))
                 continue
             inter = np.bitwise_count(self.bits[a:b, None] & self.bits[None, c:d]).sum(2).astype(np.int64)
             most = inter + np.minimum(self.extra[a:b, None], self.extra[None, c:d])
@@ -240,14 +241,14 @@ class _Bucket:
             for i, j in found.tolist():
                 i, j = a + i, c + j
                 if label[i] == label[j]:
-                    skipped = True
+                    skipped.add(i)
                     continue
                 if not first(i, j):
                     continue
                 out.append((i, j))
                 if spanning:
                     label[label == label[j]] = label[i]
-        return out, skipped
+        return out, [np.flatnonzero(label == x) for x in np.unique(label[sorted(skipped)])] if spanning else []
 
 
 def _bucket_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
@@ -281,7 +282,8 @@ def _bucket_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
 
 
 def tree_pairs(rows: DataFrame, percent: int, spanning: bool) -> DataFrame:
-    """a, b, token: pairs to verify (token null), and with ``spanning`` the tokens of buckets where pairs were skipped.
+    """a, b, token: pairs to verify (token null), and with ``spanning`` the members a of groups (token, b null) that pairs
+    connect, where others were skipped.
 
     ``rows``: token, x, y (block pair), own (block), id, label, n, bitmap[, tokens]. With ``tokens``, the entry's
     buckets, a pair comes only from the first bucket where it meets.
@@ -291,12 +293,14 @@ def tree_pairs(rows: DataFrame, percent: int, spanning: bool) -> DataFrame:
     dealt = rows.select("token", "x", "y", "own", "id", "label", "n", "bitmap", tokens).repartition(parts, "token", "x", "y").sortWithinPartitions("token", "x", "y", "n", "id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
+
         for table in _bucket_rows(batches):
             token, x, y, own, ids, label, n = (table.column(c).to_numpy() for c in range(7))
             maps = table.column(7).to_pylist()
             starts = np.concatenate([[0], np.flatnonzero((token[1:] != token[:-1]) | (x[1:] != x[:-1]) | (y[1:] != y[:-1])) + 1, [len(token)]])
             found: list[tuple[int, int]] = []
-            marks: list[int] = []
+            groups: list[np.ndarray] = []
             bits = [np.frombuffer(m, np.uint64) for m in maps]
             lists = [None if t is None else set(t) for t in table.column(8).to_pylist()]
             for s, e in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True):
@@ -309,15 +313,17 @@ def tree_pairs(rows: DataFrame, percent: int, spanning: bool) -> DataFrame:
                         continue
                     here = int(token[p])
                     first = (lambda i, j, p=p, here=here: min(lists[p + i] & lists[p + j]) == here) if lists[p] is not None else (lambda i, j: True)
-                    pairs, skipped = _Bucket(n[p:q], bits[p:q], percent).pairs(label[p:q], None if x[p] == y[p] else own[p:q], spanning, first)
+                    pairs, grown = _Bucket(n[p:q], bits[p:q], percent).pairs(label[p:q], None if x[p] == y[p] else own[p:q], spanning, first)
                     found += [(p + i, p + j) for i, j in pairs]
-                    if skipped and spanning:
-                        marks.append(int(token[p]))
+                    groups += [p + m for m in grown]
             a, b = (ids[[k[c] for k in found]] if found else np.zeros(0, np.int64) for c in (0, 1))
-            marks = sorted(set(marks))
-            lo, hi = np.concatenate([np.minimum(a, b), np.zeros(len(marks), np.int64)]), np.concatenate([np.maximum(a, b), np.zeros(len(marks), np.int64)])
-            no = np.arange(len(lo)) >= len(a)
-            yield pa.RecordBatch.from_arrays([pa.array(lo, mask=no), pa.array(hi, mask=no), pa.array(np.concatenate([np.zeros(len(a), np.int64), np.array(marks, np.int64)]), mask=~no)], names=["a", "b", "token"])
+            member = np.concatenate([*groups, np.zeros(0, np.int64)]).astype(np.int64)
+            # A group's name: the bucket and the group's first member.
+            names = [xxhash.xxh3_64_intdigest(b"%d,%d,%d,%d" % (token[m[0]], x[m[0]], y[m[0]], ids[m[0]])) for m in groups]
+            named = np.repeat(np.array(names, np.uint64).view(np.int64), [len(m) for m in groups]) if groups else np.zeros(0, np.int64)
+            no_token = np.arange(len(a) + len(member)) < len(a)
+            cols = [pa.array(np.concatenate([np.minimum(a, b), ids[member]])), pa.array(np.concatenate([np.maximum(a, b), np.zeros(len(member), np.int64)]), mask=~no_token), pa.array(np.concatenate([np.zeros(len(a), np.int64), named]), mask=no_token)]
+            yield pa.RecordBatch.from_arrays(cols, names=["a", "b", "token"])
 
     return dealt.mapInArrow(run, "a long, b long, token long")
 
@@ -382,17 +388,19 @@ def near_duplicate_classes(docs: DataFrame, key: str = "doc_id", text: str = "te
     close = leaf_pairs(meets.filter(F.col("df") <= leaf), percent)
     meets = meets.filter(F.col("df") > leaf)
     pairs = stage(tree_pairs(_blocks(meets.withColumn("label", F.col("id")), block).join(bits, "id"), percent, True), "pairs")
-    close = stage(close.union(pairs.filter("a is not null").select("a", "b")).distinct(), "close")
+    close = stage(close.union(pairs.filter("b is not null").select("a", "b")).distinct(), "close")
     tried = _verified(close, entries, docs, key, text, size, percent)
     links = tried.filter("linked").select("a", "b")
     roots = components(links)
-    marked = pairs.filter("token is not null").select("token").distinct()
-    if not marked.isEmpty() and not tried.filter("not linked").isEmpty():
-        again = meets.join(marked, "token", "left_semi").join(roots, "id", "left").select("token", "id", "n", "df", F.coalesce("root", "id").alias("label"))
+    groups = pairs.filter("b is null").select(F.col("a").alias("id"), "token")
+    if not groups.isEmpty() and not tried.filter("not linked").isEmpty():
+        # Groups whose members the verified links leave in several classes.
+        again = groups.join(roots, "id", "left").select("id", "token", F.coalesce("root", "id").alias("label"))
         split = again.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo != hi").select("token")
         again = stage(again.join(split, "token", "left_semi"), "again")
-        again = again.join(again.groupBy("id").agg(F.collect_list("token").alias("tokens")), "id")
-        more = tree_pairs(_blocks(again, block).join(bits, "id"), percent, False).select("a", "b").distinct()
+        again = again.join(again.groupBy("id").agg(F.collect_list("token").alias("tokens")), "id").join(entries.select("id", "n", "bitmap"), "id")
+        again = again.withColumns({c: F.lit(0) for c in ("x", "y", "own")})
+        more = tree_pairs(again, percent, False).select("a", "b").distinct()
         more = stage(more.join(tried.filter("not linked").select("a", "b"), ["a", "b"], "left_anti"), "pairs")
         if not more.isEmpty():
             found = _verified(more, entries, docs, key, text, size, percent).filter("linked").select("a", "b")
