@@ -33,8 +33,8 @@ from pyspark.sql import types as T
 from .common import small_batches, stage
 from .components import components
 
-#: Sets from this size on must share three shingles of their prefixes, smaller ones one.
-SMALL_SET = 20
+#: Sets from SMALL_SET on must share SHARED shingles of their prefixes, smaller ones one.
+SMALL_SET, SHARED = 40, 5
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -74,7 +74,7 @@ def _shingles(words: np.ndarray, size: int) -> np.ndarray:
 
 def shared_least(n: int) -> int:
     """How many shingles of their prefixes two sets must share, by the size of the smaller; see ``prefix_length``."""
-    return 3 if n >= SMALL_SET else 1
+    return SHARED if n >= SMALL_SET else 1
 
 
 def prefix_length(n: int, percent: int) -> int:
@@ -339,7 +339,7 @@ def leaf_pairs(rows: DataFrame, percent: int) -> DataFrame:
     met = lists.filter("size(m) > 1").select(F.explode(F.expr(couples)).alias("c")).filter(f"100 * c.p.n >= {percent} * c.q.n")
     met = met.select(F.least("c.p.id", "c.q.id").alias("a"), F.greatest("c.p.id", "c.q.id").alias("b"), F.col("c.p.n").alias("n"))
     met = met.groupBy("a", "b", "n").agg(F.count(F.lit(1)).alias("met"))
-    return met.filter(f"met >= case when n >= {SMALL_SET} then 3 else 1 end").select("a", "b")
+    return met.filter(f"met >= case when n >= {SMALL_SET} then {SHARED} else 1 end").select("a", "b")
 
 
 def _blocks(rows: DataFrame, block: int) -> DataFrame:
@@ -367,7 +367,13 @@ def _verified(pairs: DataFrame, entries: DataFrame, docs: DataFrame, key: str, t
     return stage(two.select("a", "b", (F.lit(100) * both >= F.lit(percent) * (F.size("p") + F.size("q") - both)).alias("linked")), "verified")
 
 
-def near_duplicate_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 4, percent: int = 85, block: int = 4000, small: int = 500_000, leaf: int = 8) -> DataFrame:
+def _of(entries: DataFrame, rows: DataFrame, small: int) -> DataFrame:
+    """The entries that ``rows`` name: where those are at most ``small``, their ids go to the entries, not all entries to the ids."""
+    ids = stage(rows.select("id").distinct(), "ids")
+    return entries.join(F.broadcast(ids), "id", "left_semi") if ids.count() <= small else entries
+
+
+def near_duplicate_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 4, percent: int = 85, block: int = 4000, small: int = 500_000, leaf: int = 16) -> DataFrame:
     """key, n_shingles, component_id (smallest key of the class), one row per row of ``docs``."""
     small_batches(docs.sparkSession)
     common = common_shingles(docs, text, size)
@@ -384,10 +390,10 @@ def near_duplicate_classes(docs: DataFrame, key: str = "doc_id", text: str = "te
     # A row stays where its bucket has another of a size within reach.
     rows = rows.selectExpr("token", "id", "n", "count(*) over (partition by token) as df", "lag(n) over (partition by token order by n, id) as below", "lead(n) over (partition by token order by n, id) as above")
     meets = stage(rows.filter(f"100 * below >= {percent} * n or 100 * n >= {percent} * above").select("token", "id", "n", "df"), "meets")
-    bits = entries.select("id", "bitmap")
     close = leaf_pairs(meets.filter(F.col("df") <= leaf), percent)
     meets = meets.filter(F.col("df") > leaf)
-    pairs = stage(tree_pairs(_blocks(meets.withColumn("label", F.col("id")), block).join(bits, "id"), percent, True), "pairs")
+    rows = _blocks(meets.withColumn("label", F.col("id")), block).join(_of(entries, meets, small).select("id", "bitmap"), "id")
+    pairs = stage(tree_pairs(rows, percent, True), "pairs")
     close = stage(close.union(pairs.filter("b is not null").select("a", "b")).distinct(), "close")
     tried = _verified(close, entries, docs, key, text, size, percent)
     links = tried.filter("linked").select("a", "b")
@@ -398,7 +404,7 @@ def near_duplicate_classes(docs: DataFrame, key: str = "doc_id", text: str = "te
         again = groups.join(roots, "id", "left").select("id", "token", F.coalesce("root", "id").alias("label"))
         split = again.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo != hi").select("token")
         again = stage(again.join(split, "token", "left_semi"), "again")
-        again = again.join(again.groupBy("id").agg(F.collect_list("token").alias("tokens")), "id").join(entries.select("id", "n", "bitmap"), "id")
+        again = again.join(again.groupBy("id").agg(F.collect_list("token").alias("tokens")), "id").join(_of(entries, again, small).select("id", "n", "bitmap"), "id")
         again = again.withColumns({c: F.lit(0) for c in ("x", "y", "own")})
         more = tree_pairs(again, percent, False).select("a", "b").distinct()
         more = stage(more.join(tried.filter("not linked").select("a", "b"), ["a", "b"], "left_anti"), "pairs")
