@@ -16,11 +16,9 @@ benchmark hits nothing; other columns are passed along, but for those that have
 
 from __future__ import annotations
 
-import hashlib
 import re
 from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
