@@ -11,7 +11,7 @@ long it is: its windows are one sorted array of longs.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import WHITE, WHITE_RE, salted_lookup, stage
@@ -26,14 +26,18 @@ RULES = {
 BASE_RULES = ("short", "repetition")
 
 
-def document_measures(docs: DataFrame, key: str = "doc_id", text: str = "text", host: str = "source", whole: bool = False) -> DataFrame:
-    """key, host[, row: the whole row], n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_repeat_words per row.
+def _mark(key: str, text: str, host: str) -> Column:
+    """What tells rows of one key apart."""
+    return F.xxhash64(F.col(key), F.col(text), F.col(host))
+
+
+def document_measures(docs: DataFrame, key: str = "doc_id", text: str = "text", host: str = "source") -> DataFrame:
+    """key, host, mark (a hash of key, text and host), n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_repeat_words per row.
 
     Three-word windows become longs, hash above and place below, so one primitive sort brings equal
     windows together; neighbours with equal hashes are then compared word by word.
     """
-    row = [F.struct("*").alias("_row")] if whole else []
-    out = docs.select(F.col(key).alias("_key"), F.col(host).alias("_host"), F.coalesce(F.col(text), F.lit("")).alias("_t"), *row)
+    out = docs.select(F.col(key).alias("_key"), F.col(host).alias("_host"), F.coalesce(F.col(text), F.lit("")).alias("_t"), _mark(key, text, host).alias("mark"))
     out = out.select("*", F.btrim("_t", F.lit(WHITE)).alias("_b"))
     out = out.withColumn("_w", F.split("_b", WHITE_RE)).drop("_b")
     out = out.withColumn("n_words", F.expr("case when _w[0] = '' then 0L else cast(size(_w) as bigint) end"))
@@ -58,7 +62,7 @@ def document_measures(docs: DataFrame, key: str = "doc_id", text: str = "text",
         (a, q) -> named_struct('e', q + 3L, 't', a.t + q + 3L - greatest(q, a.e)), a -> a.t)"""
     out = out.withColumn("n_repeat_words", F.expr(covered))
     cols = ["n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words"]
-    return out.select(F.col("_key").alias(key), F.col("_host").alias(host), *(["_row"] if whole else []), *cols)
+    return out.select(F.col("_key").alias(key), F.col("_host").alias(host), "mark", *cols)
 
 
 def host_verdicts(measures: DataFrame, host: str = "source", max_rate: float = 0.9) -> DataFrame:
@@ -115,10 +119,16 @@ def apply_host_rules(docs: DataFrame, key: str = "doc_id", text: str = "text", h
     return _judged(stage(document_measures(docs, key, text, host), "measures"), key, host, max_rate)
 
 
-def keep_by_host_rules(docs: DataFrame, key: str = "doc_id", text: str = "text", host: str = "source", max_rate: float = 0.9) -> DataFrame:
-    """The rows of ``docs`` that are kept, with their own columns."""
-    measured = _judged(stage(document_measures(docs, key, text, host, whole=True), "measures"), key, host, max_rate)
-    return measured.filter("kept").select("_row.*")
+def keep_by_host_rules(docs: DataFrame, key: str = "doc_id", text: str = "text", host: str = "source", max_rate: float = 0.9, small: int = 1_000_000) -> DataFrame:
+    """The rows of ``docs`` that are kept, with their own columns.
+
+    Only measures are written, not texts; keys and marks of up to ``small`` rejected rows go to the
+    documents, more meet them in a join.
+    """
+    gone = apply_host_rules(docs, key, text, host, max_rate).filter("not kept")
+    gone = stage(gone.select(F.col(key).alias("_key"), F.col("mark").alias("_mark")).distinct(), "rejected")
+    gone = F.broadcast(gone) if gone.count() <= small else gone
+    return docs.join(gone, F.col(key).eqNullSafe(F.col("_key")) & (_mark(key, text, host) == F.col("_mark")), "left_anti")
 
 
 def op1_host_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
