@@ -52,6 +52,26 @@ def test_planted_cases(spark, tmp_path):
     assert set(range(10_000, 10_020)) <= kept and not kept & {20_000, 20_001, 20_002}
 
 
+def test_near_duplicates_from_four_fifths_on(spark):
+    """The stage's contract is five words and 0.8: pairs from there to 0.85 are one class, pairs below are not."""
+    words = [[f"w{k}x{i}" for i in range(200)] for k in range(4)]
+
+    def changed(k, n):
+        return [f"new{i}" if i in range(20, 20 + 40 * n, 40) else w for i, w in enumerate(words[k])]
+
+    pairs = [(words[0], words[0] + [f"more{i}" for i in range(45)]), (words[1], changed(1, 4)), (words[2], changed(2, 5)), (words[3], words[3] + [f"more{i}" for i in range(50)])]
+
+    def jaccard(a, b, size):
+        a, b = ({tuple(x[i : i + size]) for i in range(len(x) - size + 1)} for x in (a, b))
+        return len(a & b) / len(a | b)
+
+    assert [jaccard(a, b, 5) >= 0.8 for a, b in pairs] == [True, True, False, False]
+    assert not any(jaccard(a, b, 4) >= 0.85 for a, b in pairs)
+    rows = [(10 * k + j, " ".join(t), "en", "src1", 0) for k, pair in enumerate(pairs) for j, t in enumerate(pair)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    assert {r.doc_id for r in cp.near_duplicates(spark, docs, SF).collect()} == {0, 10, 20, 21, 30, 31}
+
+
 def test_empty(spark):
     docs = nothing(spark).select("doc_id", "text", "lang", "source", "n_chars")
     for _, step in cp.STAGES:
