@@ -1,3 +1,4 @@
+import numpy as np
 import pytest
 from helpers import documents, nothing
 from pyspark.sql import functions as F
@@ -40,6 +41,16 @@ def test_few_labels(spark):
     assert both.score(docs, ["doc_id"]).count() == docs.count()
 
 
+def test_texts_that_begin_alike_are_learned_from_each(spark):
+    """Texts share an opening of over 64 characters; equal whole texts count once."""
+    header = "From the archive of messages to the list, kept in order of arrival: " * 2
+    rows = [(f"{header} number{i} vermazoid", 1.0) for i in range(10)] + [(f"{header} zzz{i} pleasant", 0.0) for i in range(40)]
+    rows += [(f"{header}  Number0 VERMAZOID copied", 1.0)] * 30
+    found = tx.learn_lexicon(spark.createDataFrame(rows, "text string, label double"))
+    # 11 different toxic texts have the word, no clean one: log(11.5 / 0.5) less the log odds of 11 to 40.
+    assert found == {"vermazoid": pytest.approx(np.log(11.5 / 0.5) - np.log(11 / 40))}
+
+
 def test_spelling():
     assert tx.unmasked("1d10t") == "idiot" and tx.unmasked("s.c.u.m") == "scum" and tx.unmasked("$tup!d.") == "stupid"
     row = tx.word_features({})([b"You", b"1D10T!", b"idiot,", b"e-mail", b"v2.0", "é%%%".encode()])

@@ -140,11 +140,13 @@ def with_features(docs: DataFrame, lexicon: dict[str, float], keep: list[str], t
 def learn_lexicon(sample: DataFrame, text: str = "text", label: str = "label", least: int = 5, most: int = 500) -> dict[str, float]:
     """Words far commoner in positive texts: word -> log odds ratio, the ``most`` strongest.
 
-    Texts that begin alike count once, so that copies of one text don't make its words insults.
+    Equal whole texts of one label (but for case and white space) count once, so that copies of one
+    text don't make its words insults; every other text counts with its own label and all its words.
     """
     said = F.split(F.lower(F.col(text)), r"[\x20\x09-\x0D]+")
     bare = F.transform(said, lambda w: F.btrim(w, F.lit(".,;:!?\"'()[]{}<>|*#%&$-_~")))
-    words = sample.groupBy(F.substring(text, 1, 64).alias("start")).agg(F.max(text).alias("t"), F.max(label).alias("label"))
+    whole = F.sha2(F.array_join(F.filter(said, lambda w: w != ""), " "), 256)
+    words = sample.groupBy(whole.alias("whole"), F.col(label).alias("label")).agg(F.max(text).alias("t"))
     total = words.agg(F.count(F.lit(1)).alias("n"), F.sum("label").alias("k")).first()
     n, k = total["n"], total["k"] or 0
     if not n or not k or k == n:
