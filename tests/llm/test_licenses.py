@@ -1,5 +1,7 @@
 import re
+import textwrap
 
+import pytest
 from helpers import documents, nothing
 
 from wanderlake.llm import licenses as lic
@@ -52,6 +54,52 @@ def test_sentences_and_offsets_against_another_way():
     assert [k for k, *_ in got] == [i for i, n in enumerate(brute_sentences(text)) if n in lic._BY_TEXT]
 
 
+NOTICES = {
+    "MIT": """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.""",
+    "GPL-3.0-or-later": """This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.
+
+This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.""",
+    "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.",
+    "BSD-3-Clause": """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.
+3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.""",
+    "Apache-2.0": """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at
+
+http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.""",
+}
+
+
+def wrapped(text, mark, width=72):
+    return "\n".join(f"{mark}{line}" for part in text.split("\n") for line in textwrap.wrap(part, width, break_on_hyphens=False) or [""])
+
+
+@pytest.mark.parametrize("mark", ["", " * ", "// ", "# ", "-- ", ";; ", "REM ", "dnl "])
+def test_wrapped_notices(mark):
+    notices = NOTICES | {n: ". ".join(lic.SENTENCES[i] for i in r[-1]) + "." for n, r in lic.RULES.items() if n not in NOTICES}
+    # The full rule, from its second sentence on; the rule from the first ends at the address.
+    full = NOTICES["Apache-2.0"].split("; ", 1)[1].capitalize()
+    for name, notice in [*notices.items(), ("Apache-2.0", full)]:
+        for width in (30, 72):
+            text = f"{mark}Copyright 2020 A. Writer\n{mark}\n{wrapped(notice, mark, width)}\n{mark}\n{mark}import this"
+            hits = lic.match_rules(lic.known_sentences(text))
+            assert [h[0] for h in hits] == [name], (name, width)
+            (_, start, end), first, final = hits[0], notice.split()[0], "at" if notice == NOTICES["Apache-2.0"] else notice.split()[-1]
+            assert text[start:end].lstrip(" */#;-").startswith(first) and text[start:end].endswith(final)
+
+
+def test_spans_stop_at_blank_lines_and_items():
+    assert found("Released under\nthe MIT License.") == ["MIT"]
+    assert found("Released under\n\nthe MIT License.") == [] and found("Released under\n- the MIT License.") == []
+    a, b = text_of("mit-grant"), text_of("mit-condition")
+    assert found(f"{a}\nOne line\nand more\nof it.\nTwo.\n{b}") == ["MIT"] and found(f"{a}\nOne.\nTwo.\nThree.\n{b}") == []
+
+
 def test_frames(spark):
     docs = documents(spark)
     assert lic.scan_licenses(docs).count() == docs.count() and lic.scan_licenses(nothing(spark)).count() == 0

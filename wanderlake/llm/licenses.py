@@ -1,8 +1,9 @@
 """Operator 9, licence scans by sentence rules.
 
-A text falls into sentences (lines, and pieces that end in ``.``, ``;``, ``:``, ``!`` or ``?`` before white space); a sentence is
-normalised to lower-case letters and digits with single blanks. A known normalised sentence has an
-identifier; a licence rule is an ordered list of identifiers, which matches where they follow each
+A text falls into pieces (lines, and parts of lines that end in ``.``, ``;``, ``:``, ``!`` or ``?`` before white space); a piece is
+normalised to lower-case letters and digits with single blanks, so comment marks fall away (``rem`` and ``dnl`` too). A
+known sentence is a piece or several in a row, as in notices wrapped over lines or with marks inside; it crosses no
+blank line and enters no list item. A known normalised sentence has an identifier; a licence rule is an ordered list of identifiers, which matches where they follow each
 other with at most ``gap`` other sentences between. Where rules overlap, the longer one stands.
 
 Defined results: a null or empty text has no match; rules match as often as they occur, repeated rows
@@ -74,7 +75,9 @@ RULES = {
     "Unlicense": [["unlicense"]],
 }
 
-_SENTENCE = re.compile(r"[^\n]*?(?:[.;:!?](?=\s)|(?=\n)|$)")
+_SENTENCE = re.compile(r".+?(?:[.;:!?](?=\s)|$)")
+_COMMENT_WORD = re.compile(r"\s*(?:rem|dnl)\s+", re.IGNORECASE)
+_ITEM = re.compile(r"\s*([-+•])\s")
 _OTHER = re.compile(r"[^a-z0-9]+")
 
 
@@ -83,22 +86,52 @@ def normal(sentence: str) -> str:
     return _OTHER.sub(" ", sentence.lower()).strip()
 
 
-def known_sentences(text: str | None) -> list[tuple[int, str, int, int]]:
-    """(number among the non-empty sentences, identifier, start, end) of the text's known sentences."""
-    out, k, at = [], 0, 0
-    by_text = _BY_TEXT
-    while text and at < len(text):
-        m = _SENTENCE.match(text, at)
-        if m.end() == at:
-            at += 1
-            continue
-        said = normal(m[0])
-        if said:
-            if said in by_text:
+def _pieces(text: str) -> list[tuple[str, int, int, bool, bool]]:
+    """(normal form, start, end, begins, runs on) of the non-empty pieces of lines.
+
+    A piece begins a sentence behind a blank line and at a list item; it runs on where its line ends without a mark.
+    """
+    out, at, begins, bullet = [], 0, True, None
+    for line in text.split("\n"):
+        item = _ITEM.match(line)
+        # Where the line before starts with the same mark, it is a comment's, or an item's beside others.
+        begins |= item is not None and item[1] != bullet
+        bullet = item and item[1]
+        word, blank = _COMMENT_WORD.match(line), True
+        for m in _SENTENCE.finditer(line, word.end() if word else 0):
+            said = normal(m[0])
+            if said:
                 lead = len(m[0]) - len(m[0].lstrip())
-                out.append((k, by_text[said], m.start() + lead, m.end()))
-            k += 1
-        at = m.end()
+                out.append((said, at + m.start() + lead, at + m.end(), begins, m.end() == len(line) and m[0].rstrip()[-1] not in ".;:!?"))
+                begins = blank = False
+        begins |= blank
+        at += len(line) + 1
+    return out
+
+
+def known_sentences(text: str | None) -> list[tuple[int, str, int, int]]:
+    """(number among the non-empty sentences, identifier, start, end) of the text's known sentences.
+
+    At each piece the longest span of successive pieces that is a known sentence counts; other lines that run on
+    are one sentence with the next.
+    """
+    out, k, i, joins = [], 0, 0, False
+    pieces = _pieces(text) if text else []
+    while i < len(pieces):
+        said, start, _, begins, runs_on = pieces[i]
+        last = i if said in _BY_TEXT else None
+        whole, name, j = said, _BY_TEXT.get(said), i
+        while whole in _BEGINNINGS and j + 1 < len(pieces) and not pieces[j + 1][3]:
+            j += 1
+            whole = f"{whole} {pieces[j][0]}"
+            if whole in _BY_TEXT:
+                last, name = j, _BY_TEXT[whole]
+        k += last is not None or begins or not joins
+        joins = last is None and runs_on
+        if last is not None:
+            out.append((k - 1, name, start, pieces[last][2]))
+            i = last
+        i += 1
     return out
 
 
@@ -126,6 +159,8 @@ def match_rules(found: list[tuple[int, str, int, int]], gap: int = 2) -> list[tu
 
 
 _BY_TEXT = {v: k for k, v in SENTENCES.items()}
+#: Known sentences as far as each of their words but the last.
+_BEGINNINGS = {v[:i] for v in SENTENCES.values() for i, c in enumerate(v) if c == " "}
 
 
 def scan_licenses(docs: DataFrame, text: str = "text", gap: int = 2, keep: list[str] | None = None) -> DataFrame:
