@@ -4,18 +4,27 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _own_dir: dict[str, str] = {}
+#: Lets Spark delete the shuffle files of a query as it ends: what it wrote is read back instead.
+_RELEASE = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, or a temporary folder of this application where it is unset."""
+    """spark.checkpoint.dir; where it is unset, a temporary folder of this application if it runs in one process, else an error."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
-        base = _own_dir.setdefault(spark.sparkContext.applicationId, tempfile.mkdtemp(prefix="wanderlake-"))
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        key = spark.sparkContext.applicationId
+        if key not in _own_dir:
+            _own_dir[key] = tempfile.mkdtemp(prefix="wanderlake-")
+        base = _own_dir[key]
     return base.rstrip("/")
 
 
@@ -24,11 +33,49 @@ def new_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/wanderlake-{label}-{uuid.uuid4().hex}"
 
 
+@contextmanager
+def shuffles_released(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of the queries inside go as each of them ends."""
+    before = spark.conf.get(_RELEASE, "false")
+    spark.conf.set(_RELEASE, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(_RELEASE, before)
+
+
 def stage(df: DataFrame, label: str) -> DataFrame:
     """Write as Parquet in the shared folder and read back, so that lost executors repeat nothing before it."""
-    path = new_path(df.sparkSession, label)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark = df.sparkSession
+    path = new_path(spark, label)
+    with shuffles_released(spark):
+        df.write.option("compression", "zstd").parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._staged_at = path
+    return out
+
+
+def stage_bucketed(df: DataFrame, label: str, column: str, buckets: int, *parts: str) -> DataFrame:
+    """Like ``stage``, kept in buckets of ``column`` (and folders of ``parts``): joins and groups by it don't shuffle these rows."""
+    spark = df.sparkSession
+    path = new_path(spark, label)
+    name = f"wanderlake_{label}_{uuid.uuid4().hex}"
+    writer = df.write.format("parquet").option("compression", "zstd").option("path", path).bucketBy(buckets, column)
+    with shuffles_released(spark):
+        (writer.partitionBy(*parts) if parts else writer).saveAsTable(name)
+    out = spark.table(name)
+    out._staged_at, out._staged_as = path, name
+    return out
+
+
+def discard(*staged: DataFrame) -> None:
+    """Deletes the files of staged tables that nothing reads any more."""
+    for df in staged:
+        spark = df.sparkSession
+        if name := getattr(df, "_staged_as", None):
+            spark.sql(f"DROP TABLE IF EXISTS {name}")
+        path = spark._jvm.org.apache.hadoop.fs.Path(df._staged_at)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def ordered_index(df: DataFrame, *order: Column, name: str = "idx") -> DataFrame:
