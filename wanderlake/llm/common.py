@@ -1,43 +1,16 @@
-"""What the corpus operators share: staging in the cluster's shared folder, folds, salted lookups."""
+"""What the corpus operators share: staging (of the library), folds, salted lookups."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.staging import discard, new_path, shared_dir, stage  # noqa: F401
+
 #: The six ASCII white-space characters; everything else belongs to words.
 WHITE = " \t\n\x0b\f\r"
 WHITE_RE = "[\\x20\\x09-\\x0D]+"
 
-_own_dir: dict[str, str] = {}
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (spark.checkpoint.dir); a temporary one only where it is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not base:
-        key = spark.sparkContext.applicationId
-        base = _own_dir.setdefault(key, tempfile.mkdtemp(prefix="wanderlake-"))
-    return base.rstrip("/")
-
-
-def new_path(spark: SparkSession, label: str) -> str:
-    """A path in the shared folder that nothing has used."""
-    return f"{shared_dir(spark)}/wanderlake-{label}-{uuid.uuid4().hex}"
-
-
-def stage(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it back: lineage ends there, and a
-    lost executor costs no recomputation of what lies before."""
-    spark = df.sparkSession
-    path = new_path(spark, label)
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def small_batches(spark: SparkSession, size: str = "4m") -> None:
     """Whole texts and blocks of texts go to Python: bounds the bytes of a batch, as rows may be of any length."""
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
