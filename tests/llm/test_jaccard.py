@@ -57,7 +57,7 @@ def corpus(seed, n=260):
     return list(enumerate(texts))
 
 
-@pytest.mark.parametrize("seed,how", [(1, {}), (2, {"leaf": 2}), (3, {"leaf": 2, "block": 5}), (4, {"small": 0})])
+@pytest.mark.parametrize("seed,how", [(1, {}), (2, {"leaf": 2}), (3, {"leaf": 2, "block": 5}), (4, {"small": 0}), (5, {"hot": 3, "leaf": 4}), (6, {"hot": 3, "small": 20})])
 def test_against_all_pairs(spark, seed, how):
     rows = corpus(seed)
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stage
+from .common import discard, stage
 
 
 def _few(df: DataFrame, rows: int, each: int = 100_000) -> DataFrame:
@@ -37,6 +37,8 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
             found = stage(_few(found.join(step, F.col("root") == F.col("_id"), "left").select("id", F.coalesce("up", "root").alias("root")), size), "roots")
         left = edges.join(step, F.col("u") == F.col("_id")).select(F.col("up").alias("u"), "v")
         left = left.join(step, F.col("v") == F.col("_id")).select("u", F.col("up").alias("v"))
-        edges = stage(_few(left.filter("u != v").distinct(), size), "edges")
+        shorter = stage(_few(left.filter("u != v").distinct(), size), "edges")
+        discard(edges)
+        edges = shorter
         if edges.isEmpty():
             return found

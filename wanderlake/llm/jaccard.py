@@ -3,16 +3,18 @@
 A text's set holds the 64-bit hashes of its distinct word shingles. Texts with equal sets are one
 entry. Two sets that reach the threshold share one of the first (1 - t) of their shingles in any
 common order, so entries meet in buckets of those shingles; shingles that many texts share come last
-in the order, which keeps buckets small. A bucket of up to ``leaf`` entries is one leaf, whose pairs must meet in as
-many buckets as their prefixes must share shingles. In a larger bucket, a signature tree (nodes with OR-combined bitmaps
-and size ranges, entries in order of size) is traversed against itself; a node pair falls where its
-largest possible overlap misses the threshold. Pairs that pass are verified exactly.
+in the order, which keeps buckets small. Buckets with the same entries are one bucket, with the number of its
+shingles. Each bucket has a signature tree (nodes with OR-combined bitmaps and size ranges, entries in order of
+size), traversed against itself; a node pair falls where its largest possible overlap misses the
+threshold. A pair out of buckets of up to ``leaf`` entries must also meet in as many shingles as prefixes of
+partners share. Pairs that pass are verified exactly.
 
 A bucket of near copies has a square of pairs, but classes need fewer links: the first traversal skips
 what its own earlier pairs connect and marks buckets where it skipped something. Where verified links
 leave such a bucket in several classes, a second traversal returns every pair between classes. So no
 link between classes is lost, and no group is expanded into all pairs. Buckets over ``block`` entries
-are dealt as block pairs to as many tasks as that takes.
+are cut into blocks by size, and dealt as those pairs of blocks whose sizes are within reach. A shingle, a set or a
+class of over ``hot`` rows is looked up by broadcast, so that none of them fills a task.
 
 Defined results: a null text, or one without words, has an empty set and is alone; fewer words than the
 shingle size make one shingle of all; repeated rows and ids return as often as they occur; an empty
@@ -30,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import small_batches, stage
+from .common import discard, small_batches, stage
 from .components import components
 
 #: Sets from SMALL_SET on must share SHARED shingles of their prefixes, smaller ones one.
@@ -282,24 +284,26 @@ def _bucket_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
 
 
 def tree_pairs(rows: DataFrame, percent: int, spanning: bool) -> DataFrame:
-    """a, b, token: pairs to verify (token null), and with ``spanning`` the members a of groups (token, b null) that pairs
-    connect, where others were skipped.
+    """a, b, token, met: pairs to verify (token null) with the number of the bucket's shingles, and with ``spanning`` the
+    members a of groups (token, b null) that pairs connect, where others were skipped.
 
-    ``rows``: token, x, y (block pair), own (block), id, label, n, bitmap[, tokens]. With ``tokens``, the entry's
-    buckets, a pair comes only from the first bucket where it meets.
+    ``rows``: token, x, y (block pair), own (block), id, label, n, bitmap[, tokens][, weight]. With ``tokens``, the entry's
+    buckets, a pair comes only from the first bucket where it meets. Pairs of sets that need share but one shingle
+    have met often enough.
     """
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     tokens = F.col("tokens") if "tokens" in rows.columns else F.lit(None).cast("array<long>").alias("tokens")
-    dealt = rows.select("token", "x", "y", "own", "id", "label", "n", "bitmap", tokens).repartition(parts, "token", "x", "y").sortWithinPartitions("token", "x", "y", "n", "id")
+    weight = F.col("weight") if "weight" in rows.columns else F.lit(SHARED).alias("weight")
+    dealt = rows.select("token", "x", "y", "own", "id", "label", "n", "bitmap", tokens, weight.cast("long")).repartition(parts, "token", "x", "y").sortWithinPartitions("token", "x", "y", "n", "id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
         for table in _bucket_rows(batches):
             token, x, y, own, ids, label, n = (table.column(c).to_numpy() for c in range(7))
-            maps = table.column(7).to_pylist()
+            maps, weights = table.column(7).to_pylist(), table.column(9).to_numpy()
             starts = np.concatenate([[0], np.flatnonzero((token[1:] != token[:-1]) | (x[1:] != x[:-1]) | (y[1:] != y[:-1])) + 1, [len(token)]])
-            found: list[tuple[int, int]] = []
+            found: list[tuple[int, int, int]] = []
             groups: list[np.ndarray] = []
             bits = [np.frombuffer(m, np.uint64) for m in maps]
             lists = [None if t is None else set(t) for t in table.column(8).to_pylist()]
@@ -314,7 +318,7 @@ def tree_pairs(rows: DataFrame, percent: int, spanning: bool) -> DataFrame:
                     here = int(token[p])
                     first = (lambda i, j, p=p, here=here: min(lists[p + i] & lists[p + j]) == here) if lists[p] is not None else (lambda i, j: True)
                     pairs, grown = _Bucket(n[p:q], bits[p:q], percent).pairs(label[p:q], None if x[p] == y[p] else own[p:q], spanning, first)
-                    found += [(p + i, p + j) for i, j in pairs]
+                    found += [(p + i, p + j, int(weights[p]) if n[p + i] >= SMALL_SET else SHARED) for i, j in pairs]
                     groups += [p + m for m in grown]
             a, b = (ids[[k[c] for k in found]] if found else np.zeros(0, np.int64) for c in (0, 1))
             member = np.concatenate([*groups, np.zeros(0, np.int64)]).astype(np.int64)
@@ -323,31 +327,68 @@ def tree_pairs(rows: DataFrame, percent: int, spanning: bool) -> DataFrame:
             named = np.repeat(np.array(names, np.uint64).view(np.int64), [len(m) for m in groups]) if groups else np.zeros(0, np.int64)
             no_token = np.arange(len(a) + len(member)) < len(a)
             cols = [pa.array(np.concatenate([np.minimum(a, b), ids[member]])), pa.array(np.concatenate([np.maximum(a, b), np.zeros(len(member), np.int64)]), mask=~no_token), pa.array(np.concatenate([np.zeros(len(a), np.int64), named]), mask=no_token)]
-            yield pa.RecordBatch.from_arrays(cols, names=["a", "b", "token"])
+            met = pa.array(np.array([k[2] for k in found] + [0] * len(member), np.int64), mask=~no_token)
+            yield pa.RecordBatch.from_arrays([*cols, met], names=["a", "b", "token", "met"])
 
-    return dealt.mapInArrow(run, "a long, b long, token long")
+    return dealt.mapInArrow(run, "a long, b long, token long, met long")
 
 
-def leaf_pairs(rows: DataFrame, percent: int) -> DataFrame:
-    """a, b: the pairs of buckets of one leaf that share enough shingles, counted over those buckets.
+def _blocks(rows: DataFrame, block: int, percent: int) -> DataFrame:
+    """The rows of each bucket once, or where a bucket has over ``block`` rows, once for each pair of its blocks with sizes within reach.
 
-    A pair whose shared shingles all have such buckets meets in as many of them as partners must share;
-    a pair that shares a shingle with a larger bucket is found by that bucket's tree.
+    Blocks are ranges of (size, hash of id), so that many rows of one size are several blocks.
     """
-    lists = rows.groupBy("token").agg(F.sort_array(F.collect_list(F.struct("n", "id"))).alias("m"))
-    couples = "flatten(transform(sequence(1, size(m) - 1), i -> transform(slice(m, i + 1, size(m)), x -> struct(m[i - 1] as p, x as q))))"
-    met = lists.filter("size(m) > 1").select(F.explode(F.expr(couples)).alias("c")).filter(f"100 * c.p.n >= {percent} * c.q.n")
-    met = met.select(F.least("c.p.id", "c.q.id").alias("a"), F.greatest("c.p.id", "c.q.id").alias("b"), F.col("c.p.n").alias("n"))
-    met = met.groupBy("a", "b", "n").agg(F.count(F.lit(1)).alias("met"))
-    return met.filter(f"met >= case when n >= {SMALL_SET} then {SHARED} else 1 end").select("a", "b")
-
-
-def _blocks(rows: DataFrame, block: int) -> DataFrame:
-    """The rows of each bucket once, or where a bucket has over ``block`` rows, once for each block pair."""
-    count = F.ceil(F.col("df") / F.lit(block)).cast("int")
-    out = rows.withColumn("own", F.pmod(F.xxhash64("id"), count).cast("int"))
-    out = out.withColumn("other", F.explode(F.sequence(F.lit(0), count - 1)))
-    return out.withColumn("x", F.least("own", "other")).withColumn("y", F.greatest("own", "other")).drop("other")
+    most = rows.agg(F.max("df")).first()[0] or 0
+    if most <= block:
+        return rows.withColumns({c: F.lit(0) for c in ("own", "x", "y")})
+    place = F.col("n") + F.pmod(F.xxhash64("id"), F.lit(1 << 20)) / F.lit(float(1 << 20))
+    large = stage(rows.filter(F.col("df") > block).withColumn("place", place), "large")
+    at = F.expr(f"transform(sequence(1, cast(ceil(df / {block}.0) as int) - 1), i -> i / ceil(df / {block}.0))")
+    # One row per bucket over ``block``; percentiles of each are merged from those of tasks.
+    fine = -(-most // block)
+    steps = F.percentile_approx("place", [k / fine for k in range(fine + 1)], max(10_000, 10 * fine))
+    cuts = large.groupBy("token", "df").agg(steps.alias("steps"))
+    cuts = cuts.select("token", F.transform(at, lambda q: F.element_at("steps", (F.round(q * fine) + 1).cast("int"))).alias("cuts"))
+    cuts = stage(cuts.withColumn("cuts", F.array_sort(F.array_distinct("cuts"))), "cuts")
+    out = large.join(F.broadcast(cuts) if cuts.count() <= 10_000 else cuts, "token")
+    out = out.withColumn("own", F.size(F.filter("cuts", lambda c: c <= F.col("place"))))
+    # Block i reaches from cut i - 1 to cut i; of two blocks the lower one's largest size must reach the upper one's smallest.
+    reach = f"filter(sequence(0, size(cuts)), j -> j = own or 100 * ceil(cuts[least(own, j)]) >= {percent} * floor(cuts[greatest(own, j) - 1]))"
+    out = out.withColumn("other", F.explode(F.expr(reach)))
+    out = out.withColumn("x", F.least("own", "other")).withColumn("y", F.greatest("own", "other"))
+    plain = rows.filter(F.col("df") <= block).withColumns({c: F.lit(0) for c in ("own", "x", "y")})
+    return plain.unionByName(out.select(*plain.columns))
+
+
+def _found(rows: DataFrame, table: DataFrame, key: str, own: str, often: str, hot: int, small: int, inner: bool) -> DataFrame:
+    """Join of many rows to a staged ``table`` of one row per key. Keys whose column ``often`` exceeds ``hot`` are broadcast, if they
+    are at most ``small``, and the rows that have them are spread by their ``own`` column, so that none of these keys fills a task."""
+    kind = "inner" if inner else "left"
+    stars = table.filter(F.col(often) > hot)
+    if not 0 < stars.count() <= small:
+        return rows.join(table, key, kind)
+    more = [c for c in table.columns if c != key]
+    stars = stars.select(F.col(key).alias("_key"), F.struct(*more).alias("_star"))
+    out = rows.join(F.broadcast(stars), F.col(key) == F.col("_key"), "left").drop("_key")
+    spread = F.xxhash64(own, F.lit(11))
+    none = spread if dict(rows.dtypes)[key] == "bigint" else F.sha2(spread.cast("string"), 256).cast("binary")
+    rest = table.filter(F.col(often) <= hot).select(F.col(key).alias("_key"), F.struct(*more).alias("_rest"))
+    out = out.withColumn("_at", F.when(F.col("_star").isNull(), F.col(key)).otherwise(none)).join(rest, F.col("_at") == F.col("_key"), "left")
+    out = out.withColumn("_both", F.coalesce("_star", "_rest"))
+    out = out.filter("_both is not null") if inner else out
+    return out.select(*[F.col(c) for c in rows.columns], *[F.col(f"_both.{c}").alias(c) for c in more])
+
+
+def bucket_rows(entries: DataFrame, hot: int, small: int) -> DataFrame:
+    """token, id, n, df, weight: the entries of each distinct bucket of two or more; ``weight`` shingles have these entries."""
+    rows = entries.select("id", "n", F.explode("shingles").alias("token"))
+    shared = stage(rows.groupBy("token").agg(F.count(F.lit(1)).alias("df")).filter("df > 1"), "shared")
+    meets = stage(_found(rows, shared, "token", "id", "df", hot, small, True), "meets")
+    same = meets.groupBy("token", "df").agg(F.bit_xor(F.xxhash64("id")).alias("h"), F.bit_xor(F.xxhash64("id", F.lit(7))).alias("g"))
+    same = stage(same.groupBy("df", "h", "g").agg(F.min("token").alias("token"), F.count(F.lit(1)).alias("weight")).select("token", "df", "weight"), "buckets")
+    out = stage(_found(meets.select("id", "n", "token"), same, "token", "id", "df", hot, small, True), "members")
+    discard(shared, meets, same)
+    return out
 
 
 def _verified(pairs: DataFrame, entries: DataFrame, docs: DataFrame, key: str, text: str, size: int, percent: int, small: int = 200_000) -> DataFrame:
@@ -373,7 +414,7 @@ def _of(entries: DataFrame, rows: DataFrame, small: int) -> DataFrame:
     return entries.join(F.broadcast(ids), "id", "left_semi") if ids.count() <= small else entries
 
 
-def near_duplicate_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 4, percent: int = 85, block: int = 4000, small: int = 500_000, leaf: int = 16) -> DataFrame:
+def near_duplicate_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 4, percent: int = 85, block: int = 4000, small: int = 500_000, leaf: int = 16, hot: int = 1000) -> DataFrame:
     """key, n_shingles, component_id (smallest key of the class), one row per row of ``docs``."""
     small_batches(docs.sparkSession)
     common = common_shingles(docs, text, size)
@@ -381,20 +422,24 @@ def near_duplicate_classes(docs: DataFrame, key: str = "doc_id", text: str = "te
     made = stage(made, "shingles")
     # An entry is the first row of a distinct set; of the rows that tasks have kept, others are left out.
     slim = made.select("id", "key", "n", "digest", F.col("bitmap").isNotNull().alias("kept"))
-    first = slim.filter("n > 0").groupBy("digest").agg(F.min("id").alias("entry"))
-    owned = stage(slim.join(first, "digest", "left").select("id", "key", "n", "kept", "entry"), "owned")
+    first = stage(slim.filter("n > 0").groupBy("digest").agg(F.min("id").alias("entry"), F.count(F.lit(1)).alias("rows")), "first")
+    # Empty sets meet no entry; each keeps to itself instead of all to one task.
+    slim = slim.withColumn("digest", F.when(F.col("n") > 0, F.col("digest")).otherwise(F.col("id").cast("string").cast("binary")))
+    owned = stage(_found(slim, first, "digest", "id", "rows", hot, small, False).select("id", "key", "n", "kept", "entry"), "owned")
+    discard(first)
     extra = owned.filter("kept and id != entry").select("id")
     extra = F.broadcast(extra) if extra.count() <= small else extra
     entries = made.filter("bitmap is not null").join(extra, "id", "left_anti").select("id", "key", "digest", "n", "shingles", "bitmap")
-    rows = entries.select("id", "n", F.explode("shingles").alias("token"))
-    # A row stays where its bucket has another of a size within reach.
-    rows = rows.selectExpr("token", "id", "n", "count(*) over (partition by token) as df", "lag(n) over (partition by token order by n, id) as below", "lead(n) over (partition by token order by n, id) as above")
-    meets = stage(rows.filter(f"100 * below >= {percent} * n or 100 * n >= {percent} * above").select("token", "id", "n", "df"), "meets")
-    close = leaf_pairs(meets.filter(F.col("df") <= leaf), percent)
-    meets = meets.filter(F.col("df") > leaf)
-    rows = _blocks(meets.withColumn("label", F.col("id")), block).join(_of(entries, meets, small).select("id", "bitmap"), "id")
+    members = bucket_rows(entries, hot, small)
+    few = members.filter(F.col("df") <= leaf)
+    rows = few.withColumn("label", F.col("id")).withColumns({c: F.lit(0) for c in ("x", "y", "own")})
+    close = tree_pairs(rows.join(_of(entries, few, small).select("id", "bitmap"), "id"), percent, False)
+    close = stage(close.groupBy("a", "b").agg(F.sum("met").alias("met")).filter(F.col("met") >= SHARED).select("a", "b"), "close")
+    many = members.filter(F.col("df") > leaf).drop("weight")
+    rows = _blocks(many.withColumn("label", F.col("id")), block, percent).join(_of(entries, many, small).select("id", "bitmap"), "id")
     pairs = stage(tree_pairs(rows, percent, True), "pairs")
     close = stage(close.union(pairs.filter("b is not null").select("a", "b")).distinct(), "close")
+    discard(members)
     tried = _verified(close, entries, docs, key, text, size, percent)
     links = tried.filter("linked").select("a", "b")
     roots = components(links)
@@ -402,7 +447,8 @@ def near_duplicate_classes(docs: DataFrame, key: str = "doc_id", text: str = "te
     if not groups.isEmpty() and not tried.filter("not linked").isEmpty():
         # Groups whose members the verified links leave in several classes.
         again = groups.join(roots, "id", "left").select("id", "token", F.coalesce("root", "id").alias("label"))
-        split = again.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo != hi").select("token")
+        split = stage(again.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo != hi").select("token"), "split")
+        split = F.broadcast(split) if split.count() <= small else split
         again = stage(again.join(split, "token", "left_semi"), "again")
         again = again.join(again.groupBy("id").agg(F.collect_list("token").alias("tokens")), "id").join(_of(entries, again, small).select("id", "n", "bitmap"), "id")
         again = again.withColumns({c: F.lit(0) for c in ("x", "y", "own")})
@@ -411,11 +457,20 @@ def near_duplicate_classes(docs: DataFrame, key: str = "doc_id", text: str = "te
         if not more.isEmpty():
             found = _verified(more, entries, docs, key, text, size, percent).filter("linked").select("a", "b")
             roots = components(links.union(found))
-    owned = owned.select("key", "n", "entry").join(roots.select(F.col("id").alias("entry"), "root"), "entry", "left")
-    owned = owned.select("key", "n", F.coalesce("root", "entry").alias("class"))
-    least = owned.filter("class is not null").groupBy("class").agg(F.min("key").alias("least"))
-    out = owned.join(least, "class", "left")
-    return out.select(F.col("key").alias(key), F.col("n").alias("n_shingles"), F.coalesce("least", "key").alias("component_id"))
+    roots = roots.select(F.col("id").alias("entry"), "root")
+    if roots.count() <= small:
+        roots = F.broadcast(roots)
+    else:
+        # Many rows of one set: they look its root up by broadcast.
+        roots = stage(roots.join(owned.groupBy("entry").agg(F.count(F.lit(1)).alias("rows")), "entry"), "roots")
+    owned = owned.select("id", "key", "n", F.coalesce("entry", -1 - F.col("id")).alias("entry"))
+    owned = owned.join(roots, "entry", "left") if "rows" not in roots.columns else _found(owned, roots, "entry", "id", "rows", hot, small, False)
+    owned = stage(owned.select("id", "key", "n", F.coalesce("root", "entry").alias("class")), "owned")
+    least = stage(owned.groupBy("class").agg(F.min("key").alias("least"), F.count(F.lit(1)).alias("rows")).filter("rows > 1"), "least")
+    out = _found(owned, least, "class", "id", "rows", hot, small, False)
+    out = out.select(F.col("key").alias(key), F.col("n").alias("n_shingles"), F.coalesce("least", "key").alias("component_id"))
+    discard(made)
+    return out
 
 
 def one_per_class(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 4, percent: int = 85, small: int = 1_000_000) -> DataFrame:
