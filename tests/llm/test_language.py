@@ -80,8 +80,56 @@ def test_held_out_accuracy(spark):
     for i, t in enumerate(ODD_TEXTS):
         if not t or not any(map(str.isalpha, t)):
             assert (odd[i].lang_pred, odd[i].score, odd[i].rejected) == ("und", 0.0, True)
-    noise = spark.createDataFrame([("zqxj wvkqz xxqj zzkw qjxv " * 40,)], "text string")
-    assert lg.identify(noise, models).first().rejected
+    for lang in held.lang.unique():
+        own = held[held.lang == lang]
+        assert (own.lang_pred == lang).mean() > 0.95 and own.rejected.sum() <= 1, lang
+    rng = random.Random(4)
+    noise = [
+        "zqxj wvkqz xxqj zzkw qjxv " * 40,
+        "".join(rng.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(600)),
+        "съешь же ещё этих мягких французских булок да выпей чаю " * 10,
+        "Onko sinulla koskaan ollut sellainen tunne että kaikki menee pieleen mutta silti hymyilet " * 5,
+        *["".join(rng.sample(t, len(t))) for t in held.text[held.text.str.len().between(500, 5000)].tolist()[:5]],
+    ]
+    assert lg.identify(spark.createDataFrame([(t,) for t in noise], "text string"), models).filter("rejected").count() == len(noise)
+
+
+def test_reach_is_a_quantile_of_calibration_texts():
+    """With many calibration texts one in a thousand is beyond; with few, what is far out still is."""
+    rng = np.random.default_rng(2)
+
+    def calibrated(rows):
+        models = lg.LanguageModels(["x"], 1, np.zeros(1), [], [])
+        n = rng.integers(20, 3000, rows).astype(float)
+        entropy = 2 + 0.05 * rng.standard_normal(rows) + 2 / np.sqrt(n) * rng.standard_normal(rows)
+        totals = np.column_stack([-entropy * n, n])
+        lg._calibrate(models, [(0, t) for t in totals])
+        return models, models.judge(totals)[3].mean()
+
+    models, share = calibrated(20_000)
+    assert 0.0005 <= share <= 0.0011 and models.reach < 5
+    for rows in (1, 5, 200):
+        models, share = calibrated(rows)
+        assert share == 0 and models.reach <= lg.FAR_TEXT
+        assert models.judge(np.array([[-5 * 500.0, 500.0], [-2 * 500.0, 500.0]]))[3].tolist()[0]
+
+
+def test_ties_between_languages(spark):
+    """Languages with the same texts: the first by name."""
+    text = "aba cada bra abra cadabra " * 5
+    docs = spark.createDataFrame([(i, f"{text} {'abc'[i % 3]}", lang) for i in range(60) for lang in ("b", "a")], "doc_id long, text string, lang string")
+    models = lg.fit_languages(docs)
+    assert models.languages == ["a", "b"]
+    assert {r.lang_pred for r in lg.identify(docs, models, keep=["doc_id"]).collect()} == {"a"}
+
+
+def test_a_group_of_copies_is_one_text_of_the_sample(spark):
+    """Copies of one text, however many, neither fill the sample nor stay out of it as a whole."""
+    rows = [(i, "same words here again and again", "x") for i in range(500)] + [(1000 + i, f"text {chr(97 + i % 26)}{chr(97 + i // 26)} of its own", "x") for i in range(100)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    models = lg.fit_languages(docs, max_docs=600)
+    plain = lg.fit_languages(docs.filter("doc_id = 0 or doc_id >= 1000"), max_docs=600)
+    assert np.allclose(models.word_scores([b"same", b"own"]), plain.word_scores([b"same", b"own"]))
 
 
 def test_nothing_to_learn_from(spark):

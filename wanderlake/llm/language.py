@@ -4,9 +4,10 @@ One model per language over the letters of a word and its two ends, orders 1 to
 of all languages lie side by side in sorted arrays of n-gram hashes: one search gives every language's
 log probability. A text's cross-entropy is the sum over its words' letters divided by their number;
 the language with the lowest is chosen, and a text is rejected whose cross-entropy lies further above
-that language's own level than any calibration text's.
+that language's own level, in units of the spread at its length, than all but ``REJECTED`` of calibration texts'.
 
-Models are fitted on a bounded sample: at most about ``max_docs`` documents a language, chosen by hash.
+Models are fitted on a bounded sample: at most about ``max_docs`` documents a language, chosen by hash of their key,
+equal texts once; a third of it calibrates.
 Prediction reads every whole text. Defined results: a null text, or one without a letter, is ``und``,
 score 0, rejected; ties go to the first language by name; languages without letters in the sample
 are not learned; with nothing to learn from, everything is ``und``; repeated rows return as often.
@@ -29,6 +30,10 @@ from .tokens import TokenTable
 
 _LETTERS = re.compile(r"[^\W\d_]+")
 _EDGE = " "
+#: The share of calibration texts beyond the reach of their language.
+REJECTED = 0.001
+#: A text so far out counts beside the calibration texts, and as ``USUAL`` texts the usual spread of a letter (nats) and of a text's level do.
+FAR_TEXT, USUAL, USUAL_NOISE, USUAL_SPREAD = 15.0, 10, 1.0, 0.03
 
 
 def _letters(text: str) -> list[str]:
@@ -117,7 +122,7 @@ class LanguageModels:
         share = 1 / np.exp((totals[:, :-1] - top[:, None]) / self.temperature).sum(1)
         bad = n == 0
         if self.mean is not None:
-            far = (entropy - self.mean[best]) / (self.spread + self.noise / np.sqrt(np.maximum(n, 1)) + 1e-9)
+            far = (entropy - self.mean[best]) / (self.spread + self.noise / np.sqrt(np.maximum(n, 1)))
             bad = bad | (far > self.reach)
         names = ["und" if x == 0 else self.languages[b] for x, b in zip(n, best, strict=True)]
         return names, np.where(n > 0, share, 0.0), entropy, bad
@@ -228,54 +233,68 @@ def _totals(docs: DataFrame, sent, keep: list[str], text: str, judge: bool) -> D
     return source.mapInArrow(run, schema)
 
 
-def fit_languages(docs: DataFrame, lang: str = "lang", text: str = "text", order: int = 5, max_docs: int = 1500) -> LanguageModels:
-    """Models of the languages named in ``lang``, with calibrated temperature and rejection.
+def fit_languages(docs: DataFrame, lang: str = "lang", text: str = "text", key: str = "doc_id", order: int = 5, max_docs: int = 2400) -> LanguageModels:
+    """Models of the languages named in ``lang``, with calibrated temperature and rejection, which a third of the sample sets.
 
-    A tenth of the sample is held back to set them: each language's mean cross-entropy, the spread
-    of long texts about it, the noise of short ones, and ``reach``, twice as far as the farthest.
+    Rows without a key, or tables without that column, are chosen by hash of the text.
     """
     spark = docs.sparkSession
-    known = docs.filter(F.col(lang).isNotNull()).select(F.col(lang).alias("lang"), F.col(text).alias("text"))
+    spot = F.xxhash64(text)
+    if key in docs.columns:
+        spot = F.when(F.col(key).isNull(), spot).otherwise(F.xxhash64(key))
+    known = docs.filter(F.col(lang).isNotNull()).select(F.col(lang).alias("lang"), F.col(text).alias("text"), spot.alias("spot"))
     parts = known.groupBy("lang").agg((F.lit(1e6) * F.least(F.lit(1.0), F.lit(max_docs) / F.count(F.lit(1)))).alias("part"))
-    spot = F.xxhash64("text")
     # One row per language, so few; beyond a count that holds for languages, Spark picks the join.
     parts = stage(parts, "languages")
     parts = F.broadcast(parts) if parts.count() <= 10_000 else parts
-    sample = known.join(parts, "lang").filter(F.col("text").isNotNull() & (F.pmod(spot, F.lit(1_000_000)) < F.col("part"))).select("lang", "text", (F.pmod(F.xxhash64(spot), F.lit(10)) == 0).alias("held"))
-    sample = sample.persist()
+    sample = known.join(parts, "lang").filter(F.col("text").isNotNull() & (F.pmod("spot", F.lit(1_000_000)) < F.col("part"))).select("lang", "text", F.xxhash64("text").alias("mark"))
+    sample = sample.dropDuplicates(["lang", "mark"]).select("lang", "text", (F.pmod(F.xxhash64("mark"), F.lit(3)) == 0).alias("held")).persist()
     counts: dict[str, dict[str, int]] = {}
     for row in letter_grams(sample.filter("not held"), "lang", "text", order).collect():
         counts.setdefault(row["lang"], {})[row["gram"]] = row["n"]
     models = kneser_ney(counts, order)
     if models.languages:
+        # A third of a sample bounded by max_docs a language.
         held = _totals(sample.filter("held"), spark.sparkContext.broadcast(vars(models)), ["lang"], "text", False).collect()
         held = [(models.languages.index(r["lang"]), np.array(r["totals"])) for r in held if r["lang"] in counts and r["totals"][-1] > 0]
-        _calibrate(models, held)
+        if held:
+            _calibrate(models, held)
     sample.unpersist()
     return models
 
 
 def _calibrate(models: LanguageModels, held: list[tuple[int, np.ndarray]]) -> None:
-    if len(held) < 20:
-        return
+    """Level of each language, spread of long and of short texts about it, reach and temperature.
+
+    Texts count with the language chosen for them, as when they are judged. Spreads are median deviations, so odd texts don't widen them; ``reach`` is the place
+    that all but ``REJECTED`` of the calibration texts and one at ``FAR_TEXT`` lie within, so few calibration texts reject only what is far out.
+    """
     true, totals = np.array([j for j, _ in held]), np.stack([t for _, t in held])
-    n = totals[:, -1]
-    entropy = -totals[np.arange(len(n)), true] / n
-    mean = np.array([np.average(entropy[true == j], weights=n[true == j]) if (true == j).any() else np.average(entropy, weights=n) for j in range(len(models.languages))])
-    off = entropy - mean[true]
-    long_ = n >= np.median(n)
-    models.mean, models.spread, models.noise = mean, float(off[long_].std()), float((off * np.sqrt(n)).std())
-    models.reach = max(10.0, 2 * float((off / (models.spread + models.noise / np.sqrt(n) + 1e-9)).max()))
+    n, chosen = totals[:, -1], totals[:, :-1].argmax(1)
+    entropy = -totals[np.arange(len(n)), chosen] / n
+    models.mean = mean = np.array([np.median(entropy[chosen == j]) if (chosen == j).any() else np.median(entropy) for j in range(len(models.languages))])
+    off = entropy - mean[chosen]
+    models.spread = _deviation(off[n >= np.median(n)], USUAL_SPREAD)
+    models.noise = _deviation((off * np.sqrt(n))[n <= np.median(n)], USUAL_NOISE)
+    far = np.sort(np.append(off / (models.spread + models.noise / np.sqrt(n)), FAR_TEXT))
+    models.reach = float(far[int(np.ceil(len(far) * (1 - REJECTED))) - 1])
     best = None
     for t in (1.0, 2.0, 4.0, 8.0, 16.0, 32.0, 64.0):
         x = totals[:, :-1] / t
         x = x - x.max(1, keepdims=True)
-        loss = -np.mean(x[np.arange(len(n)), true] - np.log(np.exp(x).sum(1)))
+        # Less the worst hundredth: texts that are labelled wrongly or mix languages say nothing of confidence.
+        each = np.sort(np.log(np.exp(x).sum(1)) - x[np.arange(len(n)), true])
+        loss = each[: -(-99 * len(each) // 100)].mean()
         if best is None or loss < best[0]:
             best = (loss, t)
     models.temperature = best[1]
 
 
+def _deviation(values: np.ndarray, usual: float) -> float:
+    """The median deviation as that of a normal law, with the usual one as ``USUAL`` further values."""
+    return float(1.4826 * np.median(np.append(np.abs(values), np.full(USUAL, usual / 1.4826))))
+
+
 def identify(docs: DataFrame, models: LanguageModels, keep: list[str] | None = None, text: str = "text") -> DataFrame:
     """The ``keep`` columns (default: all) with lang_pred, score, cross_entropy and rejected, which replace columns so named."""
     made = ("lang_pred", "score", "cross_entropy", "rejected")
