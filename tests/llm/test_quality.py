@@ -1,3 +1,4 @@
+import random
 import re
 from collections import Counter
 
@@ -38,9 +39,49 @@ def test_hosts(spark):
     assert {r.doc_id for r in quality.keep_by_host_rules(docs).collect()} == {*range(200), 502}
 
 
+def test_windows_with_equal_hashes(spark):
+    """Windows whose hashes collide are told apart, and repeats among them still found."""
+    rng = random.Random(3)
+    texts = [" ".join(rng.choice("abcdefgh") for _ in range(rng.randrange(0, 60))) for _ in range(40)]
+    docs = spark.createDataFrame([(i, t, "h") for i, t in enumerate(texts)], "doc_id long, text string, source string")
+    for mask in (-1, 1, 0):
+        got = {r.doc_id: r.n_repeat_words for r in quality.document_measures(docs, hash_mask=mask).collect()}
+        assert got == {i: brute(t)[4] for i, t in enumerate(texts)}, mask
+
+
+def hosts(spark, fails):
+    """Documents of hosts: name -> (documents, how many have too many symbols, which no base rule sees)."""
+    good = " ".join(f"w{i}" for i in range(60))
+    bad = " ".join(f"w{i}###" for i in range(60))
+    rows = [(bad if i < k else good, h) for h, (n, k) in fails.items() for i in range(n)]
+    return spark.createDataFrame([(i, t, h) for i, (t, h) in enumerate(rows)], "doc_id long, text string, source string")
+
+
+def verdicts(spark, fails):
+    out = quality.apply_host_rules(hosts(spark, fails))
+    assert not out.filter("base_failed").count()
+    found = {r.source: r.host_rejected for r in out.select("source", "host_rejected").distinct().collect()}
+    assert out.filter("kept").count() == sum(n for h, (n, _) in fails.items() if not found[h])
+    return {h for h, bad in found.items() if bad}
+
+
+def test_planted_hosts_go_and_clean_ones_stay(spark):
+    clean = {f"h{i}": (100, i % 9) for i in range(20)}
+    assert verdicts(spark, clean) == set()
+    assert verdicts(spark, clean | {"bad": (100, 70), "large": (600, 400)}) == {"bad", "large"}
+
+
+def test_shrinkage_changes_a_verdict(spark):
+    """Four failures of five condemn a small host where hosts differ much, not where they are alike."""
+    alike = {f"h{i}": (60, 3) for i in range(20)}
+    assert verdicts(spark, alike | {"small": (6, 5)}) == set()
+    apart = {f"h{i}": (60, 0) for i in range(20)} | {f"b{i}": (60, 60) for i in range(3)}
+    assert verdicts(spark, apart | {"small": (6, 5)}) == {"b0", "b1", "b2", "small"}
+
+
 def test_many_hosts_join_salted(spark):
     docs = spark.range(60).selectExpr("id as doc_id", "repeat(concat('w', id, ' '), 3) as text", "if(id < 20, null, concat('h', id % 9)) as source")
     measures = quality.stage(quality.document_measures(docs), "measures")
-    a = quality._judged(measures, "doc_id", "source", 0.9).orderBy("doc_id").collect()
-    b = quality._judged(measures, "doc_id", "source", 0.9, small=0).orderBy("doc_id").select(quality._judged(measures, "doc_id", "source", 0.9).columns).collect()
+    a = quality._judged(measures, "doc_id", "source").orderBy("doc_id").collect()
+    b = quality._judged(measures, "doc_id", "source", small=0).orderBy("doc_id").select(quality._judged(measures, "doc_id", "source").columns).collect()
     assert a == b

@@ -24,6 +24,9 @@ RULES = {
     "dup_lines": "n_dup_lines > 0 and 2 * n_dup_lines > n_lines",
 }
 BASE_RULES = ("short", "repetition")
+#: A host goes where it credibly (DEVIATIONS of its posterior) fails a rule LIFT times as often as all documents do and in more than
+#: LOW of its documents, or in more than HIGH of them.
+DEVIATIONS, LIFT, LOW, HIGH = 2.0, 3.0, 0.25, 0.5
 
 
 def _mark(key: str, text: str, host: str) -> Column:
@@ -31,11 +34,12 @@ def _mark(key: str, text: str, host: str) -> Column:
     return F.xxhash64(F.col(key), F.col(text), F.col(host))
 
 
-def document_measures(docs: DataFrame, key: str = "doc_id", text: str = "text", host: str = "source") -> DataFrame:
+def document_measures(docs: DataFrame, key: str = "doc_id", text: str = "text", host: str = "source", hash_mask: int = -1) -> DataFrame:
     """key, host, mark (a hash of key, text and host), n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_repeat_words per row.
 
     Three-word windows become longs, hash above and place below, so one primitive sort brings equal
-    windows together; neighbours with equal hashes are then compared word by word.
+    windows together; neighbours with equal hashes are then compared word by word, and where such neighbours differ, all
+    windows of that hash. ``hash_mask`` is for tests, which let hashes collide.
     """
     out = docs.select(F.col(key).alias("_key"), F.col(host).alias("_host"), F.coalesce(F.col(text), F.lit("")).alias("_t"), _mark(key, text, host).alias("mark"))
     out = out.select("*", F.btrim("_t", F.lit(WHITE)).alias("_b"))
@@ -48,15 +52,16 @@ def document_measures(docs: DataFrame, key: str = "doc_id", text: str = "text",
     out = out.withColumn("n_lines", F.size("_lines").cast("long"))
     out = out.withColumn("n_dup_lines", (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long")).drop("_lines")
     out = out.withColumn("_bits", F.expr("length(bin(n_words))"))
-    windows = """case when n_words < 3 then cast(array() as array<bigint>) else
+    windows = f"""case when n_words < 3 then cast(array() as array<bigint>) else
         sort_array(transform(sequence(1, cast(n_words - 2 as int)),
-            i -> shiftleft(xxhash64(_w[i - 1], _w[i], _w[i + 1]), _bits) | cast(i as bigint))) end"""
+            i -> shiftleft(xxhash64(_w[i - 1], _w[i], _w[i + 1]) & {hash_mask}L, _bits) | cast(i as bigint))) end"""
     out = out.withColumn("_s", F.expr(windows)).withColumn("_mask", F.expr("shiftleft(1L, _bits) - 1L"))
-    same = """shiftright(x, _bits) = shiftright(get(_s, i {by} 1), _bits)
-        and _w[int(x & _mask) - 1] = _w[int(get(_s, i {by} 1) & _mask) - 1]
-        and _w[int(x & _mask)] = _w[int(get(_s, i {by} 1) & _mask)]
-        and _w[int(x & _mask) + 1] = _w[int(get(_s, i {by} 1) & _mask) + 1]"""
-    found = f"filter(_s, (x, i) -> ({same.format(by='-')}) or ({same.format(by='+')}))"
+    near = "shiftright(x, _bits) = shiftright({y}, _bits)"
+    same = f"""{near} and _w[int(x & _mask) - 1] = _w[int({{y}} & _mask) - 1]
+        and _w[int(x & _mask)] = _w[int({{y}} & _mask)] and _w[int(x & _mask) + 1] = _w[int({{y}} & _mask) + 1]"""
+    below, above = "get(_s, i - 1)", "get(_s, i + 1)"
+    ties = f"({near.format(y=below)} or {near.format(y=above)}) and exists(_s, y -> y != x and {same.format(y='y')})"
+    found = f"filter(_s, (x, i) -> ({same.format(y=below)}) or ({same.format(y=above)}) or ({ties}))"
     out = out.withColumn("_p", F.expr(f"sort_array(transform({found}, x -> x & _mask))"))
     covered = """aggregate(_p, named_struct('e', 1L, 't', 0L),
         (a, q) -> named_struct('e', q + 3L, 't', a.t + q + 3L - greatest(q, a.e)), a -> a.t)"""
@@ -65,11 +70,12 @@ def document_measures(docs: DataFrame, key: str = "doc_id", text: str = "text",
     return out.select(F.col("_key").alias(key), F.col("_host").alias(host), "mark", *cols)
 
 
-def host_verdicts(measures: DataFrame, host: str = "source", max_rate: float = 0.9) -> DataFrame:
-    """Per host: documents, and for each rule failures, shrunk rate; host_rejected if a shrunk rate exceeds ``max_rate``.
+def host_verdicts(measures: DataFrame, host: str = "source") -> DataFrame:
+    """Per host: documents, and for each rule failures, shrunk rate; host_rejected by the posterior of a rate.
 
     The beta prior of a rule has the mean of all documents and the strength that the method of
-    moments gives for the spread of host rates, so a host with few documents stays near the mean.
+    moments gives for the spread of host rates, so a host with few documents stays near the mean, and its wide
+    posterior condemns it only where all hosts vary much.
     """
     hosts = stage(
         measures.groupBy(host).agg(F.count(F.lit(1)).alias("host_docs"), *[F.sum(F.expr(sql).cast("long")).alias(f"fail_{r}") for r, sql in RULES.items()]),
@@ -80,26 +86,25 @@ def host_verdicts(measures: DataFrame, host: str = "source", max_rate: float = 0
         total += [F.sum(f"fail_{r}").alias(f"f_{r}"), F.sum(F.expr(f"cast(fail_{r} as double) * fail_{r} / host_docs")).alias(f"q_{r}")]
     row = hosts.agg(*total).first()
     n = row["n"] or 0
-    out = hosts
+    out, bad = hosts, F.lit(False)
     for r in RULES:
         mean = (row[f"f_{r}"] or 0) / n if n else 0.0
         var = max(0.0, row[f"q_{r}"] / n - mean * mean) if n else 0.0
         strength = min(1e6, max(1.0, mean * (1 - mean) / var - 1)) if var > 0 else 1e6
         a, b = mean * strength, (1 - mean) * strength
-        out = out.withColumn(f"rate_{r}", (F.col(f"fail_{r}") + F.lit(a)) / (F.col("host_docs") + F.lit(a + b)))
-    bad = F.lit(False)
-    for r in RULES:
-        bad = bad | (F.col(f"rate_{r}") > F.lit(max_rate))
+        rate, size = (F.col(f"fail_{r}") + F.lit(a)) / (F.col("host_docs") + F.lit(a + b)), F.col("host_docs") + F.lit(a + b)
+        out = out.withColumn(f"rate_{r}", rate)
+        bad = bad | (rate - DEVIATIONS * F.sqrt(rate * (1 - rate) / (size + 1)) > F.lit(max(LOW, min(HIGH, LIFT * mean))))
     return out.withColumn("host_rejected", bad)
 
 
-def _judged(measures: DataFrame, key: str, host: str, max_rate: float, small: int = 50_000) -> DataFrame:
+def _judged(measures: DataFrame, key: str, host: str, small: int = 50_000) -> DataFrame:
     """The measured rows with base_failed, host_rejected, host rates and kept.
 
     Verdicts of up to ``small`` hosts are broadcast; more join salted, so that one host with a third
     of all documents lies in many tasks.
     """
-    verdicts = stage(host_verdicts(measures, host, max_rate).select(host, "host_rejected", *[f"rate_{r}" for r in RULES]), "verdicts")
+    verdicts = stage(host_verdicts(measures, host).select(host, "host_rejected", *[f"rate_{r}" for r in RULES]), "verdicts")
     if verdicts.count() <= small:
         out = measures.join(F.broadcast(verdicts.withColumnRenamed(host, "_of")), F.col(host).eqNullSafe(F.col("_of")), "left").drop("_of")
     else:
@@ -111,21 +116,21 @@ def _judged(measures: DataFrame, key: str, host: str, max_rate: float, small: in
     return out.withColumn("kept", ~F.col("base_failed") & ~F.col("host_rejected"))
 
 
-def apply_host_rules(docs: DataFrame, key: str = "doc_id", text: str = "text", host: str = "source", max_rate: float = 0.9) -> DataFrame:
+def apply_host_rules(docs: DataFrame, key: str = "doc_id", text: str = "text", host: str = "source") -> DataFrame:
     """Measures, base_failed, host_rejected, host rates and kept per row of ``docs``.
 
     The measures are written once and read twice.
     """
-    return _judged(stage(document_measures(docs, key, text, host), "measures"), key, host, max_rate)
+    return _judged(stage(document_measures(docs, key, text, host), "measures"), key, host)
 
 
-def keep_by_host_rules(docs: DataFrame, key: str = "doc_id", text: str = "text", host: str = "source", max_rate: float = 0.9, small: int = 1_000_000) -> DataFrame:
+def keep_by_host_rules(docs: DataFrame, key: str = "doc_id", text: str = "text", host: str = "source", small: int = 1_000_000) -> DataFrame:
     """The rows of ``docs`` that are kept, with their own columns.
 
     Only measures are written, not texts; keys and marks of up to ``small`` rejected rows go to the
     documents, more meet them in a join.
     """
-    gone = apply_host_rules(docs, key, text, host, max_rate).filter("not kept")
+    gone = apply_host_rules(docs, key, text, host).filter("not kept")
     gone = stage(gone.select(F.col(key).alias("_key"), F.col("mark").alias("_mark")).distinct(), "rejected")
     gone = F.broadcast(gone) if gone.count() <= small else gone
     return docs.join(gone, F.col(key).eqNullSafe(F.col("_key")) & (_mark(key, text, host) == F.col("_mark")), "left_anti")
@@ -159,7 +164,8 @@ u AS (SELECT source, unnest([1, 2, 3, 4]) AS rule, unnest([f1, f2, f3, f4]) AS x
 h AS (SELECT source, rule, count(*) AS n, sum(CAST(x AS INT)) AS k FROM u GROUP BY source, rule),
 q AS (SELECT rule, sum(k) / sum(n) AS mean, greatest(0.0, sum(CAST(k AS DOUBLE) * k / n) / sum(n) - (sum(k) / sum(n)) ^ 2) AS var FROM h GROUP BY rule),
 s AS (SELECT rule, mean, CASE WHEN var > 0 THEN least(1e6, greatest(1.0, mean * (1 - mean) / var - 1)) ELSE 1e6 END AS strength FROM q),
-v AS (SELECT h.source, max((k + mean * strength) / (n + strength)) > 0.9 AS bad FROM h JOIN s USING (rule) GROUP BY h.source)
+b AS (SELECT h.source, (k + mean * strength) / (n + strength) AS rate, n + strength + 1 AS size, greatest(0.25, least(0.5, 3 * mean)) AS bound FROM h JOIN s USING (rule)),
+v AS (SELECT source, bool_or(rate - 2 * sqrt(rate * (1 - rate) / size) > bound) AS bad FROM b GROUP BY source)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, f1 OR f2 AS base_failed, NOT (f1 OR f2) AND NOT bad AS kept
 FROM f JOIN v ON f.source IS NOT DISTINCT FROM v.source
 """
