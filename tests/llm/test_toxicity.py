@@ -18,8 +18,11 @@ def fitted(spark):
 def test_held_out(spark, fitted):
     docs, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
     got = fitted.score(docs, ["doc_id", "lang"]).join(labels.filter(in_fold(F.col("doc_id"), 5, 0)), "doc_id").toPandas()
-    good, bad = got[(got.toxic == 0)].score.values, got[(got.toxic == 1) & (got.lang == "en")].score.values
-    assert (bad[:, None] > good[None]).mean() > 0.85
+    good = got[got.toxic == 0].score.values
+    bad = {lang: part.score.values for lang, part in got[got.toxic == 1].groupby("lang")}
+    assert len(bad) >= 3
+    for lang, scores in bad.items():
+        assert len(scores) < 3 or (scores[:, None] > good[None]).mean() > (0.85 if len(scores) > 5 else 0.7), lang
     assert (got[got.toxic == 0].predicted == 0).mean() > 0.97
     assert got.score.between(0, 1).all()
 
@@ -41,6 +44,30 @@ def test_few_labels(spark):
     assert both.score(docs, ["doc_id"]).count() == docs.count()
 
 
+def test_several_labels_of_a_key_and_clashing_columns(spark, fitted):
+    """Labels of one key count as their mean, however they are ordered; repeated rows return each; columns named as results or features pass."""
+    docs = documents(spark)
+    rows = [(0, 1), (0, 0), (1, 0), (2, 0), (2, 0), (2, 1), (4, 0), (5, 1), (5, 1)]
+    models = [tx.fit_toxicity(docs, spark.createDataFrame(r, "doc_id long, toxic int")) for r in (rows, rows[::-1])]
+    a, b = (sorted((r.doc_id or -1, r.score) for r in m.score(docs, ["doc_id"]).collect()) for m in models)
+    assert a == b and len(a) == docs.count()
+    odd = docs.withColumns({"predicted": F.lit(7), "capitals": F.lit("c"), "_text": F.lit("t"), "margin": F.lit("m")})
+    out = fitted.score(odd, odd.columns)
+    assert out.columns == [*[c for c in odd.columns if c not in ("score", "predicted")], "score", "predicted"]
+    assert {(r.capitals, r._text, r.margin) for r in out.select("capitals", "_text", "margin").collect()} == {("c", "t", "m")}
+
+
+def test_calibration_is_piecewise_linear(spark):
+    rng = np.random.default_rng(1)
+    xs = np.sort(rng.normal(size=700))
+    ys = np.sort(rng.random(700))
+    model = tx.ToxicityModel({}, None, list(zip(xs.tolist(), ys.tolist())), None)
+    at = np.concatenate([xs[::50], rng.normal(size=60), [-99.0, 99.0]])
+    got = [r[0] for r in spark.createDataFrame([(float(x),) for x in at], "x double").select(model._calibrated(F.col("x"))).collect()]
+    kept = np.unique(np.linspace(0, 699, tx.POINTS).round().astype(int))
+    assert got == pytest.approx(np.interp(at, xs[kept], ys[kept]))
+
+
 def test_texts_that_begin_alike_are_learned_from_each(spark):
     """Texts share an opening of over 64 characters; equal whole texts count once."""
     header = "From the archive of messages to the list, kept in order of arrival: " * 2

@@ -7,15 +7,17 @@ gradient-boosted trees give a margin; isotonic regression on a part of the label
 trees have not seen turns it into a probability.
 
 The learned lexicon, trees and calibration are fitted on a bounded sample of labelled rows: about
-``max_rows``, chosen by hash of their key. Every whole text is scored. Defined results: a null or empty
-text has all features 0; rows without a label are scored, not learned from; with labels of one kind
-only, every score is that label's; with none, 0; repeated rows count and return each.
+``max_rows``, chosen by hash of their key; the learned lexicon has at most ``max_words`` words and the calibration at most
+``POINTS`` steps. Every whole text is scored. Defined results: a null or empty
+text has all features 0; rows without a label are scored, not learned from; a key with several labels has
+their mean, from one half on as toxic; with labels of one kind
+only, every score is that label's; with none, 0; repeated rows count and return each; kept columns named score or predicted are
+replaced, others may have any name. A very long text is counted word by word in one task, with a row of numbers a word.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -41,6 +43,8 @@ LOOKALIKES = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "
 
 FEATURES = ["fixed_density", "fixed_any", "learned_density", "learned_weight", "obfuscated_density", "nearness", "second_person", "capitals", "shouted", "punctuation", "exclaims", "odd_words", "log_words", "word_length"]
 _LOOK = str.maketrans(LOOKALIKES)
+#: Steps of the calibration that are kept.
+POINTS = 200
 #: Columns of the word table.
 _FIXED, _LEARNED, _WEIGHT, _HIDDEN, _SECOND, _UPPER, _LETTERS, _PUNCT, _BANG, _ODD, _SHOUT, _CHARS = range(12)
 
@@ -137,7 +141,7 @@ def with_features(docs: DataFrame, lexicon: dict[str, float], keep: list[str], t
     return source.mapInArrow(run, schema)
 
 
-def learn_lexicon(sample: DataFrame, text: str = "text", label: str = "label", least: int = 5, most: int = 500) -> dict[str, float]:
+def learn_lexicon(sample: DataFrame, text: str = "text", label: str = "label", least: int = 5, most: int = 5000) -> dict[str, float]:
     """Words far commoner in positive texts: word -> log odds ratio, the ``most`` strongest.
 
     Equal whole texts of one label (but for case and white space) count once, so that copies of one
@@ -166,20 +170,23 @@ class ToxicityModel:
 
     def score(self, docs: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
         """The ``keep`` columns with score and predicted."""
+        keep = [c for c in keep if c not in ("score", "predicted")]
+        rest = F.struct(*[F.col(c) for c in keep], F.lit(None).cast("int").alias("_none"))
         if self.constant is not None:
-            out = docs.select(*keep, F.lit(self.constant).alias("score"))
+            out = docs.select(rest.alias("_rest"), F.lit(self.constant).alias("score"))
         else:
-            out = _margins(with_features(docs, self.lexicon, keep, text), self.trees).select(*keep, self._calibrated(F.col("margin")).alias("score"))
-        return out.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+            found = with_features(docs.select(rest.alias("_rest"), F.col(text).alias("_said")), self.lexicon, ["_rest"], "_said")
+            out = _margins(found, self.trees).select("_rest", self._calibrated(F.col("margin")).alias("score"))
+        return out.select(*[F.col("_rest")[c].alias(c) for c in keep], "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
     def _calibrated(self, x: Column) -> Column:
-        """Straight lines between the points of the isotonic fit."""
-        (x0, y0), out = self.points[0], None
-        out = F.when(x <= x0, F.lit(y0))
-        for (a, ya), (b, yb) in pairwise(self.points):
-            if b > a:
-                out = out.when(x <= b, F.lit(ya) + (x - a) * ((yb - ya) / (b - a)))
-        return out.otherwise(F.lit(self.points[-1][1]))
+        """Straight lines between the points of the isotonic fit, of which at most ``POINTS`` count."""
+        every = np.unique(np.linspace(0, len(self.points) - 1, POINTS).round().astype(int))
+        xs, ys = (F.array(*[F.lit(float(self.points[i][k])) for i in every]) for k in (0, 1))
+        at = F.size(F.filter(xs, lambda v: v <= x))
+        low, high = F.greatest(at - 1, F.lit(0)), F.least(at, F.lit(len(every) - 1))
+        x0, x1, y0, y1 = F.get(xs, low), F.get(xs, high), F.get(ys, low), F.get(ys, high)
+        return F.when((at == 0) | (x1 <= x0), y0).otherwise(y0 + (x - x0) * ((y1 - y0) / (x1 - x0)))
 
 
 def _margins(rows: DataFrame, trees) -> DataFrame:
@@ -191,7 +198,7 @@ def _margins(rows: DataFrame, trees) -> DataFrame:
     return out.withColumn("margin", F.get(vector_to_array("rawPrediction"), F.lit(1)))
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", max_rows: int = 20_000, rounds: int = 12, depth: int = 3) -> ToxicityModel:
+def fit_toxicity(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", max_rows: int = 20_000, max_words: int = 5000, rounds: int = 12, depth: int = 3) -> ToxicityModel:
     """Fits on the rows of ``labels`` (which the caller has restricted), at most about ``max_rows`` of them."""
     from pyspark.ml.classification import GBTClassifier
     from pyspark.ml.feature import VectorAssembler
@@ -200,14 +207,15 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text:
     known = labels.filter(F.col(key).isNotNull() & F.col(label).isNotNull()).select(F.col(key).alias("_k"), (F.col(label) > 0).cast("double").alias("label"))
     count = known.count()
     spot = F.pmod(F.xxhash64("_k"), F.lit(1_000_000))
-    chosen = known.filter(spot < F.lit(int(1e6 * min(1.0, max_rows / max(count, 1))))).dropDuplicates(["_k"])
+    chosen = known.filter(spot < F.lit(int(1e6 * min(1.0, max_rows / max(count, 1)))))
+    chosen = chosen.groupBy("_k").agg((F.avg("label") >= 0.5).cast("double").alias("label"))
     # Bounded by max_rows, whatever the size of the table.
     sample = docs.select(F.col(key).alias("_k"), F.col(text).alias("text")).join(F.broadcast(chosen), "_k").withColumn("held", F.pmod(F.xxhash64("_k", F.lit(7)), F.lit(4)) == 0).persist()
     kinds = {r["label"] for r in sample.select("label").distinct().collect()}
     if len(kinds) < 2:
         sample.unpersist()
         return ToxicityModel({}, None, [], kinds.pop() if kinds else 0.0)
-    lexicon = learn_lexicon(sample.filter("not held"))
+    lexicon = learn_lexicon(sample.filter("not held"), most=max_words)
     rows = with_features(sample, lexicon, ["label", "held"]).coalesce(8).persist()
     train = rows.filter("not held")
     if train.select("label").distinct().count() < 2 or rows.filter("held").select("label").distinct().count() < 2:
