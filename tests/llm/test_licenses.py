@@ -1,5 +1,8 @@
+import itertools
+import random
 import re
 import textwrap
+import time
 
 import pytest
 from helpers import documents, nothing
@@ -100,6 +103,58 @@ def test_spans_stop_at_blank_lines_and_items():
     assert found(f"{a}\nOne line\nand more\nof it.\nTwo.\n{b}") == ["MIT"] and found(f"{a}\nOne.\nTwo.\nThree.\n{b}") == []
 
 
+def brute_rules(found, gap):
+    """All ways to place a rule's sentences, then the longest from each start on, without overlaps."""
+    hits = []
+    for name, rules in lic.RULES.items():
+        for rule in rules:
+            for places in itertools.combinations(range(len(found)), len(rule)):
+                if [found[p][1] for p in places] == rule and all(found[q][0] - found[p][0] - 1 <= gap for p, q in zip(places, places[1:])):
+                    hits.append((found[places[0]][2], -len(rule), name, found[places[-1]][3]))
+    out = []
+    for start, _, name, stop in sorted(hits):
+        if not out or start >= out[-1][2]:
+            out.append((name, start, stop))
+    return out
+
+
+def test_rules_against_all_placements(spark):
+    rng = random.Random(4)
+    some = ["bsd-grant", "bsd-source", "bsd-binary", "bsd-endorse", "gpl-free", "gpl-hope", "gpl-see", "mit-grant", "mit-condition", "cc-by"]
+    texts = []
+    for _ in range(150):
+        pick = [rng.choice([*some, None, None]) for _ in range(rng.randrange(1, 9))]
+        text = " ".join(f"{lic.SENTENCES[i].capitalize()}." if i else "Some other words." for i in pick)
+        texts.append(wrapped(text, rng.choice(["", "# "])) if rng.random() < 0.5 else text)
+    for text in texts:
+        known = lic.known_sentences(text)
+        for gap in (0, 2):
+            assert lic.match_rules(known, gap) == brute_rules(known, gap)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in lic.scan_licenses(docs).collect():
+        assert [tuple(m) for m in r.matches] == brute_rules(lic.known_sentences(r.text), 2)
+
+
+def test_titles_and_spdx_lines():
+    grant = NOTICES["MIT"].replace("\n\n", " ")
+    for title in ("MIT License", "The MIT License (MIT)"):
+        text = f"{title} {grant}"
+        assert found(text) == ["MIT"]
+        (_, start, _), *_ = lic.match_rules(lic.known_sentences(text))
+        assert text[start:].startswith("Permission is hereby")
+        assert found(f"{title}\n\nCopyright (c) 2020 A. Writer\n\n{wrapped(NOTICES['MIT'], '')}") == ["MIT"]
+    for name in lic.RULES:
+        assert found(f"// SPDX-License-Identifier: {name}\nint main() {{}}") == [name]
+    assert found("SPDX-License-Identifier: Unknown-1.0") == []
+
+
+def test_many_notices_take_linear_time():
+    text = "Released under the MIT License.\n" * 40_000
+    began = time.perf_counter()
+    assert len(found(text)) == 40_000
+    assert time.perf_counter() - began < 5
+
+
 def test_frames(spark):
     docs = documents(spark)
     assert lic.scan_licenses(docs).count() == docs.count() and lic.scan_licenses(nothing(spark)).count() == 0

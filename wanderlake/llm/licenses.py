@@ -3,7 +3,7 @@
 A text falls into pieces (lines, and parts of lines that end in ``.``, ``;``, ``:``, ``!`` or ``?`` before white space); a piece is
 normalised to lower-case letters and digits with single blanks, so comment marks fall away (``rem`` and ``dnl`` too). A
 known sentence is a piece or several in a row, as in notices wrapped over lines or with marks inside; it crosses no
-blank line and enters no list item. A known normalised sentence has an identifier; a licence rule is an ordered list of identifiers, which matches where they follow each
+blank line and enters no list item; a licence's title may stand before it. SPDX lines are sentences of their licences. A known normalised sentence has an identifier; a licence rule is an ordered list of identifiers, which matches where they follow each
 other with at most ``gap`` other sentences between. Where rules overlap, the longer one stands.
 
 Defined results: a null or empty text has no match; rules match as often as they occur, repeated rows
@@ -54,6 +54,22 @@ SENTENCES = {
     "cc-by-nd": "licensed under cc by nd 4 0",
     "cc0": "to the extent possible under law the author has waived all copyright and related or neighboring rights to this work",
     "unlicense": "this is free and unencumbered software released into the public domain",
+    "gpl2-only": "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license version 2 as published by the free software foundation",
+    "gpl3-only": "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation version 3",
+    "lgpl21-free": "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 2 1 of the license or at your option any later version",
+    "lgpl3-free": "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 3 of the license or at your option any later version",
+    "lgpl-hope": "this library is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose",
+    "lgpl-see": "see the gnu lesser general public license for more details",
+    "agpl-free": "this program is free software you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation either version 3 of the license or at your option any later version",
+    "agpl-see": "see the gnu affero general public license for more details",
+    "epl-made": "this program and the accompanying materials are made available under the terms of the eclipse public license 2 0 which is available at https www eclipse org legal epl 2 0",
+    "0bsd-grant": "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted",
+    "zlib-as-is": "this software is provided as is without any express or implied warranty",
+    "zlib-liable": "in no event will the authors be held liable for any damages arising from the use of this software",
+    "zlib-grant": "permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions",
+    "bsl-distributed": "distributed under the boost software license version 1 0",
+    "bsl-grant": "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license the software to use reproduce display distribute execute and transmit the software and to prepare derivative works of the software and to permit third parties to whom the software is furnished to do so all subject to the following",
+    "wtfpl-copy": "everyone is permitted to copy and distribute verbatim or modified copies of this license document and changing it is allowed as long as the name is changed",
 }
 
 # Licence -> rules, each an ordered list of sentence identifiers.
@@ -73,12 +89,30 @@ RULES = {
     "CC-BY-ND-4.0": [["cc-by-nd"]],
     "CC0-1.0": [["cc0"]],
     "Unlicense": [["unlicense"]],
+    "GPL-2.0-only": [["gpl2-only"]],
+    "GPL-3.0-only": [["gpl3-only"]],
+    "LGPL-2.1-or-later": [["lgpl21-free", "lgpl-hope", "lgpl-see"]],
+    "LGPL-3.0-or-later": [["lgpl3-free", "lgpl-hope", "lgpl-see"]],
+    "AGPL-3.0-or-later": [["agpl-free", "gpl-hope", "agpl-see"]],
+    "EPL-2.0": [["epl-made"]],
+    "0BSD": [["0bsd-grant"]],
+    "Zlib": [["zlib-as-is", "zlib-liable", "zlib-grant"]],
+    "BSL-1.0": [["bsl-distributed"], ["bsl-grant"]],
+    "WTFPL": [["wtfpl-copy"]],
 }
 
+# Titles in normal form that may stand before a licence's first sentence.
+TITLES = ["the mit license mit", "the mit license", "mit license", "isc license", "bsd 2 clause license", "bsd 3 clause license", "bsd zero clause license", "apache license version 2 0", "zlib license", "boost software license version 1 0 august 17th 2003"]
+
+for _name in RULES:
+    SENTENCES[f"spdx-{_name}"] = "spdx license identifier " + re.sub("[^a-z0-9]+", " ", _name.lower())
+    RULES[_name].insert(0, [f"spdx-{_name}"])
+
 _SENTENCE = re.compile(r".+?(?:[.;:!?](?=\s)|$)")
 _COMMENT_WORD = re.compile(r"\s*(?:rem|dnl)\s+", re.IGNORECASE)
 _ITEM = re.compile(r"\s*([-+•])\s")
 _OTHER = re.compile(r"[^a-z0-9]+")
+_KEPT = frozenset("abcdefghijklmnopqrstuvwxyz0123456789")
 
 
 def normal(sentence: str) -> str:
@@ -109,6 +143,17 @@ def _pieces(text: str) -> list[tuple[str, int, int, bool, bool]]:
     return out
 
 
+def _length_of(text: str, start: int, said: str) -> int:
+    """How many characters from ``start`` on ``said``, the normal form of what stands there, takes with what separates it from the next word."""
+    letters, at = len(said.replace(" ", "")), start
+    while letters:
+        letters -= text[at].lower() in _KEPT
+        at += 1
+    while text[at].lower() not in _KEPT:
+        at += 1
+    return at - start
+
+
 def known_sentences(text: str | None) -> list[tuple[int, str, int, int]]:
     """(number among the non-empty sentences, identifier, start, end) of the text's known sentences.
 
@@ -121,6 +166,14 @@ def known_sentences(text: str | None) -> list[tuple[int, str, int, int]]:
         said, start, _, begins, runs_on = pieces[i]
         last = i if said in _BY_TEXT else None
         whole, name, j = said, _BY_TEXT.get(said), i
+        if last is None and whole not in _BEGINNINGS:
+            title = next((t for t in TITLES if whole.startswith(t + " ")), None)
+            if title:
+                # The licence's sentence starts behind its title.
+                whole = whole[len(title) + 1 :]
+                start += _length_of(text, start, title)
+                name = _BY_TEXT.get(whole)
+                last = i if name else None
         while whole in _BEGINNINGS and j + 1 < len(pieces) and not pieces[j + 1][3]:
             j += 1
             whole = f"{whole} {pieces[j][0]}"
@@ -138,19 +191,21 @@ def known_sentences(text: str | None) -> list[tuple[int, str, int, int]]:
 def match_rules(found: list[tuple[int, str, int, int]], gap: int = 2) -> list[tuple[str, int, int]]:
     """(licence, start, end) of the rules that the known sentences fulfil, in order of place."""
     hits = []
-    for name, rules in RULES.items():
-        for rule in rules:
-            for i, (k, ident, start, end) in enumerate(found):
-                if ident != rule[0]:
-                    continue
-                last, stop, left = k, end, rule[1:]
-                for k2, ident2, _, end2 in found[i + 1 :]:
-                    if not left or k2 - last - 1 > gap:
-                        break
-                    if ident2 == left[0]:
-                        last, stop, left = k2, end2, left[1:]
-                if not left:
-                    hits.append((start, -len(rule), name, stop))
+
+    def after(i: int) -> Iterator[int]:
+        # Numbers rise, so these are at most gap + 1.
+        j = i + 1
+        while j < len(found) and found[j][0] - found[i][0] - 1 <= gap:
+            yield j
+            j += 1
+
+    for i, (_, ident, start, _) in enumerate(found):
+        for name, rule in _BY_FIRST.get(ident, []):
+            last = [i]
+            for want in rule[1:]:
+                last = sorted({j for p in last for j in after(p) if found[j][1] == want})
+            if last:
+                hits.append((start, -len(rule), name, found[last[0]][3]))
     out: list[tuple[str, int, int]] = []
     for start, _, name, stop in sorted(hits):
         if not out or start >= out[-1][2]:
@@ -159,6 +214,11 @@ def match_rules(found: list[tuple[int, str, int, int]], gap: int = 2) -> list[tu
 
 
 _BY_TEXT = {v: k for k, v in SENTENCES.items()}
+#: Identifier -> the (licence, rule) that start with it.
+_BY_FIRST: dict[str, list[tuple[str, list[str]]]] = {}
+for _name, _rules in RULES.items():
+    for _rule in _rules:
+        _BY_FIRST.setdefault(_rule[0], []).append((_name, _rule))
 #: Known sentences as far as each of their words but the last.
 _BEGINNINGS = {v[:i] for v in SENTENCES.values() for i, c in enumerate(v) if c == " "}
 
@@ -187,15 +247,5 @@ def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.size("matches").cast("long").alias("n_matches"), names.alias("licenses"), F.get("matches", F.lit(0))["start"].alias("first_start"), F.get("matches", F.lit(0))["end"].alias("first_end"))
 
 
-ORACLE = """
-WITH k(said, name) AS (VALUES %s),
-d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
-s AS (SELECT doc_id, t, unnest(regexp_extract_all(t, '[^\\n]+?(?:[.;:!?](?:\\s)|\\n|$)')) AS x FROM d),
-n AS (SELECT doc_id, t, x, trim(regexp_replace(lower(x), '[^a-z0-9]+', ' ', 'g')) AS y FROM s),
-m AS (SELECT doc_id, name, instr(t, trim(rtrim(x, chr(10)))) - 1 AS a, length(trim(rtrim(x, chr(10)))) AS c FROM n JOIN k ON y = said),
-g AS (SELECT doc_id, count(*) AS n_matches, string_agg(DISTINCT name, ',' ORDER BY name) AS licenses, min(a) AS first_start, arg_min(a + c, a) AS first_end FROM m GROUP BY doc_id)
-SELECT doc_id, coalesce(n_matches, 0) AS n_matches, coalesce(licenses, '') AS licenses, first_start, first_end FROM d LEFT JOIN g USING (doc_id)
-""" % ", ".join(f"('{SENTENCES[r[0]]}', '{n}')" for n, rs in RULES.items() for r in rs if len(r) == 1)
-
 QUERIES = {"op9_licenses": op9_licenses}
 ORACLES: dict[str, str] = {}
