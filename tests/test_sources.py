@@ -70,11 +70,30 @@ def test_adjacency(spark, tmp_path):
     p = tmp_path / "adj.txt"
     p.write_text("1 2 5 6\n2 0\n3 1 1\n")
     assert rows(io.read_adjacency_text(spark, str(p))) == [(1, 5), (1, 6), (3, 1)]
+    p.write_text("1 1 2 3 1 4\n5 3 6\n7\n\n8 9\n0 0 0 9 0\n")
+    assert rows(io.read_adjacency_text(spark, str(p))) == [(1, 2), (3, 4), (5, 6), (5, 7), (5, 8)]
+    other = tmp_path / "b.txt"
+    other.write_text("4 2 1\n1\n")
+    (tmp_path / "c.txt").write_text("2 1 2\n")
+    both = [str(p), str(other), str(tmp_path / "c.txt")]
+    assert rows(io.read_adjacency_text(spark, both)) == [(1, 2), (3, 4), (5, 6), (5, 7), (5, 8), (4, 1), (4, 1), (2, 2)]
+    for short in ("1 3 5 6\n", "1 1 2 3\n", "1 1 2 3 2\n4\n"):
+        p.write_text(short)
+        with pytest.raises(Exception, match="shorter"):
+            io.read_adjacency_text(spark, str(p)).collect()
     p.write_text("1 3 5 6\n")
     with pytest.raises(Exception, match="shorter"):
         io.read_adjacency_text(spark, str(p)).collect()
 
 
+def test_binary_files_are_of_bounded_size(spark, tmp_path):
+    edges = spark.createDataFrame([(i, i % 7, i % 3) for i in range(100)], "edge_idx long, src long, dst long")
+    path = str(tmp_path / "binary")
+    io.write_binary_edges(edges, path, edges_per_file=30)
+    assert spark.read.format("binaryFile").load(path).count() == 4
+    assert rows(io.read_binary_edges(spark, path)) == rows(edges.orderBy("edge_idx"))
+
+
 def test_load(spark, tmp_path):
     p = tmp_path / "l.txt"
     p.write_text("0 1\n1 2\n")

@@ -1,9 +1,10 @@
 import math
 from collections import Counter
 
+import numpy as np
 import pytest
 
-from wanderlake.functions.draws import draw, draw_value
+from wanderlake.functions.draws import RANGE, draw, draw_values
 from wanderlake.operators import generators, kernel, validate, walks
 from wanderlake.operators.graph import Graph
 from wanderlake.plans.layout import walk_metrics
@@ -35,7 +36,7 @@ def law(pairs, p, q):
 def test_draws_agree(spark):
     rows = spark.range(50)
     got = {r.id: r.d for r in rows.select("id", draw(3, rows["id"], 2, 1).alias("d")).collect()}
-    assert got == {i: draw_value(3, i, 2, 1) for i in range(50)}
+    assert got == dict(enumerate(draw_values(3, np.arange(50), 2, 1).tolist()))
 
 
 @pytest.mark.parametrize("pairs", [TAIL, [(1, 2)], [(7, 7)], [(0, i) for i in range(1, 9)], [(1, 2), (3, 4)]])
@@ -136,3 +137,37 @@ def test_partition_faults(spark):
     good = spark.createDataFrame([(i, i // 4) for i in range(10)], "vid long, pid long")
     assert validate.partition_faults(good).count() == 0
     assert validate.partition_faults(good.filter("vid != 5")).count() == 1
+
+
+def test_draws_are_even_and_independent():
+    """Chi-squared over cells of single draws, and of pairs that differ in step, salt, seed or walker by one."""
+    n, k = 400_000, 16
+    ids = np.concatenate([np.arange(n), (1 << 40) + np.arange(n)])
+
+    def cells(x, buckets):
+        return (x % buckets, x * buckets // RANGE) if buckets < 1 << 11 else (x % buckets,)
+
+    def even(x, buckets):
+        n_ = np.bincount(x, minlength=buckets)
+        want = len(x) / buckets
+        assert ((n_ - want) ** 2 / want).sum() < buckets + 6 * np.sqrt(2 * buckets)
+
+    first = draw_values(1, ids, 3, 0)
+    assert first.min() >= 0 and first.max() < RANGE and len(np.unique(first)) > 0.999 * len(ids)
+    for buckets in (2, 3, 10, 97, 1000):
+        for c in cells(first, buckets):
+            even(c, buckets)
+    for other in (draw_values(1, ids, 4, 0), draw_values(1, ids, 3, 1), draw_values(2, ids, 3, 0), draw_values(1, ids + 1, 3, 0)):
+        for a, b in zip(cells(first, k), cells(other, k)):
+            even(a * k + b, k * k)
+
+
+def test_batches_are_the_same_walks_and_end_when_converged(spark):
+    edges = spark.createDataFrame([(i, i % 5, (i * 3 + 1) % 5) for i in range(20)], "edge_idx long, src long, dst long")
+    engine = WalkEngine(Graph(edges), seed=3)
+    whole = sorted(walks.deepwalk(engine.graph, 50, 6, 3).collect())
+    assert sorted(engine.in_batches(6, 50, free_bytes=4 * 15 * 20).collect()) == whole
+    found, ok = engine.until_converged(40, 500, most=6)
+    assert ok and found.select("walker_id").distinct().count() % 500 == 0
+    found, ok = engine.until_converged(2, 1, most=2)
+    assert not ok and found.count() == 4

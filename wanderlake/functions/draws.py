@@ -1,21 +1,41 @@
-"""Stateless random draws: a function of seed, walker, step and salt, so no plan or retry changes them."""
+"""Stateless random draws: a function of seed, walker, step and salt, so no plan or retry changes them.
 
-from __future__ import annotations
+Each of two lanes takes in the parts of the key one by one (exclusive or, then a product modulo a prime), on numbers
+below 2 ** 62, so Spark, NumPy and SQL engines compute the same on whole columns.
+"""
 
-import hashlib
+from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Draws are integers below this.
 RANGE = 1 << 52
+#: Modulus, and for each lane the factors of low and high half of the walker, step, salt and two last rounds.
+PRIME = (1 << 31) - 1
+LANES = ((1540483477, 668265263, 374761393, 1274126177, 2048144777, 1103515245), (1812433253, 1664525013, 1566083941, 1099087573, 1284865837, 950706376))
+#: What the last two rounds take in.
+LAST = (1013904223, 715225741)
+
+
+def lane_start(seed: int, lane: int) -> int:
+    """Where a lane begins."""
+    return ((seed ^ 362437) * LANES[lane][-1] + 521288629 * (lane + 1)) % PRIME
 
 
 def draw(seed: int, walker: Column, step: Column | int, salt: int = 0) -> Column:
-    """The first 13 hexadecimal digits of an MD5, as a long in [0, 2**52)."""
-    step = F.lit(step) if isinstance(step, int) else step
-    text = F.concat_ws(":", F.lit(str(seed)), walker.cast("string"), step.cast("string"), F.lit(str(salt)))
-    return F.conv(F.substring(F.md5(text.cast("binary")), 1, 13), 16, 10).cast("long")
+    """A long in [0, 2**52)."""
+    walker = walker.cast("long")
+    step = F.lit(step).cast("long") if isinstance(step, int) else step.cast("long")
+    low, high = walker.bitwiseAND(F.lit(PRIME)), F.shiftright(walker, 31)
+    ends = []
+    for lane, factors in enumerate(LANES):
+        x = F.lit(lane_start(seed, lane)).cast("long")
+        for part, factor in zip((low, high, step, F.lit(salt), *map(F.lit, LAST)), factors, strict=True):
+            x = (x.bitwiseXOR(part.cast("long")) * F.lit(factor).cast("long")) % F.lit(PRIME).cast("long")
+        ends.append(x)
+    return F.shiftleft(ends[0], 21).bitwiseOR(F.shiftright(ends[1], 10))
 
 
 def draw_unit(seed: int, walker: Column, step: Column | int, salt: int = 0) -> Column:
@@ -23,6 +43,12 @@ def draw_unit(seed: int, walker: Column, step: Column | int, salt: int = 0) -> C
     return draw(seed, walker, step, salt) / F.lit(float(RANGE))
 
 
-def draw_value(seed: int, walker: int, step: int, salt: int = 0) -> int:
-    """The same draw in Python, for kernels."""
-    return int(hashlib.md5(b"%d:%d:%d:%d" % (seed, walker, step, salt)).hexdigest()[:13], 16)
+def draw_values(seed: int, walkers: np.ndarray, step: int, salt: int = 0) -> np.ndarray:
+    """The same draws in NumPy, for kernels."""
+    ends = []
+    for lane, factors in enumerate(LANES):
+        x = np.full(len(walkers), lane_start(seed, lane), np.int64)
+        for part, factor in zip((walkers & PRIME, walkers >> 31, step, salt, *LAST), factors, strict=True):
+            x = ((x ^ part) * factor) % PRIME
+        ends.append(x)
+    return (ends[0] << 21) | (ends[1] >> 10)

@@ -12,17 +12,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.draws import RANGE, draw_value
+from ..functions.draws import RANGE, draw_values
 from .graph import Graph
 
-#: Bytes of names, offsets and neighbours up to which the adjacency is sent to every executor.
+#: Bytes up to which the adjacency is gathered and sent to every executor.
 LIMIT = 256 << 20
 
 
 def kernel_bytes(graph: Graph) -> int:
-    """Bytes of the arrays the kernel sends: 16 per vertex, 8 per arc."""
+    """Bytes that the driver holds to pack the adjacency: 32 per vertex, 48 per arc (of which 16 and 8 are sent)."""
     vertices, arcs = graph.counts
-    return 16 * vertices + 8 * arcs
+    return 32 * vertices + 48 * arcs
 
 
 def fits(graph: Graph, limit: int = LIMIT) -> bool:
@@ -42,16 +42,17 @@ def packed_adjacency(graph: Graph, limit: int = LIMIT) -> dict[str, np.ndarray]:
 
 
 class _Walker:
-    """Steps of a batch of walkers over the packed adjacency."""
+    """Steps of batches of walkers (``ids``) over the packed adjacency."""
 
-    def __init__(self, graph: dict[str, np.ndarray], ids: list[int], seed: int, stop: bool):
+    def __init__(self, graph: dict[str, np.ndarray], seed: int, second_order: bool):
         self.names, self.offsets, self.to = graph["names"], graph["offsets"], graph["to"]
         self.degree = np.diff(self.offsets)
-        self.ids, self.seed, self.stop = ids, seed, stop
-        self.keys = np.repeat(np.arange(len(self.names)), self.degree) * len(self.names) + self.to
+        self.ids, self.seed = np.zeros(0, np.int64), seed
+        # Arcs as numbers, to look pairs up in; only second-order steps ask.
+        self.keys = np.repeat(np.arange(len(self.names)), self.degree) * len(self.names) + self.to if second_order else None
 
     def draws(self, which: np.ndarray, step: int, salt: int = 0) -> np.ndarray:
-        return np.array([draw_value(self.seed, self.ids[i], step, salt) for i in which.tolist()], np.int64)
+        return draw_values(self.seed, self.ids[which], step, salt)
 
     def has_arc(self, src: np.ndarray, dst: np.ndarray) -> np.ndarray:
         want = src * len(self.names) + dst
@@ -91,9 +92,9 @@ def kernel_walks(graph: Graph, walkers: int, length: int, seed: int = 1, p: floa
     stop = graph.on_sink == "stop"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        w = _Walker(sent.value, seed, p is not None)
         for batch in batches:
-            ids = batch.column(0).to_pylist()
-            w = _Walker(sent.value, ids, seed, stop)
+            ids = w.ids = batch.column(0).to_numpy()
             alive = np.arange(len(ids))
             cur = w.draws(alive, 0) % max(len(w.names), 1)
             prev = np.full(len(ids), -1)
@@ -107,9 +108,8 @@ def kernel_walks(graph: Graph, walkers: int, length: int, seed: int = 1, p: floa
                 new = w.uniform(alive, cur, step) if p is None or step == 1 else w.second_order(alive, prev, cur, step, p, q, rounds)
                 prev, cur = cur, new
                 rows.append((alive, step, w.names[cur]))
-            own = np.array(ids, np.int64)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate([own[a] for a, _, _ in rows])), pa.array(np.concatenate([np.full(len(a), s, np.int32) for a, s, _ in rows])), pa.array(np.concatenate([v for _, _, v in rows]))],
+                [pa.array(np.concatenate([ids[a] for a, _, _ in rows])), pa.array(np.concatenate([np.full(len(a), s, np.int32) for a, s, _ in rows])), pa.array(np.concatenate([v for _, _, v in rows]))],
                 names=["walker_id", "step", "vertex"],
             )
 

@@ -21,15 +21,15 @@ from .graph import Graph, weighted_arcs
 _PATH = "array<struct<step:int,vertex:bigint>>"
 
 
-def start_walkers(graph: Graph, walkers: int, seed: int) -> DataFrame:
-    """walker_id, vertex, degree: uniform over all vertices, with replacement."""
+def start_walkers(graph: Graph, walkers: int, seed: int, first: int = 0) -> DataFrame:
+    """walker_id (from ``first`` on), vertex, degree: uniform over all vertices, with replacement."""
     if walkers < 0:
         raise ValueError("walkers: at least 0")
     spark: SparkSession = graph.edges.sparkSession
     n = graph.starts.count()
     if walkers and not n:
         raise ValueError("walkers on a graph without vertices")
-    drawn = spark.range(walkers).select(F.col("id").alias("walker_id"))
+    drawn = spark.range(first, first + walkers).select(F.col("id").alias("walker_id"))
     drawn = drawn.withColumn("start", draw(seed, F.col("walker_id"), 0) % F.lit(max(n, 1)))
     return drawn.join(graph.starts, "start").select("walker_id", F.col("name").alias("vertex"), "degree")
 
@@ -104,11 +104,11 @@ def step_second_order(here: DataFrame, graph: Graph, seed: int, step: int, p: fl
     return _moved(step, now)
 
 
-def _walk(graph: Graph, walkers: int, length: int, seed: int, every: int, move: Callable[[DataFrame, int], DataFrame]) -> DataFrame:
+def _walk(graph: Graph, walkers: int, length: int, seed: int, every: int, move: Callable[[DataFrame, int], DataFrame], walker: int = 0) -> DataFrame:
     """walker_id, step, vertex. Within a round the path rides along; between rounds only the position does."""
     if length < 1:
         raise ValueError("length counts vertices: at least 1")
-    here = stage(start_walkers(graph, walkers, seed).select("walker_id", F.lit(None).cast("long").alias("prev"), "vertex", "degree"), "walkers")
+    here = stage(start_walkers(graph, walkers, seed, walker).select("walker_id", F.lit(None).cast("long").alias("prev"), "vertex", "degree"), "walkers")
     parts = [here.select("walker_id", F.lit(0).alias("step"), "vertex")]
     for first in range(1, length, every):
         here = here.withColumn("path", F.array().cast(_PATH))
@@ -120,9 +120,9 @@ def _walk(graph: Graph, walkers: int, length: int, seed: int, every: int, move:
     return reduce(DataFrame.unionByName, parts)
 
 
-def deepwalk(graph: Graph, walkers: int, length: int, seed: int = 1, every: int = 8) -> DataFrame:
-    """walker_id, step, vertex: uniform walks of ``length`` vertices (fewer where one stops at a sink)."""
-    return _walk(graph, walkers, length, seed, every, lambda here, step: step_uniform(here, graph, seed, step))
+def deepwalk(graph: Graph, walkers: int, length: int, seed: int = 1, every: int = 8, first: int = 0) -> DataFrame:
+    """walker_id (from ``first`` on), step, vertex: uniform walks of ``length`` vertices (fewer where one stops at a sink)."""
+    return _walk(graph, walkers, length, seed, every, lambda here, step: step_uniform(here, graph, seed, step), first)
 
 
 def node2vec(graph: Graph, walkers: int, length: int, p: float, q: float, seed: int = 1, rounds: int = 3) -> DataFrame:

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from ..operators.graph import Graph
 from ..operators.kernel import LIMIT, fits, kernel_walks
 from ..operators.walks import deepwalk, node2vec
 from .layout import epoch_plan
+from .staging import stage
 
 
 class WalkEngine:
@@ -46,3 +50,27 @@ class WalkEngine:
     def batches(self, walkers: int, length: int, free_bytes: int) -> list[tuple[int, int]]:
         """Walker batches that fit a memory bound."""
         return epoch_plan(walkers, length, free_bytes)
+
+    def in_batches(self, length: int, walkers: int, free_bytes: int) -> DataFrame:
+        """Uniform walks made batch after batch, each within a memory bound and written before the next; the rows are those of ``deepwalk``."""
+        done, parts = 0, []
+        for _, n in self.batches(walkers, length, free_bytes):
+            parts.append(stage(deepwalk(self.graph, n, length, self.seed, first=done), "batch"))
+            done += n
+        return reduce(DataFrame.unionByName, parts) if parts else deepwalk(self.graph, 0, length, self.seed)
+
+    def until_converged(self, length: int, walkers: int, most: int = 100) -> tuple[DataFrame, bool]:
+        """Uniform walks, a batch of ``walkers`` more at a time, until their transitions pass the convergence gate; at most ``most`` batches."""
+        from ..operators import validate
+
+        parts, counts, arcs = [], None, self.graph.arcs
+        for k in range(most):
+            parts.append(stage(deepwalk(self.graph, walkers, length, self.seed, first=k * walkers), "batch"))
+            more = validate.transition_counts(parts[-1], arcs)
+            if counts is not None:
+                # Counts add up, so earlier walks are not read again.
+                more = more.unionByName(counts).groupBy("src", "dst").agg(F.max("weight").alias("weight"), F.sum("observed").alias("observed"))
+            counts = stage(more, "counts")
+            if validate.converged(validate.distance_summary(stage(validate.distances(counts), "distances"))).first()[0]:
+                return reduce(DataFrame.unionByName, parts), True
+        return reduce(DataFrame.unionByName, parts), False

@@ -10,6 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .functions import draws
 from .operators import generators, graph as g, kernel, validate, walks
 from .operators.graph import Graph
 from .plans import layout
@@ -71,7 +72,11 @@ def binary_roundtrip(spark: SparkSession, d: str) -> DataFrame:
 def adjlist_convert(spark: SparkSession, d: str) -> DataFrame:
     path = new_path(spark, "adjacency")
     lists = g.adjacency(uu(spark, d, directed=True).arcs)
-    lists.select(F.concat_ws(" ", F.col("src").cast("string"), F.col("degree").cast("string"), F.array_join(F.transform("nbrs", lambda x: x.cast("string")), " ")).alias("value")).write.text(path)
+    numbers = F.concat(F.array("src", "degree"), "nbrs")
+    # Every third list runs over two lines, and every fifth shares its line with an empty one.
+    text = F.array_join(F.transform(numbers, lambda x: x.cast("string")), " ")
+    text = F.when(F.col("src") % 3 == 0, F.regexp_replace(text, r"^(\d+ \d+ \d+) ", "$1\n")).when(F.col("src") % 5 == 0, F.concat(F.lit("0 0 "), text)).otherwise(text)
+    lists.select(text.alias("value")).write.text(path)
     return _multiset(io.read_adjacency_text(spark, path))
 
 
@@ -117,11 +122,33 @@ def deepwalk_step1(spark: SparkSession, d: str) -> DataFrame:
 
 
 def edge_diff(spark: SparkSession, d: str) -> DataFrame:
-    """Edges whose number changes on a trip through the dictionary and back: none."""
+    """Edges whose number changes on a trip through the dictionary and back, on which every tenth is lost and every 25th turned round."""
     edges = uu_edges(spark, d)
     names = stage(g.dictionary(edges), "names")
     back = names.select(F.col("raw_id").alias("name"), F.col("name").alias("raw_id"))
-    return g.edge_multiset_diff(edges, g.relabel(g.relabel(edges, names), back)).agg(F.count(F.lit(1)).alias("diff_count"))
+    trip = g.relabel(g.relabel(edges, names), back).filter("edge_idx % 10 != 3")
+    turned = F.col("edge_idx") % 25 == 0
+    trip = trip.select(F.when(turned, F.col("dst")).otherwise(F.col("src")).alias("src"), F.when(turned, F.col("src")).otherwise(F.col("dst")).alias("dst"))
+    return g.edge_multiset_diff(edges, trip)
+
+
+def faults(spark: SparkSession, d: str) -> DataFrame:
+    """Faults of an assignment from which a vertex inside one partition and a whole partition are missing."""
+    graph = ps(spark, d)
+    bits = layout.group_bits(graph.counts[0])[0]
+    return validate.partition_faults(layout.assign_partitions(graph.vertices, bits).filter(f"vid != 1 and pid != 2 and not (pid = 5 and vid % {1 << bits} = 0)"))
+
+
+def epoch_walks(spark: SparkSession, d: str) -> DataFrame:
+    """Walks made batch by batch, as memory allows."""
+    return WalkEngine(uu(spark, d), seed=SEED).in_batches(LENGTH, WALKERS, free_bytes=4 * (2 * LENGTH + 3) * 128)
+
+
+def sidecar(spark: SparkSession, d: str) -> DataFrame:
+    """The counts written beside a graph file, read back."""
+    path, graph = new_path(spark, "info"), ps(spark, d)
+    io.write_info(path, graph.counts[0], graph.edges.count(), spark)
+    return spark.createDataFrame(sorted(io.read_info(spark, path).items()), "name string, n long")
 
 
 def epoch_rows(spark: SparkSession, d: str) -> DataFrame:
@@ -163,7 +190,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "group_bits": group_bits,
         "partition_assign": lambda s, d: layout.assign_partitions((x := ps(s, d)).vertices, layout.group_bits(x.counts[0])[0]),
         "partition_stats": lambda s, d: layout.partition_stats((x := ps(s, d)).vertices, layout.group_bits(x.counts[0])[0]),
-        "partition_faults": lambda s, d: validate.partition_faults(layout.assign_partitions((x := ps(s, d)).vertices, layout.group_bits(x.counts[0])[0])).agg(F.count(F.lit(1)).alias("faults")),
+        "partition_faults": faults,
         "snake_deal": lambda s, d: layout.snake_deal((x := ps(s, d)).vertices, layout.group_bits(x.counts[0])[0], 8),
         "neighbor_query": neighbor_query,
         "walk_starts": walk_starts,
@@ -173,6 +200,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "deepwalk_directed_stop": lambda s, d: walks.deepwalk(uu(s, d, True, "stop"), WALKERS, LENGTH, SEED),
         "deepwalk_kernel": lambda s, d: kernel.kernel_walks(uu(s, d), WALKERS, LENGTH, SEED),
         "deepwalk_engine": engine_rows,
+        "deepwalk_batches": epoch_walks,
+        "walker_paths": lambda s, d: walks.paths(_uu_walks(s, d)[1]).select("walker_id", F.array_join("path", ",").alias("path")),
+        "info_sidecar": sidecar,
         "first_order_law": lambda s, d: _round(walks.first_order_law(uu(s, d).arcs), "prob"),
         "node2vec_paths": node2vec_rows,
         "node2vec_kernel": lambda s, d: kernel.kernel_walks(uu(s, d), WALKERS, LENGTH, SEED, 2.0, 0.5),
@@ -200,7 +230,14 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def _draw(walker: str, step: str, salt: str = "0") -> str:
-    return f"CAST('0x' || substr(md5('{SEED}:' || ({walker}) || ':' || ({step}) || ':' || ({salt})), 1, 13) AS BIGINT)"
+    """``draws.draw`` as SQL."""
+    ends = []
+    for lane, factors in enumerate(draws.LANES):
+        x = f"CAST({draws.lane_start(SEED, lane)} AS BIGINT)"
+        for part, factor in zip((f"(({walker}) & {draws.PRIME})", f"(({walker}) >> 31)", f"({step})", f"({salt})", *map(str, draws.LAST)), factors, strict=True):
+            x = f"(xor({x}, CAST({part} AS BIGINT)) * {factor} % {draws.PRIME})"
+        ends.append(x)
+    return f"(({ends[0]} << 21) | ({ends[1]} >> 10))"
 
 
 def oracle_sql() -> dict[str, str]:
@@ -220,6 +257,20 @@ def oracle_sql() -> dict[str, str]:
     walk = f""", walk AS (
         SELECT CAST(r AS BIGINT) AS walker_id, 0 AS step, name AS vertex FROM (SELECT range AS r FROM range({WALKERS})) JOIN names ON start = {_draw("r", "0")} % (SELECT count(*) FROM names)
         UNION ALL SELECT walker_id, step + 1, slots.dst FROM walk JOIN deg ON deg.src = vertex JOIN slots ON slots.src = vertex AND k = {_draw("walker_id", "step + 1")} % degree WHERE step + 1 < {LENGTH})"""
+    rp, rq = PQ["b"]
+    back, out_, upper = 1 / rp, 1 / rq, max(1.0, 1 / rp, 1 / rq)
+    unit = lambda salt: f"{_draw('walker_id', 'step + 1', str(salt))} / {float(draws.RANGE)} * {upper}"
+    tries = "".join(f" JOIN slots s{r} ON s{r}.src = vertex AND s{r}.k = {_draw('walker_id', 'step + 1', str(2 * r))} % degree LEFT JOIN w k{r} ON k{r}.src = prev AND k{r}.dst = s{r}.dst" for r in range(3))
+    passed = " ".join(f"WHEN {'prev IS NULL OR ' if not r else ''}{unit(2 * r + 1)} < CASE WHEN s{r}.dst = prev THEN {back} WHEN k{r}.src IS NOT NULL THEN 1.0 ELSE {out_} END THEN s{r}.dst" for r in range(3))
+    # Three rounds of rejection, then a draw over all arcs by mass; masses are halves and wholes, so their sums are exact.
+    walk2 = lambda walkers, length: f""", mass AS (SELECT a.src AS prev, a.dst AS cur, b.dst AS next, b.weight * CASE WHEN b.dst = a.src THEN CAST({back} AS DOUBLE) WHEN c.src IS NOT NULL THEN CAST(1.0 AS DOUBLE) ELSE CAST({out_} AS DOUBLE) END AS mass
+            FROM w a JOIN w b ON b.src = a.dst LEFT JOIN w c ON c.src = a.src AND c.dst = b.dst),
+        late AS (SELECT prev, cur, next, mass, sum(mass) OVER (PARTITION BY prev, cur ORDER BY next ROWS UNBOUNDED PRECEDING) AS upto, sum(mass) OVER (PARTITION BY prev, cur) AS whole FROM mass),
+        walk AS (
+        SELECT CAST(r AS BIGINT) AS walker_id, 0 AS step, CAST(NULL AS BIGINT) AS prev, name AS vertex FROM (SELECT range AS r FROM range({walkers})) JOIN names ON start = {_draw("r", "0")} % (SELECT count(*) FROM names)
+        UNION ALL SELECT walker_id, step + 1, vertex, coalesce(taken, late.next) FROM (
+            SELECT walker_id, step, prev, vertex, CASE {passed} END AS taken, {_draw('walker_id', 'step + 1', '6')} / {float(draws.RANGE)} AS u FROM walk JOIN deg ON deg.src = vertex{tries} WHERE step + 1 < {length}) t
+            LEFT JOIN late ON taken IS NULL AND late.prev = t.prev AND late.cur = vertex AND late.upto > u * whole AND late.upto - late.mass <= u * whole)"""
     moves = """, moves AS (SELECT * FROM (SELECT walker_id, step, vertex AS src, lead(vertex) OVER (PARTITION BY walker_id ORDER BY step) AS dst FROM walk) WHERE dst IS NOT NULL),
         seen AS (SELECT w.src, w.dst, weight, count(moves.src) AS observed FROM w LEFT JOIN moves ON w.src = moves.src AND w.dst = moves.dst GROUP BY w.src, w.dst, weight),
         tot AS (SELECT src, sum(weight) AS tw, sum(observed) AS ob FROM seen GROUP BY src),
@@ -246,7 +297,9 @@ def oracle_sql() -> dict[str, str]:
         "group_bits": f"{p} SELECT CAST({bits} AS BIGINT) AS group_bits, CAST(ceil((SELECT count(*) FROM ranked) / (2 ** {bits})) AS BIGINT) AS group_num",
         "partition_assign": f"{p} SELECT vid, vid >> CAST({bits} AS INT) AS pid FROM ranked",
         "partition_stats": f"{p} SELECT vid >> CAST({bits} AS INT) AS pid, CAST(sum(degree) AS BIGINT) AS edges, min(degree) AS min_degree, max(degree) AS max_degree FROM ranked GROUP BY 1",
-        "partition_faults": "SELECT CAST(0 AS BIGINT) AS faults",
+        "partition_faults": f"""{p}, c AS (SELECT CAST({bits} AS INT) AS b), a AS (SELECT vid, vid >> b AS pid FROM ranked, c WHERE vid <> 1 AND vid >> b <> 2 AND NOT (vid >> b = 5 AND vid % (CAST(1 AS BIGINT) << b) = 0)),
+            g AS (SELECT pid, min(vid) AS lo, max(vid) AS hi, count(*) AS n FROM a GROUP BY pid), h AS (SELECT *, lag(hi) OVER (ORDER BY pid) AS last FROM g)
+            SELECT pid, CASE WHEN n <> hi - lo + 1 THEN 'gap inside' ELSE 'gap before' END AS fault FROM h WHERE n <> hi - lo + 1 OR coalesce(last + 1, 0) <> lo""",
         "snake_deal": f"""{p}, c AS (SELECT CAST({bits} AS INT) AS b, (SELECT count(*) FROM ranked) AS n), h AS (SELECT b, least(8, n >> b) AS h FROM c)
             SELECT vid, CASE WHEN vid < h << b THEN CASE WHEN (vid // h) % 2 = 0 THEN vid % h ELSE h - 1 - vid % h END ELSE vid >> b END AS pid,
             CASE WHEN vid < h << b THEN vid // h ELSE vid % (CAST(1 AS BIGINT) << b) END AS slot FROM ranked, h""",
@@ -266,7 +319,13 @@ def oracle_sql() -> dict[str, str]:
         "total_variation": f"{u}{walk}{moves} SELECT src, round(tvd, 9) AS distance FROM dist",
         "distance_summary": f"{u}{walk}{moves} SELECT metric, round(avg, 9) AS avg, round(median, 9) AS median, round(p99, 9) AS p99 FROM summ",
         "convergence_gate": f"{u}{walk}{moves} SELECT bool_and({gate}) AS converged FROM summ",
-        "edge_multiset_diff": "SELECT CAST(0 AS BIGINT) AS diff_count",
+        "edge_multiset_diff": f"""{u}, x AS (SELECT src, dst, 1 AS n FROM edges UNION ALL SELECT CASE WHEN edge_idx % 25 = 0 THEN dst ELSE src END, CASE WHEN edge_idx % 25 = 0 THEN src ELSE dst END, -1 FROM edges WHERE edge_idx % 10 <> 3)
+            SELECT src, dst, CAST(sum(n) AS BIGINT) AS surplus FROM x GROUP BY src, dst HAVING sum(n) <> 0""",
+        "node2vec_paths": f"{u}{walk2(100, 4)} SELECT walker_id, step, vertex FROM walk",
+        "node2vec_kernel": f"{u}{walk2(WALKERS, LENGTH)} SELECT walker_id, step, vertex FROM walk",
+        "deepwalk_batches": f"{u}{walk} SELECT walker_id, step, vertex FROM walk",
+        "walker_paths": f"{u}{walk} SELECT walker_id, string_agg(vertex, ',' ORDER BY step) AS path FROM walk GROUP BY walker_id",
+        "info_sidecar": f"{p} SELECT 'edge_num' AS name, (SELECT count(*) FROM edges) AS n UNION ALL SELECT 'vertex_num', (SELECT count(*) FROM names)",
         "epoch_plan": f"""{p}, c AS (SELECT 10 * (SELECT count(*) FROM names) AS n, {(1 << 20) // (4 * (2 * 80 + 3))} AS cap),
             s AS (SELECT n, CAST(ceil(n / ceil(n / least(cap, n))) AS BIGINT) AS size FROM c)
             SELECT range AS epoch, least(size, n - range * size) AS walkers FROM s, range(100000) WHERE range * size < n""",

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..plans.staging import stage
+from ..plans.staging import ordered_index, stage
 
 MAX_NAME = (1 << 32) - 1
 
@@ -81,15 +81,51 @@ def read_binary_edges(spark: SparkSession, path: str | list[str]) -> DataFrame:
 
 
 def read_adjacency_text(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """Lines ``src degree d1 .. dn`` as edges in order; a list shorter than its degree is an error."""
+    """Numbers ``src degree d1 .. dn`` over and over as edges in order; line ends mean no more than blanks.
+
+    Files whose every line is one list are cut line by line. Where records share lines or run over them, only what stands before
+    says where a record starts, so such a file streams through one task. A list shorter than its degree is an error.
+    """
     lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_start"))
     lines = lines.filter(F.btrim("value", F.lit(" \t\r")) != "")
-    t = F.transform(F.split(F.btrim("value", F.lit(" \t\r")), r"\s+"), lambda x: x.cast("long"))
-    rows = lines.select(t.alias("t"), "_file", "_start").withColumn("n", F.get("t", F.lit(1)))
-    short = F.size("t") - 2 < F.col("n")
-    nbrs = F.when(short, F.raise_error(F.lit("adjacency list shorter than its degree")).cast("array<long>")).otherwise(F.slice("t", F.lit(3), F.col("n").cast("int")))
-    edges = rows.select("_file", "_start", _checked(F.get("t", F.lit(0))).alias("src"), F.explode(nbrs).alias("dst"))
-    return add_edge_index(edges.select("src", _checked(F.col("dst")).alias("dst"), "_file", "_start")).select("edge_idx", "src", "dst")
+    numbers = F.transform(F.split(F.btrim("value", F.lit(" \t\r")), r"\s+"), lambda x: _checked(x.cast("long")))
+    rows = add_edge_index(lines.select(numbers.alias("t"), F.col("_file").alias("file"), "_file", "_start")).withColumnRenamed("edge_idx", "line")
+    rows = rows.withColumn("whole", F.size("t") - 2 == F.coalesce(F.get("t", F.lit(1)), F.lit(-1)))
+    mixed = stage(rows.filter("not whole").select("file").distinct(), "mixed")
+    single = rows.join(mixed, "file", "left_anti").select("line", F.get("t", F.lit(0)).alias("src"), F.posexplode(F.slice("t", F.lit(3), F.size("t"))).alias("at", "dst"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        file, head, left = None, [], 0
+
+        def ended() -> None:
+            if head:
+                raise ValueError(f"adjacency list shorter than its degree at the end of {file}")
+
+        for batch in batches:
+            out: list[tuple[int, int, int, int]] = []
+            for name, line, numbers in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                if name != file:
+                    ended()
+                    file, head, left = name, [], 0
+                at = 0
+                while at < len(numbers):
+                    if len(head) < 2:
+                        head.append(numbers[at])
+                        left = head[1] if len(head) == 2 else 0
+                        at += 1
+                    else:
+                        part = numbers[at : at + left]
+                        out += [(line, head[0], at + i, d) for i, d in enumerate(part)]
+                        at, left = at + len(part), left - len(part)
+                    if len(head) == 2 and not left:
+                        head = []
+            cols = list(zip(*out, strict=True)) or [()] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(cols, (pa.int64(), pa.int64(), pa.int32(), pa.int64()), strict=True)], names=["line", "src", "at", "dst"])
+        ended()
+
+    streamed = rows.join(mixed, "file").select("file", "line", "t").repartition("file").sortWithinPartitions("file", "line")
+    edges = single.unionByName(streamed.mapInArrow(run, "line long, src long, at int, dst long"))
+    return ordered_index(edges, F.col("line"), F.col("at"), name="edge_idx").select("edge_idx", "src", "dst")
 
 
 def write_text_edges(edges: DataFrame, path: str, header: str | None = None) -> None:
@@ -101,8 +137,8 @@ def write_text_edges(edges: DataFrame, path: str, header: str | None = None) ->
         edges.sparkSession.createDataFrame([(note,)], "value string").coalesce(1).write.mode("append").text(path)
 
 
-def write_binary_edges(edges: DataFrame, path: str) -> None:
-    """Packed little-endian unsigned 32-bit pairs in order of edge_idx over the part files.
+def write_binary_edges(edges: DataFrame, path: str, edges_per_file: int = 16_000_000) -> None:
+    """Packed little-endian unsigned 32-bit pairs in order of edge_idx over the part files, of about ``edges_per_file`` each (128 MB).
 
     The bytes go through Spark's text writer, so any file system Spark knows will do; each part
     ends in one line feed, a part of a record that readers of the format leave out.
@@ -113,7 +149,8 @@ def write_binary_edges(edges: DataFrame, path: str) -> None:
         if parts:
             yield pa.RecordBatch.from_arrays([pa.array([b"".join(parts)], pa.binary())], names=["content"])
 
-    packed = edges.orderBy("edge_idx").select("src", "dst").mapInArrow(run, "content binary")
+    parts = max(1, -(-edges.count() // edges_per_file))
+    packed = edges.repartitionByRange(parts, "edge_idx").sortWithinPartitions("edge_idx").select("src", "dst").mapInArrow(run, "content binary")
     packed.select(F.col("content").cast("string").alias("value")).write.text(path)
 
 
