@@ -55,3 +55,13 @@ def test_empty_tables(spark):
     assert dc.find_contamination(nothing(spark), bench).count() == 0
     out = dc.find_contamination(documents(spark), bench.filter("false"))
     assert out.filter("contaminated").count() == 0 and out.count() == documents(spark).count()
+
+
+def test_an_item_longer_than_a_block(spark):
+    """Its windows all count, and the item once, however many pieces of it a text has."""
+    words = [f"w{i}" for i in range(400)]
+    bench = spark.createDataFrame([("long", " ".join(words)), ("other", " ".join(f"v{i}" for i in range(12)))], "item_id string, text string")
+    docs = spark.createDataFrame([(1, " ".join(words)), (2, "x " + " ".join(words[43:57]) + " y " + " ".join(words[200:211])), (3, " ".join(words[90:99]))], "doc_id long, text string")
+    for block in (20, 50, 10_000):
+        got = {r.doc_id: (r.n_hit, r.item_ids) for r in dc.find_contamination(docs, bench, block_words=block).collect()}
+        assert got == {1: (400, ["long"]), 2: (25, ["long"]), 3: (0, [])}, block

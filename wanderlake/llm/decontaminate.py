@@ -17,6 +17,7 @@ benchmark hits nothing; other columns are passed along, but for those that have
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -36,18 +37,23 @@ def normal_words(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").translate(_TABLE).split() if text else []
 
 
-def blocks(benchmark: DataFrame, item: str, text: str, block_words: int) -> Iterator[list[tuple[str, list[bytes]]]]:
-    """The benchmark's items and words in blocks of about ``block_words``, read as a stream."""
+def blocks(benchmark: DataFrame, item: str, text: str, block_words: int, window: int) -> Iterator[list[tuple[int, str, list[bytes]]]]:
+    """The benchmark's items (number, name, words) in blocks of at most ``block_words``, read as a stream.
+
+    An item that is longer falls into pieces that overlap by all but one word of a window, so none of its windows is lost.
+    """
     held, words = [], 0
     rows = benchmark.select(F.coalesce(F.col(item).cast("string"), F.lit("")), F.col(text))
-    for name, said in rows.toLocalIterator():
+    for k, (name, said) in enumerate(rows.toLocalIterator()):
         own = normal_words(said)
-        if own:
-            held.append((name, own))
-            words += len(own)
-        if words >= block_words:
-            yield held
-            held, words = [], 0
+        step = max(1, block_words - window + 1)
+        for at in range(0, max(1, len(own) - window + 1), step) if own else ():
+            piece = own[at : at + step + window - 1]
+            if held and words + len(piece) > block_words:
+                yield held
+                held, words = [], 0
+            held.append((k, name, piece))
+            words += len(piece)
     if held:
         yield held
 
@@ -55,13 +61,13 @@ def blocks(benchmark: DataFrame, item: str, text: str, block_words: int) -> Iter
 class Windows:
     """The automaton over the windows of a block of items."""
 
-    def __init__(self, items: list[tuple[str, list[bytes]]], size: int):
+    def __init__(self, items: list[tuple[int, str, list[bytes]]], size: int):
         import ahocorasick
 
-        self.names = [name for name, _ in items]
+        self.names = [(number, name) for number, name, _ in items]
         self.char: dict[bytes, str] = {}
         found: dict[str, list[int]] = {}
-        for k, (_, words) in enumerate(items):
+        for k, (_, _, words) in enumerate(items):
             coded = "".join(self._coded(w) for w in words)
             n = min(size, len(coded))
             for i in range(len(coded) - n + 1):
@@ -97,6 +103,29 @@ class Windows:
         return ranges, owners
 
 
+#: The automaton of the block that this Python worker used last.
+_built: dict[str, Windows] = {}
+
+
+def _windows_of(sent, size: int) -> Windows:
+    """The automaton of a broadcast block, made once per Python worker."""
+    if sent.id not in _built:
+        _built.clear()
+        _built[sent.id] = Windows(sent.value, size)
+    return _built[sent.id]
+
+
+class _Sent:
+    """A broadcast block with what tells it from others."""
+
+    def __init__(self, broadcast, number: str):
+        self.broadcast, self.id = broadcast, number
+
+    @property
+    def value(self) -> list:
+        return self.broadcast.value
+
+
 def _merged(a: list[dict], b: list[tuple[int, int]]) -> list[tuple[int, int]]:
     out: list[tuple[int, int]] = []
     for s, e in sorted([(x["first"], x["past"]) for x in a] + b):
@@ -122,36 +151,37 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text"
     others = [c for c in keep if c != text]
     struct = F.struct(*[F.col(c) for c in others]) if others else F.struct(F.lit(0).alias("none"))
     rows = docs.select(struct.alias("row"), F.col(text).alias("text"))
-    empty = rows.select("row", "text", F.lit(0).cast("long").alias("n_words"), F.array().cast(_RANGES).alias("ranges"), F.array().cast("array<string>").alias("items"), F.array().cast(_SPANS).alias("spans"))
+    owners = T.ArrayType(T.StructType([T.StructField("number", T.LongType()), T.StructField("name", T.StringType())]))
+    empty = rows.select("row", "text", F.lit(0).cast("long").alias("n_words"), F.array().cast(_RANGES).alias("ranges"), F.array().cast(owners).alias("items"), F.array().cast(_SPANS).alias("spans"))
 
     def scanned(before: DataFrame, sent) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            windows = Windows(sent.value, window)
+            windows = _windows_of(sent, window)
             kinds = None
             for batch in (part.slice(at, 1000) for part in batches for at in range(0, part.num_rows, 1000)):
                 kinds = [f.type for f in batch.schema]
                 n_words, ranges, items, spans = [], [], [], []
                 for said, had, had_items in zip(batch.column(1).to_pylist(), batch.column(3).to_pylist(), batch.column(4).to_pylist(), strict=True):
                     words = normal_words(said)
-                    own, owners = windows.scan(words)
+                    own, found = windows.scan(words)
                     own = _merged(had, own) if had else own
                     at = [m.span() for m in _WORD.finditer(said)] if own else []
                     n_words.append(len(words))
                     ranges.append([{"first": s, "past": e} for s, e in own])
-                    items.append(had_items + [windows.names[k] for k in sorted(owners)])
+                    items.append(sorted({(x["number"], x["name"]) for x in had_items} | {windows.names[k] for k in found}))
                     spans.append([{"start": at[s][0], "end": at[e - 1][1]} for s, e in own])
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n_words, kinds[2]), pa.array(ranges, kinds[3]), pa.array(items, kinds[4]), pa.array(spans, kinds[5])], schema=batch.schema)
 
         return before.mapInArrow(run, before.schema)
 
     out, done = empty, 0
-    for block in blocks(benchmark, item, item_text, block_words):
-        out = scanned(stage(out, "scanned") if done else out, spark.sparkContext.broadcast(block))
+    for block in blocks(benchmark, item, item_text, block_words, window):
+        out = scanned(stage(out, "scanned") if done else out, _Sent(spark.sparkContext.broadcast(block), uuid.uuid4().hex))
         done += 1
     if not done:
-        out = scanned(out, spark.sparkContext.broadcast([]))
+        out = scanned(out, _Sent(spark.sparkContext.broadcast([]), uuid.uuid4().hex))
     hit = F.aggregate("ranges", F.lit(0).cast("long"), lambda a, x: a + x["past"] - x["first"])
-    return out.select(*[F.col("text" if c == text else f"row.{c}").alias(c) for c in keep], "n_words", hit.alias("n_hit"), F.col("items").alias("item_ids"), F.col("ranges").alias("word_ranges"), "spans", (hit > 0).alias("contaminated"))
+    return out.select(*[F.col("text" if c == text else f"row.{c}").alias(c) for c in keep], "n_words", hit.alias("n_hit"), F.transform("items", lambda x: x["name"]).alias("item_ids"), F.col("ranges").alias("word_ranges"), "spans", (hit > 0).alias("contaminated"))
 
 
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
