@@ -64,6 +64,13 @@ def test_records_of_gzip_members():
 
     packed = b"".join(gzip.compress(one(n)) for n in (0, 5, 70_000))
     assert [len(b) for _, _, b in warc.records(packed)] == [0, 5, 70_000]
+    whole = gzip.compress(b"".join(one(n) for n in (0, 5, 70_000, 3, 9000)))
+    for piece in (1, 7, 64, 5000, 1 << 20):
+        got = list(warc.records(whole, piece))
+        assert [len(b) for _, _, b in got] == [0, 5, 70_000, 3, 9000]
+        raw = gzip.decompress(whole)
+        assert all(raw[at : at + 8] == b"WARC/1.1" for at, _, _ in got)
+        assert [len(b) for _, _, b in warc.records(packed, piece)] == [0, 5, 70_000]
 
 
 def test_loser_tree():

@@ -89,22 +89,46 @@ def write_archives(pages: DataFrame, key: str = "page_id", url: str = "url", pay
     return path
 
 
-def records(packed: bytes) -> Iterator[tuple[int, dict[str, str], bytes]]:
-    """(offset, header fields, block) of each record of a gzipped WARC file, members in turn."""
-    raw, rest = bytearray(), packed
-    while rest:
-        member = zlib.decompressobj(31)
-        raw += member.decompress(rest) + member.flush()
-        rest = member.unused_data
-    at, whole = 0, memoryview(raw)
-    while at < len(raw):
-        head = raw.find(b"\r\n\r\n", at)
+def records(packed: bytes, piece: int = 1 << 20) -> Iterator[tuple[int, dict[str, str], bytes]]:
+    """(offset, header fields, block) of each record of a gzipped WARC file, members in turn.
+
+    Unpacked piece by piece: no more than the record at hand and a piece are held.
+    """
+    raw, at, base, view = bytearray(), 0, 0, memoryview(packed)
+    member, place = zlib.decompressobj(31), 0
+
+    def more() -> bool:
+        nonlocal member, place
+        while place < len(view) or member.unconsumed_tail:
+            feed = member.unconsumed_tail or view[place : place + piece]
+            if not member.unconsumed_tail:
+                place += len(feed)
+            out = member.decompress(feed, piece)
+            if member.eof:
+                place -= len(member.unused_data)
+                member = zlib.decompressobj(31)
+            if out:
+                raw.extend(out)
+                return True
+        return False
+
+    while True:
+        while (head := raw.find(b"\r\n\r\n", at)) < 0:
+            if not more():
+                return
         lines = raw[at:head].decode().split(_END)
         fields = dict(x.split(": ", 1) if ": " in x else (x.rstrip(":"), "") for x in lines[1:])
         first = head + 4
         past = first + int(fields["Content-Length"])
-        yield at, fields, bytes(whole[first:past])
+        while len(raw) < past and more():
+            pass
+        yield base + at, fields, bytes(raw[first:past])
         at = past + 4
+        if at > piece:
+            while len(raw) < at and more():
+                pass
+            del raw[:at]
+            base, at = base + at, 0
 
 
 _CAPTURE = T.StructType(
@@ -130,11 +154,14 @@ def read_captures(spark: SparkSession, path: str) -> DataFrame:
     """
     schema = T.StructType([f for f in _CAPTURE if f.name != "url_key"])
 
+    def batch_of(rows: list[list]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64() if f.dataType == T.LongType() else pa.string()) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], names=schema.names)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for name, packed in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 rows = []
-                for at, fields, block in records(packed.as_py()):
+                for at, fields, block in records(packed.as_buffer()):
                     head, _, payload = block.partition(b"\r\n\r\n")
                     own = lambda s: None if s == "none" else s
                     row = [fields["WARC-Date"], own(fields["WARC-Record-ID"][1:-1].removeprefix(_ID)), fields["WARC-Target-URI"], fields["WARC-Type"]]
@@ -144,8 +171,11 @@ def read_captures(spark: SparkSession, path: str) -> DataFrame:
                     else:
                         row += [base64.b32encode(hashlib.sha1(payload).digest()).decode(), len(payload), None]
                     rows.append([*row, name, at])
+                    if len(rows) == 1000:
+                        yield batch_of(rows)
+                        rows = []
                 if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64() if f.dataType == T.LongType() else pa.string()) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], names=schema.names)
+                    yield batch_of(rows)
 
     files = spark.read.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").load(path)
     found = files.select("path", "content").mapInArrow(run, schema)
