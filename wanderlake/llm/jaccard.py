@@ -379,14 +379,20 @@ def _found(rows: DataFrame, table: DataFrame, key: str, own: str, often: str, ho
     return out.select(*[F.col(c) for c in rows.columns], *[F.col(f"_both.{c}").alias(c) for c in more])
 
 
-def bucket_rows(entries: DataFrame, hot: int, small: int) -> DataFrame:
-    """token, id, n, df, weight: the entries of each distinct bucket of two or more; ``weight`` shingles have these entries."""
-    rows = entries.select("id", "n", F.explode("shingles").alias("token"))
+def bucket_rows(entries: DataFrame, hot: int, small: int, tokens: int) -> DataFrame:
+    """token, id, df, weight: the entries of each distinct bucket of two or more; ``weight`` shingles have these entries.
+
+    Up to ``tokens`` shingles that entries share go to the entries by broadcast (16 bytes each), more meet them in a join.
+    """
+    rows = entries.select("id", F.explode("shingles").alias("token"))
     shared = stage(rows.groupBy("token").agg(F.count(F.lit(1)).alias("df")).filter("df > 1"), "shared")
-    meets = stage(_found(rows, shared, "token", "id", "df", hot, small, True), "meets")
+    meets = rows.join(F.broadcast(shared), "token") if shared.count() <= tokens else _found(rows, shared, "token", "id", "df", hot, small, True)
+    meets = stage(meets, "meets")
     same = meets.groupBy("token", "df").agg(F.bit_xor(F.xxhash64("id")).alias("h"), F.bit_xor(F.xxhash64("id", F.lit(7))).alias("g"))
     same = stage(same.groupBy("df", "h", "g").agg(F.min("token").alias("token"), F.count(F.lit(1)).alias("weight")).select("token", "df", "weight"), "buckets")
-    out = stage(_found(meets.select("id", "n", "token"), same, "token", "id", "df", hot, small, True), "members")
+    rows = meets.select("id", "token")
+    out = rows.join(F.broadcast(same), "token") if same.count() <= tokens else _found(rows, same, "token", "id", "df", hot, small, True)
+    out = stage(out.select("token", "id", "df", "weight"), "members")
     discard(shared, meets, same)
     return out
 
@@ -430,13 +436,14 @@ def near_duplicate_classes(docs: DataFrame, key: str = "doc_id", text: str = "te
     extra = owned.filter("kept and id != entry").select("id")
     extra = F.broadcast(extra) if extra.count() <= small else extra
     entries = made.filter("bitmap is not null").join(extra, "id", "left_anti").select("id", "key", "digest", "n", "shingles", "bitmap")
-    members = bucket_rows(entries, hot, small)
+    members = bucket_rows(entries, hot, small, 4 * small)
     few = members.filter(F.col("df") <= leaf)
     rows = few.withColumn("label", F.col("id")).withColumns({c: F.lit(0) for c in ("x", "y", "own")})
-    close = tree_pairs(rows.join(_of(entries, few, small).select("id", "bitmap"), "id"), percent, False)
+    close = tree_pairs(rows.join(_of(entries, few, small).select("id", "n", "bitmap"), "id"), percent, False)
     close = stage(close.groupBy("a", "b").agg(F.sum("met").alias("met")).filter(F.col("met") >= SHARED).select("a", "b"), "close")
     many = members.filter(F.col("df") > leaf).drop("weight")
-    rows = _blocks(many.withColumn("label", F.col("id")), block, percent).join(_of(entries, many, small).select("id", "bitmap"), "id")
+    rows = many.withColumn("label", F.col("id")).join(_of(entries, many, small).select("id", "n", "bitmap"), "id")
+    rows = _blocks(rows, block, percent)
     pairs = stage(tree_pairs(rows, percent, True), "pairs")
     close = stage(close.union(pairs.filter("b is not null").select("a", "b")).distinct(), "close")
     discard(members)
