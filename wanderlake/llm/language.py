@@ -233,7 +233,7 @@ def _totals(docs: DataFrame, sent, keep: list[str], text: str, judge: bool) -> D
     return source.mapInArrow(run, schema)
 
 
-def fit_languages(docs: DataFrame, lang: str = "lang", text: str = "text", key: str = "doc_id", order: int = 5, max_docs: int = 2400) -> LanguageModels:
+def fit_languages(docs: DataFrame, lang: str = "lang", text: str = "text", key: str = "doc_id", order: int = 5, max_docs: int = 1800) -> LanguageModels:
     """Models of the languages named in ``lang``, with calibrated temperature and rejection, which a third of the sample sets.
 
     Rows without a key, or tables without that column, are chosen by hash of the text.
