@@ -379,21 +379,22 @@ def _found(rows: DataFrame, table: DataFrame, key: str, own: str, often: str, ho
     return out.select(*[F.col(c) for c in rows.columns], *[F.col(f"_both.{c}").alias(c) for c in more])
 
 
-def bucket_rows(entries: DataFrame, hot: int, small: int, tokens: int) -> DataFrame:
+def bucket_rows(entries: DataFrame, hot: int, small: int, slots: int = 1 << 18) -> DataFrame:
     """token, id, df, weight: the entries of each distinct bucket of two or more; ``weight`` shingles have these entries.
 
-    Up to ``tokens`` shingles that entries share go to the entries by broadcast (16 bytes each), more meet them in a join.
+    Most shingles are one entry's alone. A bitmap of those that are not, of ``slots`` rows of 64 bits however many there are, keeps the
+    rows of most others out of the join.
     """
     rows = entries.select("id", F.explode("shingles").alias("token"))
     shared = stage(rows.groupBy("token").agg(F.count(F.lit(1)).alias("df")).filter("df > 1"), "shared")
-    meets = rows.join(F.broadcast(shared), "token") if shared.count() <= tokens else _found(rows, shared, "token", "id", "df", hot, small, True)
-    meets = stage(meets, "meets")
+    slot, bit = f"token & {slots - 1}L", "shiftleft(1L, cast(shiftrightunsigned(token, 40) & 63 as int))"
+    bits = stage(shared.groupBy(F.expr(slot).alias("slot")).agg(F.expr(f"bit_or({bit})").alias("bits")), "bits")
+    likely = rows.join(F.broadcast(bits), F.expr(slot) == F.col("slot")).filter(f"bits & {bit} != 0").select("id", "token")
+    meets = stage(_found(likely, shared, "token", "id", "df", hot, small, True), "meets")
     same = meets.groupBy("token", "df").agg(F.bit_xor(F.xxhash64("id")).alias("h"), F.bit_xor(F.xxhash64("id", F.lit(7))).alias("g"))
     same = stage(same.groupBy("df", "h", "g").agg(F.min("token").alias("token"), F.count(F.lit(1)).alias("weight")).select("token", "df", "weight"), "buckets")
-    rows = meets.select("id", "token")
-    out = rows.join(F.broadcast(same), "token") if same.count() <= tokens else _found(rows, same, "token", "id", "df", hot, small, True)
-    out = stage(out.select("token", "id", "df", "weight"), "members")
-    discard(shared, meets, same)
+    out = stage(_found(meets.select("id", "token"), same, "token", "id", "df", hot, small, True).select("token", "id", "df", "weight"), "members")
+    discard(shared, bits, meets, same)
     return out
 
 
@@ -436,7 +437,7 @@ def near_duplicate_classes(docs: DataFrame, key: str = "doc_id", text: str = "te
     extra = owned.filter("kept and id != entry").select("id")
     extra = F.broadcast(extra) if extra.count() <= small else extra
     entries = made.filter("bitmap is not null").join(extra, "id", "left_anti").select("id", "key", "digest", "n", "shingles", "bitmap")
-    members = bucket_rows(entries, hot, small, 4 * small)
+    members = bucket_rows(entries, hot, small)
     few = members.filter(F.col("df") <= leaf)
     rows = few.withColumn("label", F.col("id")).withColumns({c: F.lit(0) for c in ("x", "y", "own")})
     close = tree_pairs(rows.join(_of(entries, few, small).select("id", "n", "bitmap"), "id"), percent, False)
