@@ -20,5 +20,5 @@ def test_registered():
     import __spark_entry__ as e
 
     names = set(e.queries())
-    assert {f"op{n}_" for n in range(1, 11)} == {k[: k.index("_") + 1] for k in names if k.startswith("op")}
+    assert {f"op{n}_" for n in range(1, 14)} == {k[: k.index("_") + 1] for k in names if k.startswith("op")}
     assert "pipeline" in names
