@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("quality", "warc", "decontaminate", "toxicity", "language", "packing", "brown", "chat", "licenses", "jaccard", "manifest")
+MODULES = ("quality", "warc", "decontaminate", "toxicity", "language", "packing", "brown", "chat", "licenses", "jaccard", "manifest", "divergence", "gam")
 
 
 def queries() -> dict:
