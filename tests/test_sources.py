@@ -1,5 +1,7 @@
+import random
 import struct
 
+import numpy as np
 import pytest
 
 from wanderlake.operators import graph as g
@@ -99,3 +101,87 @@ def test_load(spark, tmp_path):
     p.write_text("0 1\n1 2\n")
     graph = g.Graph.load(spark, str(p))
     assert graph.counts == (3, 4)
+
+
+def lists(rng, n, spread):
+    """Edges of random adjacency lists, and their numbers."""
+    edges, numbers = [], []
+    for _ in range(n):
+        src, dsts = rng.randrange(1 << 32), [rng.randrange(spread) for _ in range(rng.choice([0, 0, 1, 2, 5, 40]))]
+        edges += [(src, d) for d in dsts]
+        numbers += [src, len(dsts), *dsts]
+    return edges, numbers
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_a_file_of_lists_over_lines_is_read_by_several_tasks(spark, tmp_path, seed):
+    """Splits that begin inside lists, inside a record's head, and lists over several splits; destinations that look like degrees."""
+    rng = random.Random(seed)
+    edges, numbers = lists(rng, 400, rng.choice([3, 50, 1 << 32]))
+    edges += [(7, k % 11) for k in range(900)]
+    numbers += [7, 900, *(k % 11 for k in range(900))]
+    text, at = "", 0
+    while at < len(numbers):
+        n = rng.choice([1, 1, 2, 3, 7, 30])
+        text += " ".join(map(str, numbers[at : at + n])) + rng.choice(["\n", "\n", " \n\n"])
+        at += n
+    p = tmp_path / "one.txt"
+    p.write_text(text)
+    (tmp_path / "zwei.txt").write_text("5 1\n6 1 1 8\n")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes"), spark.conf.get("spark.sql.files.openCostInBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "3000")
+        spark.conf.set("spark.sql.files.openCostInBytes", "1")
+        assert spark.read.text(str(p)).rdd.getNumPartitions() > 2
+        found = io.read_adjacency_text(spark, [str(p), str(tmp_path / "zwei.txt")])
+        assert rows(found) == [*edges, (5, 6), (1, 8)]
+        assert [r[0] for r in found.select("edge_idx").orderBy("edge_idx").collect()] == list(range(len(edges) + 2))
+        p.write_text(text.rstrip() + " 9 2 1\n")
+        with pytest.raises(Exception, match="shorter"):
+            io.read_adjacency_text(spark, str(p)).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before[0])
+        spark.conf.set("spark.sql.files.openCostInBytes", before[1])
+
+
+def test_jump_tables_by_following_each_number():
+    from wanderlake.sources import adjacency as a
+
+    rng = random.Random(9)
+    for _ in range(60):
+        t = np.array([rng.choice([0, 1, 2, 3, 9, 1 << 31]) for _ in range(rng.randrange(1, 40))], np.int64)
+        state, src = a.leaves(t, a.last_starts(t))
+        for o in range(len(t)):
+            at = o
+            while at + 1 < len(t) and at + 2 + t[at + 1] < len(t):
+                at += 2 + int(t[at + 1])
+            assert src[o] == t[at] and state[o] == (at + 2 + t[at + 1] - len(t) if at + 1 < len(t) else a.PENDING)
+
+
+def test_a_large_binary_file_is_read_by_several_tasks(spark, tmp_path):
+    """100 MB in one file with a trailing part: many ranges, in order, none read twice."""
+    n = 13_000_000
+    p = tmp_path / "large.bin"
+    src = np.arange(n, dtype="<u4")
+    np.stack([src, src * 7 + 1], 1).astype("<u4").tofile(p)
+    with p.open("ab") as f:
+        f.write(b"\x01\x02\x03")
+    found = io.read_binary_edges(spark, str(p), records=2_000_000)
+    assert found.rdd.getNumPartitions() == 7
+    row = found.selectExpr("count(*) n", "sum(edge_idx) i", "sum(src) s", "bool_and(edge_idx = src and dst = (src * 7 + 1) % 4294967296) ok").first()
+    assert (row.n, row.i, row.s, row.ok) == (n, n * (n - 1) // 2, n * (n - 1) // 2, True)
+    small = tmp_path / "small.bin"
+    src[:23].tofile(small)
+    found = io.read_binary_edges(spark, str(small), records=4)
+    assert found.rdd.getNumPartitions() == 3 and rows(found) == [(2 * i, 2 * i + 1) for i in range(11)]
+
+
+def test_files_in_other_stores_are_read_whole(spark, tmp_path):
+    from wanderlake.sources import binary as b
+
+    (tmp_path / "x").mkdir()
+    for i in range(3):
+        (tmp_path / "x" / f"{i}.bin").write_bytes(struct.pack("<4I", i, 1, i, 2) + b"\x01" * i)
+    files = spark.read.format("binaryFile").load(str(tmp_path / "x"))
+    base = {r["path"]: 2 * k for k, r in enumerate(files.select("path").orderBy("path").collect())}
+    assert rows(b._whole(files, base)) == rows(io.read_binary_edges(spark, str(tmp_path / "x"))) == [(i, k) for i in range(3) for k in (1, 2)]

@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 
 from wanderlake.functions.draws import RANGE, draw, draw_values
-from wanderlake.operators import generators, kernel, validate, walks
+from wanderlake.operators import generators, kernel, packed, triangles, validate, walks
 from wanderlake.operators.graph import Graph
 from wanderlake.plans.layout import walk_metrics
 from wanderlake.plans.strategy import WalkEngine
@@ -171,3 +171,148 @@ def test_batches_are_the_same_walks_and_end_when_converged(spark):
     assert ok and found.select("walker_id").distinct().count() % 500 == 0
     found, ok = engine.until_converged(2, 1, most=2)
     assert not ok and found.count() == 4
+
+
+@pytest.mark.parametrize("pairs", [TAIL, [(1, 2)], [(7, 7)], [(0, i) for i in range(1, 9)], [(1, 2), (3, 4)]])
+def test_packed_lists_equal_joins(spark, pairs, monkeypatch):
+    monkeypatch.setattr(packed, "LIST", 4)
+    want = taken(walks.deepwalk(graph_of(spark, pairs), 20, 6, 3))
+    graph = packed.PackedGraph(graph_of(spark, pairs))
+    assert taken(graph.walks(20, 6, 3)) == want == taken(graph.walks(20, 6, 3, every=2))
+    assert taken(graph.walks(5, 6, 3, first=15)) == [r for r in want if r[0] >= 15]
+    assert taken(graph.walks(5, 1, 3)) == [r for r in want if r[0] < 5 and r[1] == 0] and graph.walks(0, 3).count() == 0
+    with pytest.raises(ValueError):
+        graph.walks(5, 0)
+
+
+def test_packed_lists_at_sinks_and_where_many_arcs_lead_to_few(spark):
+    """A vertex that all arcs lead to and one leaves lies there in copies."""
+    pairs = [(i, 0) for i in range(1, 40)] + [(0, 99), (99, 5)]
+    stop = graph_of(spark, [*pairs, (5, 100)], directed=True, on_sink="stop")
+    assert taken(packed.packed_walks(stop, 60, 7, 2)) == taken(walks.deepwalk(stop, 60, 7, 2))
+    copies = {r.name: r.copies for r in packed.packed_ends(stop).collect()}
+    assert copies[0] == 4 and copies[99] == copies[7] == 1
+    with pytest.raises(Exception, match="without arcs"):
+        packed.packed_walks(graph_of(spark, [(0, 1)], directed=True), 12, 5, 2).collect()
+
+
+def test_packed_plan_neither_broadcasts_nor_sorts(spark):
+    graph = packed.PackedGraph(graph_of(spark, [(i, i * i % 50) for i in range(50)]))
+    here = spark.range(10).selectExpr("id as walker_id", "id as vertex", "2L as degree", "1 as copies")
+    with packed.fixed_plan(spark):
+        text = "SELECT * FROM {here}"
+        for step in (1, 2):
+            text = graph._step(text, step, 1, list(range(1, step)))
+        plan = spark.sql(text, here=here, lists=graph.lists)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ShuffledHashJoin") >= 2 and "Broadcast" not in plan and "SortMergeJoin" not in plan
+    assert "Exchange hashpartitioning(src" not in plan.split("InMemoryRelation")[0]
+    assert spark.conf.get("spark.sql.adaptive.enabled") == "true"
+
+
+def test_all_strategies_give_the_same_rows(spark):
+    graph = graph_of(spark, [(i % 9, (i * i + 1) % 9) for i in range(40)])
+    rows = [taken(WalkEngine(graph, way, seed=4).deepwalk(9, walkers=30)) for way in ("kernel", "packed", "join")]
+    assert rows[0] == rows[1] == rows[2]
+    assert taken(WalkEngine(graph, limit=10, seed=4).deepwalk(9, walkers=30)) == rows[0]
+
+
+@pytest.mark.parametrize("p,q", [(0.01, 100.0), (0.5, 2.0), (2.0, 0.5), (3.0, 1.0)])
+def test_drawn_slots_are_those_of_all_arcs(spark, p, q):
+    """The slot drawn from breakpoints alone is the one that sums over all arcs give, for every arc walked and many draws."""
+    rng = np.random.default_rng(3)
+    pairs = [(int(a), int(b)) for a, b in rng.integers(0, 12, (60, 2))] + [(0, 1), (0, 1), (5, 5)]
+    for directed in (False, True):
+        graph = graph_of(spark, pairs, directed=directed)
+        slots = sorted((r.src, r.k, r.dst) for r in graph.slots.collect())
+        lists = {}
+        for s, k, d in slots:
+            lists.setdefault(s, []).append(d)
+        known = {(s, d) for s, _, d in slots}
+        asked = [(prev, cur, u) for prev, cur in sorted(known) if cur in lists for u in (0.0, 0.13, 0.5, 0.77, 0.999)]
+        rows = [(i, prev, len(lists[prev]), cur, len(lists[cur]), u) for i, (prev, cur, u) in enumerate(asked)]
+        found = triangles.drawn_slots(spark.createDataFrame(rows, "walker_id long, prev long, prev_degree long, vertex long, degree long, u double"), graph.weights, p, q)
+        got = {r.walker_id: lists[r.vertex][r.k] for r in found.collect()}
+        for i, (prev, cur, u) in enumerate(asked):
+            mass = np.array([1 / p if x == prev else 1.0 if (prev, x) in known else 1 / q for x in lists[cur]])
+            total = mass.cumsum()
+            near = [lists[cur][int(np.searchsorted(total, (u + e) * total[-1], side="right").clip(0, len(total) - 1))] for e in (-1e-9, 1e-9)]
+            assert got[i] in near, (prev, cur, u)
+
+
+def test_a_walker_at_a_hub_meets_few_rows(spark):
+    """A star of 10^5 arcs with p = 0.01, q = 100: the law of a pair at the hub is two rows."""
+    edges = spark.range(100_000).selectExpr("id as edge_idx", "0L as src", "id + 1 as dst")
+    graph = Graph(edges)
+    pairs = spark.createDataFrame([(k, 1, 0, 100_000) for k in (1, 500, 100_000)], "prev long, prev_degree long, cur long, degree long")
+    points = triangles.breakpoints(pairs, graph.weights, 0.01, 100.0).collect()
+    assert len(points) == 6 and {round(r.whole, 6) for r in points} == {round(100 + 99_999 / 100, 6)}
+    rows = taken(walks.node2vec(graph, 40, 4, 0.01, 100.0, 5, rounds=1))
+    assert len(rows) == 160 and all((a[2] == 0) != (b[2] == 0) for a, b in zip(rows, rows[1:]) if a[0] == b[0])
+
+
+@pytest.mark.parametrize("directed", [False, True])
+def test_laws_from_triangles_by_enumeration(spark, directed):
+    rng = np.random.default_rng(8)
+    for n, m in ((6, 20), (15, 40), (4, 30)):
+        pairs = [(int(a), int(b)) for a, b in rng.integers(0, n, (m, 2))]
+        graph = graph_of(spark, pairs, directed=directed)
+        weight = Counter(pairs) + (Counter() if directed else Counter((b, a) for a, b in pairs))
+        p, q = 0.5, 4.0
+        law_, sure = {}, {}
+        for t, v in weight:
+            mass = {x: c * (1 / p if x == t else 1.0 if (t, x) in weight else 1 / q) for (a, x), c in weight.items() if a == v}
+            if mass:
+                sure[t, v] = sum(mass.values()) / (2.0 * sum(c for (a, _), c in weight.items() if a == v))
+            for x, w in mass.items():
+                law_[t, v, x] = w / sum(mass.values())
+        got = {(r.prev, r.cur): r.accept_prob for r in triangles.acceptance(graph.arcs, p, q).collect()}
+        assert got.keys() == sure.keys() and all(math.isclose(got[k], sure[k]) for k in sure)
+        got = {(r.prev, r.cur, r.next): r.prob for r in triangles.second_order_law(graph.arcs, p, q).collect()}
+        assert got.keys() == law_.keys() and all(math.isclose(got[k], law_[k]) for k in law_)
+
+
+def test_a_star_makes_no_pairs_of_its_arcs(spark):
+    """Edges go out from the leaves, so a hub of any size has none to pair."""
+    graph = graph_of(spark, [(0, i) for i in range(1, 2000)] + [(1, 2)])
+    edges = triangles.oriented_edges(graph.weights)
+    assert edges.groupBy("lo").count().agg({"count": "max"}).first()[0] == 2
+    assert [tuple(r)[:3] for r in triangles.triangles(graph.weights).collect()] == [(1, 2, 0)]
+
+
+@pytest.mark.parametrize("p,q", [(0.5, 2.0), (2.0, 0.5), (10.0, 10.0)])
+def test_second_order_walks_agree_with_the_law(spark, p, q):
+    engine = WalkEngine(graph_of(spark, TAIL), seed=6)
+    found, ok = engine.until_converged(60, 2000, most=8, p=p, q=q)
+    assert ok and found.select("walker_id").distinct().count() % 2000 == 0
+    assert not WalkEngine(graph_of(spark, TAIL), seed=6).until_converged(4, 3, most=2, p=p, q=q)[1]
+
+
+def test_batches_go_on_where_they_were_cut_short(spark, tmp_path):
+    import os
+    import shutil
+
+    folder = str(tmp_path / "walks")
+    graph = graph_of(spark, TAIL)
+    how = {"length": 5, "walkers": 50, "free_bytes": 4 * 13 * 20, "p": 2.0, "q": 0.5}
+    want = taken(kernel.kernel_walks(graph, 50, 5, 3, 2.0, 0.5))
+    assert taken(WalkEngine(graph, seed=3).in_batches(**how, folder=folder)) == want
+    times = {k: os.path.getmtime(f"{folder}/batch=00000{k}/_SUCCESS") for k in range(3)}
+    os.remove(f"{folder}/batch=000001/_SUCCESS")
+    shutil.rmtree(f"{folder}/batch=000002")
+    assert taken(WalkEngine(graph, seed=3).in_batches(**how, folder=folder)) == want
+    assert os.path.getmtime(f"{folder}/batch=000000/_SUCCESS") == times[0] and os.path.getmtime(f"{folder}/batch=000001/_SUCCESS") > times[1]
+    with pytest.raises(ValueError, match="other walks"):
+        WalkEngine(graph, seed=4).in_batches(**how, folder=folder)
+    rows = [taken(WalkEngine(graph, way, seed=3).in_batches(5, 50, 4 * 13 * 20)) for way in ("join", "packed")]
+    assert rows[0] == rows[1] == taken(kernel.kernel_walks(graph, 50, 5, 3))
+
+
+def test_values_at_places_without_a_sort(spark):
+    rng = np.random.default_rng(1)
+    for x in (rng.normal(size=3000), np.round(rng.exponential(size=2000), 1), np.array([5.0]), np.array([1.0, 1.0]), np.concatenate([np.zeros(999), [1e-12, 1e9]])):
+        df = spark.createDataFrame([(float(v),) for v in x], "x double")
+        places = {("x", k): k for k in {0, len(x) - 1, len(x) // 2, int(len(x) * 0.99)}}
+        for buckets in (2, 1024):
+            got = validate.at_places(df, places, buckets) if len(x) < 5 or buckets > 2 else {}
+            assert all(got[k] == np.sort(x)[k[1]] for k in got)
+    assert validate.distance_summary(df.selectExpr("x as bhattacharyya", "x as linf").filter("false")).first().avg is None

@@ -6,11 +6,16 @@ two arcs of one vertex. Vertex names are longs; internal numbers never leave the
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import cached_property
 
-from pyspark.sql import DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.joins import spread_join
 from ..plans.staging import ordered_index, running_total, stage
 
 
@@ -50,20 +55,48 @@ def degree_offsets(ranked: DataFrame) -> DataFrame:
 
 
 def relabel(edges: DataFrame, numbers: DataFrame, number: str = "raw_id") -> DataFrame:
-    """Edges with names replaced by numbers, by two equi-joins that Spark broadcasts where small."""
+    """Edges with names replaced by numbers, by two joins in which a hub's edges stay spread."""
     a = numbers.select(F.col("name").alias("src"), F.col(number).alias("_s"))
     b = numbers.select(F.col("name").alias("dst"), F.col(number).alias("_d"))
-    return edges.join(a, "src").join(b, "dst").select("edge_idx", F.col("_s").alias("src"), F.col("_d").alias("dst"))
+    found = spread_join(spread_join(edges.select("edge_idx", "src", "dst"), a, ["src"]), b, ["dst"])
+    return found.select("edge_idx", F.col("_s").alias("src"), F.col("_d").alias("dst"))
+
+
+def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sorted arcs with their place since their source began in this partition."""
+    part, open_, count = TaskContext.get().partitionId(), None, 0
+    for batch in batches:
+        src = batch.column(0).to_numpy()
+        if not len(src):
+            continue
+        row = np.arange(len(src))
+        first = np.concatenate([[src[0] != open_], src[1:] != src[:-1]])
+        k = row - np.maximum.accumulate(np.where(first, row, 0))
+        k[np.maximum.accumulate(first) == 0] += count
+        open_, count = src[-1], int(k[-1]) + 1
+        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(src), part, np.int32)), batch.column(0), pa.array(k), batch.column(1)], names=["part", "src", "k", "dst"])
 
 
 def slots(arcs: DataFrame) -> DataFrame:
     """src, k, dst: the adjacency lists as rows, k numbering each vertex's arcs by (dst, edge_idx, side).
 
-    Rows, not arrays: a hub of any degree is many rows, and a walker reaches its next vertex by (src, k).
-    Numbering sorts a vertex's arcs in one task, spilling to disk for a hub.
+    Rows, not arrays: a hub of any degree is many rows, and a walker reaches its next vertex by (src, k). Arcs are range-sorted
+    and numbered in their partition; a source that goes on from one partition to the next is carried over by one row
+    a partition, so a hub's arcs lie, and are numbered, in many tasks.
     """
-    place = Window.partitionBy("src").orderBy("dst", "edge_idx", "side")
-    return arcs.select("src", (F.row_number().over(place) - 1).cast("long").alias("k"), "dst")
+    placed = arcs.select("src", "dst", "edge_idx", "side").orderBy("src", "dst", "edge_idx", "side").mapInArrow(_places, "part int, src long, k long, dst long")
+    placed = stage(placed, "slots")
+    ends = placed.groupBy("part").agg(F.min("src").alias("first"), F.max(F.struct("src", "k")).alias("last")).collect()  # one row a partition
+    carried, open_, count = [], None, 0
+    for part, first, (last, k) in sorted(ends):
+        before = count if first == open_ else 0
+        if before:
+            carried.append((part, first, before))
+        open_, count = last, k + 1 + (before if first == last else 0)
+    if not carried:
+        return placed.select("src", "k", "dst")
+    found = placed.join(F.broadcast(placed.sparkSession.createDataFrame(carried, "part int, src long, _before long")), ["part", "src"], "left")
+    return found.select("src", (F.col("k") + F.coalesce("_before", F.lit(0))).alias("k"), "dst")
 
 
 def adjacency(arcs: DataFrame) -> DataFrame:
@@ -74,7 +107,7 @@ def adjacency(arcs: DataFrame) -> DataFrame:
 def has_neighbor(pairs: DataFrame, arcs: DataFrame) -> DataFrame:
     """pairs (src, dst) with has_neighbor: whether that arc exists; exact, directed."""
     known = arcs.select("src", "dst").distinct().withColumn("_hit", F.lit(True))
-    return pairs.join(known, ["src", "dst"], "left").withColumn("has_neighbor", F.col("_hit").isNotNull()).drop("_hit")
+    return spread_join(pairs, known, ["src", "dst"], "left").withColumn("has_neighbor", F.col("_hit").isNotNull()).drop("_hit")
 
 
 def edge_multiset_diff(a: DataFrame, b: DataFrame) -> DataFrame:
@@ -133,20 +166,25 @@ class Graph:
         """name, degree of every vertex."""
         return self.starts.select("name", "degree")
 
+    @cached_property
+    def slots(self) -> DataFrame:
+        """src, k, dst."""
+        return stage(slots(self.arcs), "slots")
+
     @cached_property
     def steps(self) -> DataFrame:
         """src, k, dst, dst_degree, kept hash-partitioned by (src, k).
 
         A slot also tells the degree of where it leads, so a step is one join.
         """
-        out = slots(self.arcs).join(self.ends.select(F.col("name").alias("dst"), F.col("degree").alias("dst_degree")), "dst")
+        out = spread_join(self.slots, self.ends.select(F.col("name").alias("dst"), F.col("degree").alias("dst_degree")), ["dst"])
         parts = int(self.edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
         return stage(out.select("src", "k", "dst", "dst_degree"), "steps").repartition(parts, "src", "k").persist()
 
     @cached_property
     def weights(self) -> DataFrame:
-        """src, dst, weight."""
-        return stage(weighted_arcs(self.arcs), "weights")
+        """src, dst, weight, first: distinct arcs with their number and the first of their slots, which follow one another."""
+        return stage(self.slots.groupBy("src", "dst").agg(F.count(F.lit(1)).alias("weight"), F.min("k").alias("first")), "weights")
 
     @cached_property
     def pairs(self) -> DataFrame:

@@ -85,8 +85,8 @@ class _Walker:
         return found
 
 
-def kernel_walks(graph: Graph, walkers: int, length: int, seed: int = 1, p: float | None = None, q: float | None = None, rounds: int = 3, limit: int = LIMIT) -> DataFrame:
-    """walker_id, step, vertex: uniform walks, or second-order ones where p and q are given."""
+def kernel_walks(graph: Graph, walkers: int, length: int, seed: int = 1, p: float | None = None, q: float | None = None, rounds: int = 3, limit: int = LIMIT, first: int = 0) -> DataFrame:
+    """walker_id (from ``first`` on), step, vertex: uniform walks, or second-order ones where p and q are given."""
     spark = graph.edges.sparkSession
     sent = spark.sparkContext.broadcast(packed_adjacency(graph, limit))
     stop = graph.on_sink == "stop"
@@ -113,4 +113,4 @@ def kernel_walks(graph: Graph, walkers: int, length: int, seed: int = 1, p: floa
                 names=["walker_id", "step", "vertex"],
             )
 
-    return spark.range(walkers).select(F.col("id").alias("walker_id")).mapInArrow(run, "walker_id long, step int, vertex long")
+    return spark.range(first, first + walkers).select(F.col("id").alias("walker_id")).mapInArrow(run, "walker_id long, step int, vertex long")

@@ -15,23 +15,25 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.draws import draw, draw_unit
-from ..plans.staging import stage
+from ..plans.staging import discard, stage
 from .graph import Graph, weighted_arcs
+from .triangles import acceptance, drawn_slots, second_order_law  # noqa: F401
 
 _PATH = "array<struct<step:int,vertex:bigint>>"
 
 
-def start_walkers(graph: Graph, walkers: int, seed: int, first: int = 0) -> DataFrame:
-    """walker_id (from ``first`` on), vertex, degree: uniform over all vertices, with replacement."""
+def start_walkers(graph: Graph, walkers: int, seed: int, first: int = 0, starts: DataFrame | None = None) -> DataFrame:
+    """walker_id (from ``first`` on), vertex, degree (and what else ``starts`` has): uniform over all vertices, with replacement."""
     if walkers < 0:
         raise ValueError("walkers: at least 0")
     spark: SparkSession = graph.edges.sparkSession
-    n = graph.starts.count()
+    starts = graph.starts if starts is None else starts
+    n = starts.count()
     if walkers and not n:
         raise ValueError("walkers on a graph without vertices")
     drawn = spark.range(first, first + walkers).select(F.col("id").alias("walker_id"))
     drawn = drawn.withColumn("start", draw(seed, F.col("walker_id"), 0) % F.lit(max(n, 1)))
-    return drawn.join(graph.starts, "start").select("walker_id", F.col("name").alias("vertex"), "degree")
+    return drawn.join(starts, "start").drop("start").withColumnRenamed("name", "vertex")
 
 
 def _slot_number(graph: Graph, drawn: Column) -> Column:
@@ -49,6 +51,7 @@ def _moved(step: int, found: DataFrame) -> DataFrame:
     return found.select(
         "walker_id",
         F.when(went, F.col("vertex")).otherwise(F.col("prev")).alias("prev"),
+        F.when(went, F.col("degree")).otherwise(F.col("prev_degree")).alias("prev_degree"),
         F.coalesce("next", "vertex").alias("vertex"),
         F.when(went, F.col("next_degree")).otherwise(F.lit(0)).alias("degree"),
         path.alias("path"),
@@ -56,18 +59,18 @@ def _moved(step: int, found: DataFrame) -> DataFrame:
 
 
 def step_uniform(here: DataFrame, graph: Graph, seed: int, step: int) -> DataFrame:
-    """Moves walkers (walker_id, prev, vertex, degree, path) along a uniformly drawn arc."""
+    """Moves walkers (walker_id, prev, prev_degree, vertex, degree, path) along a uniformly drawn arc."""
     here = here.withColumn("k", _slot_number(graph, draw(seed, F.col("walker_id"), step) % F.col("degree")))
     arcs = graph.steps.select(F.col("src").alias("vertex"), "k", F.col("dst").alias("next"), F.col("dst_degree").alias("next_degree"))
     return _moved(step, here.join(arcs, ["vertex", "k"], "left"))
 
 
-def step_second_order(here: DataFrame, graph: Graph, seed: int, step: int, p: float, q: float, rounds: int = 3) -> DataFrame:
-    """Moves walkers by the law ``weight * (1/p to prev, 1 to neighbours of prev, 1/q else)``.
+def step_second_order(here: DataFrame, graph: Graph, seed: int, step: int, p: float, q: float, rounds: int = 3) -> tuple[DataFrame, DataFrame]:
+    """Moves walkers by the law ``weight * (1/p to prev, 1 to neighbours of prev, 1/q else)``; also gives the staged table to discard afterwards.
 
     ``rounds`` rounds of rejection: a drawn arc is accepted or not from the draw alone where that
     decides, else by whether prev has an arc to it. Walkers that no round moves draw from all their
-    arcs by weight. As rounds are independent, the law is exact.
+    arcs by weight, of which only those back and to common neighbours are looked at. As rounds are independent, the law is exact.
     """
     back, out = 1.0 / p, 1.0 / q
     upper = max(1.0, back, out)
@@ -89,32 +92,30 @@ def step_second_order(here: DataFrame, graph: Graph, seed: int, step: int, p: fl
         now = now.withColumn("ok", ok).withColumn("next", F.when(F.col("ok"), F.col("cand")).otherwise(F.col("next"))).withColumn("next_degree", F.when(F.col("ok"), F.col("cand_degree")).otherwise(F.col("next_degree")))
         now = now.drop("k", "cand", "cand_degree", "u", "ok", "_from", "_to", "_arc")
     now = stage(now, "proposed")
-    left = now.filter("next is null and degree > 0").select("walker_id", "prev", "vertex")
-    every = left.join(graph.weights.select(F.col("src").alias("vertex"), F.col("dst").alias("cand"), "weight"), "vertex")
-    every = every.join(known.withColumnRenamed("_from", "prev").withColumnRenamed("_to", "cand"), ["prev", "cand"], "left")
-    mass = F.col("weight") * F.when(F.col("cand") == F.col("prev"), back).when(F.col("_arc"), 1.0).otherwise(out)
-    walker = Window.partitionBy("walker_id")
-    every = every.withColumn("mass", mass)
-    every = every.withColumn("upto", F.sum("mass").over(walker.orderBy("cand").rowsBetween(Window.unboundedPreceding, 0))).withColumn("all", F.sum("mass").over(walker))
-    every = every.filter(F.col("upto") > draw_unit(seed, F.col("walker_id"), step, 2 * rounds) * F.col("all"))
-    late = every.groupBy("walker_id").agg(F.min("cand").alias("_late"))
-    late = late.join(graph.ends.select(F.col("name").alias("_late"), F.col("degree").alias("_late_degree")), "_late")
-    now = now.join(late, "walker_id", "left")
-    now = now.withColumn("next", F.coalesce("next", "_late")).withColumn("next_degree", F.coalesce("next_degree", "_late_degree"))
-    return _moved(step, now)
-
-
-def _walk(graph: Graph, walkers: int, length: int, seed: int, every: int, move: Callable[[DataFrame, int], DataFrame], walker: int = 0) -> DataFrame:
+    left = now.filter("next is null and degree > 0").select("walker_id", "prev", "prev_degree", "vertex", "degree")
+    if left.isEmpty():
+        return _moved(step, now), now
+    late = drawn_slots(left.withColumn("u", draw_unit(seed, F.col("walker_id"), step, 2 * rounds)), graph.weights, p, q)
+    late = late.join(arcs, ["vertex", "k"]).select("walker_id", F.col("cand").alias("_late"), F.col("cand_degree").alias("_late_degree"))
+    late = now.join(late, "walker_id", "left")
+    late = late.withColumn("next", F.coalesce("next", "_late")).withColumn("next_degree", F.coalesce("next_degree", "_late_degree"))
+    return _moved(step, late), now
+
+
+def _walk(graph: Graph, walkers: int, length: int, seed: int, every: int, move: Callable[[DataFrame, int], tuple[DataFrame, DataFrame | None]], walker: int = 0) -> DataFrame:
     """walker_id, step, vertex. Within a round the path rides along; between rounds only the position does."""
     if length < 1:
         raise ValueError("length counts vertices: at least 1")
-    here = stage(start_walkers(graph, walkers, seed, walker).select("walker_id", F.lit(None).cast("long").alias("prev"), "vertex", "degree"), "walkers")
+    none = F.lit(None).cast("long")
+    here = stage(start_walkers(graph, walkers, seed, walker).select("walker_id", none.alias("prev"), none.alias("prev_degree"), "vertex", "degree"), "walkers")
     parts = [here.select("walker_id", F.lit(0).alias("step"), "vertex")]
     for first in range(1, length, every):
-        here = here.withColumn("path", F.array().cast(_PATH))
+        here, used = here.withColumn("path", F.array().cast(_PATH)), []
         for step in range(first, min(first + every, length)):
-            here = move(here, step)
+            here, left = move(here, step)
+            used += [left] if left is not None else []
         here = stage(here, "walkers")
+        discard(*used)
         parts.append(here.select("walker_id", F.explode("path").alias("p")).select("walker_id", "p.step", "p.vertex"))
         here = here.drop("path")
     return reduce(DataFrame.unionByName, parts)
@@ -122,18 +123,18 @@ def _walk(graph: Graph, walkers: int, length: int, seed: int, every: int, move:
 
 def deepwalk(graph: Graph, walkers: int, length: int, seed: int = 1, every: int = 8, first: int = 0) -> DataFrame:
     """walker_id (from ``first`` on), step, vertex: uniform walks of ``length`` vertices (fewer where one stops at a sink)."""
-    return _walk(graph, walkers, length, seed, every, lambda here, step: step_uniform(here, graph, seed, step), first)
+    return _walk(graph, walkers, length, seed, every, lambda here, step: (step_uniform(here, graph, seed, step), None), first)
 
 
-def node2vec(graph: Graph, walkers: int, length: int, p: float, q: float, seed: int = 1, rounds: int = 3) -> DataFrame:
-    """walker_id, step, vertex: second-order walks; the first step is uniform."""
+def node2vec(graph: Graph, walkers: int, length: int, p: float, q: float, seed: int = 1, rounds: int = 3, every: int = 4, first: int = 0) -> DataFrame:
+    """walker_id (from ``first`` on), step, vertex: second-order walks; the first step is uniform."""
     if not (p > 0 and q > 0):
         raise ValueError("p and q: above 0")
 
-    def move(here: DataFrame, step: int) -> DataFrame:
-        return step_uniform(here, graph, seed, step) if step == 1 else step_second_order(here, graph, seed, step, p, q, rounds)
+    def move(here: DataFrame, step: int) -> tuple[DataFrame, DataFrame | None]:
+        return (step_uniform(here, graph, seed, step), None) if step == 1 else step_second_order(here, graph, seed, step, p, q, rounds)
 
-    return _walk(graph, walkers, length, seed, 1, move)
+    return _walk(graph, walkers, length, seed, every, move, first)
 
 
 def paths(walks: DataFrame) -> DataFrame:
@@ -146,26 +147,3 @@ def first_order_law(arcs: DataFrame) -> DataFrame:
     """src, dst, prob: duplicates weigh."""
     total = Window.partitionBy("src")
     return weighted_arcs(arcs).select("src", "dst", (F.col("weight") / F.sum("weight").over(total)).alias("prob"))
-
-
-def _second_order_mass(arcs: DataFrame, p: float, q: float) -> DataFrame:
-    """prev, cur, next, weight, mass of every second-order transition (degree squared rows at hubs: small graphs)."""
-    w = weighted_arcs(arcs)
-    first = w.select(F.col("src").alias("prev"), F.col("dst").alias("cur"))
-    second = w.select(F.col("src").alias("cur"), F.col("dst").alias("next"), "weight")
-    known = w.select(F.col("src").alias("prev"), F.col("dst").alias("next"), F.lit(True).alias("_arc"))
-    both = first.join(second, "cur").join(known, ["prev", "next"], "left")
-    bias = F.when(F.col("next") == F.col("prev"), 1.0 / p).when(F.col("_arc"), 1.0).otherwise(1.0 / q)
-    return both.select("prev", "cur", "next", "weight", (F.col("weight") * bias).alias("mass"))
-
-
-def second_order_law(arcs: DataFrame, p: float, q: float) -> DataFrame:
-    """prev, cur, next, prob."""
-    here = Window.partitionBy("prev", "cur")
-    return _second_order_mass(arcs, p, q).select("prev", "cur", "next", (F.col("mass") / F.sum("mass").over(here)).alias("prob"))
-
-
-def acceptance(arcs: DataFrame, p: float, q: float) -> DataFrame:
-    """prev, cur, accept_prob: how likely one round of rejection moves a walker."""
-    upper = max(1.0, 1.0 / p, 1.0 / q)
-    return _second_order_mass(arcs, p, q).groupBy("prev", "cur").agg((F.sum("mass") / (F.sum("weight") * F.lit(upper))).alias("accept_prob"))

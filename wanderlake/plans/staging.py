@@ -68,6 +68,17 @@ def stage_bucketed(df: DataFrame, label: str, column: str, buckets: int, *parts:
     return out
 
 
+def stage_parts(df: DataFrame, label: str, column: str) -> DataFrame:
+    """Like ``stage``, in a folder for each value of ``column``, so that a read for one value opens that folder alone."""
+    spark = df.sparkSession
+    path = new_path(spark, label)
+    with shuffles_released(spark):
+        df.write.option("compression", "zstd").partitionBy(column).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._staged_at = path
+    return out
+
+
 def discard(*staged: DataFrame) -> None:
     """Deletes the files of staged tables that nothing reads any more."""
     for df in staged:
@@ -78,6 +89,36 @@ def discard(*staged: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def _file(spark: SparkSession, path: str):
+    """A path and its file system, whatever store it is in."""
+    found = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return found.getFileSystem(spark._jsc.hadoopConfiguration()), found
+
+
+def file_there(spark: SparkSession, path: str) -> bool:
+    """Whether a file is there."""
+    system, found = _file(spark, path)
+    return system.exists(found)
+
+
+def write_note(spark: SparkSession, path: str, text: str) -> None:
+    """A small text file, replaced if it is there."""
+    system, found = _file(spark, path)
+    out = system.create(found, True)
+    out.write(bytearray(text.encode()))
+    out.close()
+
+
+def read_note(spark: SparkSession, path: str) -> str:
+    """What ``write_note`` wrote."""
+    system, found = _file(spark, path)
+    source = system.open(found)
+    try:
+        return bytes(spark._jvm.org.apache.commons.io.IOUtils.toByteArray(source)).decode()
+    finally:
+        source.close()
+
+
 def ordered_index(df: DataFrame, *order: Column, name: str = "idx") -> DataFrame:
     """A dense 0-based number of each row in the given order, without one task for all rows.
 

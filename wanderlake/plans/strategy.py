@@ -1,28 +1,37 @@
-"""Which way to walk."""
+"""Which way to walk, and walks in batches."""
 
 from __future__ import annotations
 
+import json
+from collections.abc import Iterator
 from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators import validate
 from ..operators.graph import Graph
 from ..operators.kernel import LIMIT, fits, kernel_walks
+from ..operators.packed import packed_walks
+from ..operators.triangles import second_order_law
 from ..operators.walks import deepwalk, node2vec
 from .layout import epoch_plan
-from .staging import stage
+from .staging import discard, file_there, new_path, read_note, stage, stage_bucketed, write_note
+
+STRATEGIES = ("auto", "kernel", "packed", "join")
 
 
 class WalkEngine:
-    """Walks over a graph: by kernel where the packed adjacency is within ``limit`` bytes, else by joins.
+    """Walks over a graph, in one of three ways that give the same rows.
 
-    Both give the same rows. ``strategy``: auto, kernel or join.
+    ``kernel``: the packed adjacency, if within ``limit`` bytes, is broadcast; ``packed``: lists are dealt out and walkers go to them
+    (uniform walks); ``join``: slots are rows. ``auto``: the kernel where it fits, else packed lists for uniform walks and
+    joins for second-order ones.
     """
 
     def __init__(self, graph: Graph, strategy: str = "auto", limit: int = LIMIT, seed: int = 1):
-        if strategy not in ("auto", "kernel", "join"):
-            raise ValueError("strategy: auto, kernel or join")
+        if strategy not in STRATEGIES:
+            raise ValueError(f"strategy: {', '.join(STRATEGIES)}")
         self.graph, self.strategy, self.limit, self.seed = graph, strategy, limit, seed
 
     def _walkers(self, walkers: int | None, epochs: int | None) -> int:
@@ -35,42 +44,84 @@ class WalkEngine:
         """Whether walks go by kernel."""
         return self.strategy == "kernel" or self.strategy == "auto" and fits(self.graph, self.limit)
 
+    def walks(self, walkers: int, length: int, p: float | None = None, q: float | None = None, first: int = 0) -> DataFrame:
+        """Walks of walkers from number ``first`` on: uniform, or of second order where p and q are given."""
+        if (p is None) != (q is None) or p is not None and not (p > 0 and q > 0):
+            raise ValueError("p and q: both above 0, or none")
+        if self.uses_kernel:
+            return kernel_walks(self.graph, walkers, length, self.seed, p, q, limit=self.limit, first=first)
+        if p is not None:
+            return node2vec(self.graph, walkers, length, p, q, self.seed, first=first)
+        walk = deepwalk if self.strategy == "join" else packed_walks
+        return walk(self.graph, walkers, length, self.seed, first=first)
+
     def deepwalk(self, length: int, walkers: int | None = None, epochs: int | None = None) -> DataFrame:
         """Uniform walks; ``epochs`` means that many walkers per vertex on average, their starts drawn."""
-        n = self._walkers(walkers, epochs)
-        return kernel_walks(self.graph, n, length, self.seed, limit=self.limit) if self.uses_kernel else deepwalk(self.graph, n, length, self.seed)
+        return self.walks(self._walkers(walkers, epochs), length)
 
     def node2vec(self, length: int, p: float, q: float, walkers: int | None = None, epochs: int | None = None) -> DataFrame:
         """Second-order walks."""
-        n = self._walkers(walkers, epochs)
-        if not (p > 0 and q > 0):
-            raise ValueError("p and q: above 0")
-        return kernel_walks(self.graph, n, length, self.seed, p, q, limit=self.limit) if self.uses_kernel else node2vec(self.graph, n, length, p, q, self.seed)
+        return self.walks(self._walkers(walkers, epochs), length, p, q)
 
     def batches(self, walkers: int, length: int, free_bytes: int) -> list[tuple[int, int]]:
         """Walker batches that fit a memory bound."""
         return epoch_plan(walkers, length, free_bytes)
 
-    def in_batches(self, length: int, walkers: int, free_bytes: int) -> DataFrame:
-        """Uniform walks made batch after batch, each within a memory bound and written before the next; the rows are those of ``deepwalk``."""
-        done, parts = 0, []
-        for _, n in self.batches(walkers, length, free_bytes):
-            parts.append(stage(deepwalk(self.graph, n, length, self.seed, first=done), "batch"))
+    def _written(self, sizes: list[int], length: int, p: float | None, q: float | None, folder: str) -> Iterator[DataFrame]:
+        """Batch after batch, each written to ``folder`` before the next; those that are there in whole are read, not walked again."""
+        spark, done = self.graph.edges.sparkSession, 0
+        plan = json.dumps({"seed": self.seed, "length": length, "p": p, "q": q, "on_sink": self.graph.on_sink, "graph": self.graph.counts, "first": sizes[:1]})
+        note = f"{folder}/plan.json"
+        if file_there(spark, note) and read_note(spark, note) != plan:
+            raise ValueError(f"{folder} holds batches of other walks")
+        write_note(spark, note, plan)
+        for k, n in enumerate(sizes):
+            path = f"{folder}/batch={k:06}"
+            if not file_there(spark, f"{path}/_SUCCESS"):
+                self.walks(n, length, p, q, first=done).write.mode("overwrite").option("compression", "zstd").parquet(path)
+            yield spark.read.schema("walker_id long, step int, vertex long").parquet(path)
             done += n
-        return reduce(DataFrame.unionByName, parts) if parts else deepwalk(self.graph, 0, length, self.seed)
-
-    def until_converged(self, length: int, walkers: int, most: int = 100) -> tuple[DataFrame, bool]:
-        """Uniform walks, a batch of ``walkers`` more at a time, until their transitions pass the convergence gate; at most ``most`` batches."""
-        from ..operators import validate
-
-        parts, counts, arcs = [], None, self.graph.arcs
-        for k in range(most):
-            parts.append(stage(deepwalk(self.graph, walkers, length, self.seed, first=k * walkers), "batch"))
-            more = validate.transition_counts(parts[-1], arcs)
-            if counts is not None:
-                # Counts add up, so earlier walks are not read again.
-                more = more.unionByName(counts).groupBy("src", "dst").agg(F.max("weight").alias("weight"), F.sum("observed").alias("observed"))
-            counts = stage(more, "counts")
-            if validate.converged(validate.distance_summary(stage(validate.distances(counts), "distances"))).first()[0]:
-                return reduce(DataFrame.unionByName, parts), True
-        return reduce(DataFrame.unionByName, parts), False
+
+    def in_batches(self, length: int, walkers: int, free_bytes: int, p: float | None = None, q: float | None = None, folder: str | None = None) -> DataFrame:
+        """Walks made batch after batch, each within a memory bound and written before the next; the rows are those of ``walks``.
+
+        With a ``folder``, a run that was cut short goes on after the last whole batch.
+        """
+        sizes = [n for _, n in self.batches(walkers, length, free_bytes)]
+        if not sizes:
+            return self.walks(0, length, p, q)
+        return reduce(DataFrame.unionByName, self._written(sizes, length, p, q, folder or new_path(self.graph.edges.sparkSession, "batches")))
+
+    def until_converged(self, length: int, walkers: int, most: int = 100, p: float | None = None, q: float | None = None, folder: str | None = None) -> tuple[DataFrame, bool]:
+        """Walks, a batch of ``walkers`` more at a time, until their transitions pass the convergence gate; at most ``most`` batches.
+
+        What was counted is kept in buckets of the vertex that is left, and a batch's counts, in the same buckets, are added to it: earlier walks
+        are not read again. Second-order walks are held against the second-order law, whose rows are degree squared at hubs.
+        """
+        spark = self.graph.edges.sparkSession
+        keys, at = (("src", "dst"), ("src",)) if p is None else (("prev", "cur", "next"), ("prev", "cur"))
+        tasks, kept, parts, law, passed = int(spark.conf.get("spark.sql.shuffle.partitions")), None, [], None, False
+        if p is not None:
+            law = stage(second_order_law(self.graph.arcs, p, q), "law")
+        for batch in self._written([walkers] * most, length, p, q, folder or new_path(spark, "batches")):
+            parts.append(batch)
+            if p is None:
+                more = validate.transitions(batch).groupBy(*keys).agg(F.count(F.lit(1)).alias("observed"))
+            else:
+                more = validate.second_order_counts(batch)
+            more = stage_bucketed(more, "more", at[-1], tasks)
+            merged = more if kept is None else more.unionByName(kept).groupBy(*keys).agg(F.sum("observed").alias("observed"))
+            counts = more if kept is None else stage_bucketed(merged, "counts", at[-1], tasks)
+            discard(*([] if kept is None else [more, kept]))
+            kept = counts
+            if p is None:
+                found = self.graph.weights.join(counts, list(keys), "left").select("src", "dst", "weight", F.coalesce("observed", F.lit(0)).alias("observed"))
+            else:
+                found = validate.against_law(law, counts)
+            far = stage(validate.distances(found, at), "distances")
+            passed = validate.converged(validate.distance_summary(far)).first()[0]
+            discard(far)
+            if passed:
+                break
+        discard(*[x for x in (kept, law) if x is not None])
+        return reduce(DataFrame.unionByName, parts), bool(passed)

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import draws
-from .operators import generators, graph as g, kernel, validate, walks
+from .operators import generators, graph as g, kernel, triangles, validate, walks
 from .operators.graph import Graph
 from .plans import layout
 from .plans.staging import new_path, ordered_index, stage
@@ -224,8 +224,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "format_dense": format_dense,
     }
     for k, (p, q) in PQ.items():
-        out[f"node2vec_law_{k}"] = lambda s, d, p=p, q=q: _round(walks.second_order_law(uu(s, d).arcs, p, q), "prob")
-        out[f"node2vec_accept_prob_{k}"] = lambda s, d, p=p, q=q: _round(walks.acceptance(uu(s, d).arcs, p, q), "accept_prob")
+        out[f"node2vec_law_{k}"] = lambda s, d, p=p, q=q: _round(triangles.second_order_law(uu(s, d).arcs, p, q), "prob")
+        out[f"node2vec_accept_prob_{k}"] = lambda s, d, p=p, q=q: _round(triangles.acceptance(uu(s, d).arcs, p, q), "accept_prob")
     return out
 
 

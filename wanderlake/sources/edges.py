@@ -6,19 +6,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..plans.staging import ordered_index, stage
-
-MAX_NAME = (1 << 32) - 1
-
-
-def _checked(name: Column) -> Column:
-    """The name, or an error where it is no unsigned 32-bit number."""
-    ok = name.between(0, MAX_NAME)
-    return F.when(ok, name).otherwise(F.raise_error(F.concat(F.lit("vertex name out of range: "), F.coalesce(name.cast("string"), F.lit("null")))).cast("long"))
-
+from ..plans.staging import stage
+from .adjacency import read_adjacency_text  # noqa: F401
+from .binary import read_binary_edges  # noqa: F401
+from .names import checked
 
 def add_edge_index(lines: DataFrame) -> DataFrame:
     """Numbers rows of a file scan in file order, then place in the file; needs ``_file``, ``_start`` (of the split).
@@ -52,82 +46,10 @@ def read_text_edges(spark: SparkSession, path: str | list[str], malformed: str =
     elif malformed != "error":
         raise ValueError("malformed: error or drop")
     value = F.when(F.col("_ok"), F.col("value")).otherwise(F.raise_error(F.concat(F.lit("malformed edge: "), F.col("value"))).cast("string"))
-    src, dst = (_checked(F.regexp_extract(value, found, i).cast("long")) for i in (1, 2))
+    src, dst = (checked(F.regexp_extract(value, found, i).cast("long")) for i in (1, 2))
     return add_edge_index(lines.select(src.alias("src"), dst.alias("dst"), "_file", "_start")).select("edge_idx", "src", "dst")
 
 
-def read_binary_edges(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """Pairs of little-endian unsigned 32-bit numbers; a trailing part of a record is left out.
-
-    Files are read whole, one task each, so they should be parts of some hundred MB, as the writer makes them.
-    """
-    files = spark.read.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").load(path)
-    sizes = sorted((r["path"], r["length"] // 8) for r in files.select("path", "length").collect())
-    base, total = {}, 0
-    for name, n in sizes:
-        base[name] = total
-        total += n
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for name, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                raw = content.as_buffer()
-                pairs = np.frombuffer(raw, "<u4", len(raw) // 8 * 2).astype(np.int64)
-                for at in range(0, len(pairs), 2_000_000):
-                    part = pairs[at : at + 2_000_000]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(part) // 2) + base[name] + at // 2), pa.array(part[::2]), pa.array(part[1::2])], names=["edge_idx", "src", "dst"])
-
-    return files.select("path", "content").mapInArrow(run, "edge_idx long, src long, dst long")
-
-
-def read_adjacency_text(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """Numbers ``src degree d1 .. dn`` over and over as edges in order; line ends mean no more than blanks.
-
-    Files whose every line is one list are cut line by line. Where records share lines or run over them, only what stands before
-    says where a record starts, so such a file streams through one task. A list shorter than its degree is an error.
-    """
-    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_start"))
-    lines = lines.filter(F.btrim("value", F.lit(" \t\r")) != "")
-    numbers = F.transform(F.split(F.btrim("value", F.lit(" \t\r")), r"\s+"), lambda x: _checked(x.cast("long")))
-    rows = add_edge_index(lines.select(numbers.alias("t"), F.col("_file").alias("file"), "_file", "_start")).withColumnRenamed("edge_idx", "line")
-    rows = rows.withColumn("whole", F.size("t") - 2 == F.coalesce(F.get("t", F.lit(1)), F.lit(-1)))
-    mixed = stage(rows.filter("not whole").select("file").distinct(), "mixed")
-    single = rows.join(mixed, "file", "left_anti").select("line", F.get("t", F.lit(0)).alias("src"), F.posexplode(F.slice("t", F.lit(3), F.size("t"))).alias("at", "dst"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        file, head, left = None, [], 0
-
-        def ended() -> None:
-            if head:
-                raise ValueError(f"adjacency list shorter than its degree at the end of {file}")
-
-        for batch in batches:
-            out: list[tuple[int, int, int, int]] = []
-            for name, line, numbers in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                if name != file:
-                    ended()
-                    file, head, left = name, [], 0
-                at = 0
-                while at < len(numbers):
-                    if len(head) < 2:
-                        head.append(numbers[at])
-                        left = head[1] if len(head) == 2 else 0
-                        at += 1
-                    else:
-                        part = numbers[at : at + left]
-                        out += [(line, head[0], at + i, d) for i, d in enumerate(part)]
-                        at, left = at + len(part), left - len(part)
-                    if len(head) == 2 and not left:
-                        head = []
-            cols = list(zip(*out, strict=True)) or [()] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(cols, (pa.int64(), pa.int64(), pa.int32(), pa.int64()), strict=True)], names=["line", "src", "at", "dst"])
-        ended()
-
-    streamed = rows.join(mixed, "file").select("file", "line", "t").repartition("file").sortWithinPartitions("file", "line")
-    edges = single.unionByName(streamed.mapInArrow(run, "line long, src long, at int, dst long"))
-    return ordered_index(edges, F.col("line"), F.col("at"), name="edge_idx").select("edge_idx", "src", "dst")
-
-
 def write_text_edges(edges: DataFrame, path: str, header: str | None = None) -> None:
     """``src dst`` lines in order of edge_idx over the part files; ``header`` goes to a comment file before them."""
     lines = edges.orderBy("edge_idx").select(F.concat_ws(" ", F.col("src").cast("string"), F.col("dst").cast("string")).alias("value"))
