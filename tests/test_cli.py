@@ -10,8 +10,9 @@ def test_commands(spark, tmp_path):
     adj.write_text("1 2 2 3\n2 1 3\n")
     row = main(["deepwalk", "-f", "text", "-g", str(text), "-l", "5", "-e", "4", "-o", str(tmp_path / "w")], spark)
     assert (row["walkers"], row["vertices"], row["transitions"]) == (12, 60, 48)
-    assert spark.read.parquet(str(tmp_path / "w")).count() == 60
-    row = main(["node2vec", "-f", "text", "-g", str(text), "-l", "4", "-w", "6", "-p", "2", "-q", "0.5", "--strategy", "join"], spark)
+    assert spark.read.parquet(str(tmp_path / "w")).count() == 60 and row["last_step"] == 4
+    assert all(row[f"{phase}_seconds"] > 0 for phase in ("load", "prepare", "walk"))
+    row = main(["node2vec", "-f", "text", "-g", str(text), "-l", "4", "-w", "6", "-p", "2", "-q", "0.5", "--strategy", "join", "--info"], spark)
     assert row["vertices"] == 24
     main(["dense", "-i", str(text), "-o", str(tmp_path / "d")], spark)
     assert [(r.src, r.dst) for r in io.read_binary_edges(spark, str(tmp_path / "d")).orderBy("edge_idx").collect()] == [(0, 1), (1, 2), (2, 0)]

@@ -14,9 +14,9 @@ import time
 from pyspark.sql import SparkSession
 
 from .operators import graph as g
-from .plans.layout import walk_metrics
+from .plans.layout import walk_info, watched
 from .plans.staging import stage
-from .plans.strategy import WalkEngine
+from .plans.strategy import STRATEGIES, WalkEngine
 from .sources import edges as io
 
 
@@ -33,9 +33,10 @@ def _parser() -> argparse.ArgumentParser:
         count.add_argument("-w", type=int, help="walkers")
         p.add_argument("--directed", action="store_true")
         p.add_argument("--on-sink", choices=["error", "stop"], default="error")
-        p.add_argument("--strategy", choices=["auto", "kernel", "join"], default="auto")
+        p.add_argument("--strategy", choices=list(STRATEGIES), default="auto")
         p.add_argument("--seed", type=int, default=1)
         p.add_argument("-o", help="folder for the walks, as Parquet")
+        p.add_argument("--info", action="store_true", help="also visits by degree")
         if name == "node2vec":
             p.add_argument("-p", type=float, required=True, help="return parameter")
             p.add_argument("-q", type=float, required=True, help="in-out parameter")
@@ -66,17 +67,33 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> di
         if args.t:
             io.write_text_edges(found, args.t)
         return None
-    engine = WalkEngine(g.Graph.load(spark, args.g, args.f, args.directed, args.on_sink), args.strategy, seed=args.seed)
-    began = time.perf_counter()
+    phases, began = {}, time.perf_counter()
+
+    def ended(phase: str) -> None:
+        nonlocal began
+        phases[f"{phase}_seconds"] = round(time.perf_counter() - began, 3)
+        began = time.perf_counter()
+
+    graph = g.Graph.load(spark, args.g, args.f, args.directed, args.on_sink)
+    ended("load")
+    engine = WalkEngine(graph, args.strategy, seed=args.seed)
+    engine.prepare(args.command == "node2vec")
+    ended("prepare")
     how = {"walkers": args.w, "epochs": args.e}
     walks = engine.deepwalk(args.l, **how) if args.command == "deepwalk" else engine.node2vec(args.l, args.p, args.q, **how)
+    walks, seen = watched(walks)  # counted as they are written
     if args.o:
         walks.write.parquet(args.o)
         walks = spark.read.parquet(args.o)
     else:
         walks = stage(walks, "walks")
-    row = walk_metrics(walks, time.perf_counter() - began, spark.sparkContext.defaultParallelism).first().asDict()
+    ended("walk")
+    row = seen.get
+    seconds, threads = phases["walk_seconds"], spark.sparkContext.defaultParallelism
+    row |= {"seconds": seconds, "vertices_per_second": row["vertices"] / seconds, "ns_per_step": seconds * 1e9 * threads / row["vertices"] if row["vertices"] else 0.0, **phases}
     print(row)
+    if args.info:
+        walk_info(walks, graph.ends).orderBy("band").show(100, False)
     return row
 
 

@@ -38,12 +38,12 @@ def draw(seed: int, walker: Column, step: Column | int, salt: int = 0) -> Column
     return F.shiftleft(ends[0], 21).bitwiseOR(F.shiftright(ends[1], 10))
 
 
-def draw_text(seed: int, walker: str, step: int, salt: int = 0) -> str:
-    """``draw`` as an expression of Spark SQL, for plans of many steps; the names in it stand once, so it's short to analyse."""
+def draw_text(seed: int, walker: str, step: str, salt: int = 0) -> str:
+    """``draw`` as an expression of Spark SQL, for plans of many steps; ``step`` is a column, so that all steps run the same compiled code."""
     ends = []
     for lane, factors in enumerate(LANES):
         x = f"{lane_start(seed, lane)}L"
-        for part, factor in zip((f"({walker} & {PRIME}L)", f"shiftright({walker}, 31)", f"{step}L", f"{salt}L", *(f"{x}L" for x in LAST)), factors, strict=True):
+        for part, factor in zip((f"({walker} & {PRIME}L)", f"shiftright({walker}, 31)", step, f"{salt}L", *(f"{x}L" for x in LAST)), factors, strict=True):
             x = f"(({x} ^ {part}) * {factor}L % {PRIME}L)"
         ends.append(x)
     return f"(shiftleft({ends[0]}, 21) | shiftright({ends[1]}, 10))"

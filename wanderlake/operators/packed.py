@@ -1,6 +1,6 @@
 """Walks by lookup in packed lists: for graphs of any size, with nothing broadcast.
 
-A vertex's slots lie in arrays of ``LIST`` of them, dealt over the cluster's tasks once by (vertex, list, copy) and kept there. A step deals the
+A vertex's slots lie in arrays of ``LIST`` of them, dealt over the cluster's tasks by (vertex, list, copy), once a job. A step deals the
 walkers by the same key, so each task holds the lists its walkers stand on in a hash table of vertices, not arcs, and a
 walker's next vertex is an array lookup: nothing is sorted, and what is shuffled is walkers. Many steps make one job.
 
@@ -65,49 +65,54 @@ def fixed_plan(spark: SparkSession) -> Iterator[None]:
 
 
 class PackedGraph:
-    """A graph's packed lists, made once and kept dealt out for any number of walks."""
+    """A graph's packed lists, made once for any number of walks; each job deals them out once, however many steps it makes."""
 
     def __init__(self, graph: Graph):
         self.graph, self.spark = graph, graph.edges.sparkSession
         self.ends = packed_ends(graph)
-        self.lists = packed_lists(graph, self.ends).repartition(_tasks(self.spark), "src", "list", "copy").persist()
+        self.lists = packed_lists(graph, self.ends).repartition(_tasks(self.spark), "src", "list", "copy")
 
-    def _step(self, inner: str, step: int, seed: int, done: list[int]) -> str:
-        """A step as SQL: draws a slot, looks it up; a walker at a sink fails or stays, under a key of its own."""
-        bits = LIST.bit_length() - 1
+    def _step(self, inner: str, seed: int) -> str:
+        """A step as SQL: draws a slot, looks it up; a walker at a sink fails or stays, under a key of its own.
+
+        All steps have the same columns and no number of their own, so that Spark compiles their code once.
+        """
+        drawn = f"{draw_text(seed, 'walker_id', '(step + 1L)')} % degree"
         if self.graph.on_sink == "error":
-            k = f"if(degree > 0, {draw_text(seed, 'walker_id', step)} % degree, cast(raise_error(concat('walker at a vertex without arcs: ', vertex)) as bigint))"
-            at = "vertex"
+            k, at = f"if(degree > 0, {drawn}, cast(raise_error(concat('walker at a vertex without arcs: ', vertex)) as bigint))", "vertex"
         else:
-            k = f"if(degree > 0, {draw_text(seed, 'walker_id', step)} % degree, 0L)"
-            at = "if(degree > 0, vertex, -1 - walker_id)"
-        kept = "".join(f", s{i}" for i in done)
+            k, at = f"if(degree > 0, {drawn}, 0L)", "if(degree > 0, vertex, -1 - walker_id)"
         i = f"int(k & {LIST - 1})"
-        return f"""SELECT /*+ SHUFFLE_HASH(p) */ walker_id{kept}, p.to[{i}] AS s{step}, p.to[{i}] AS vertex, coalesce(p.degrees[{i}], 0L) AS degree, coalesce(p.copies[{i}], 1) AS copies
-            FROM (SELECT walker_id{kept}, copies, {at} AS at, {k} AS k FROM ({inner})) h
-            LEFT JOIN {{lists}} p ON p.src = h.at AND p.list = shiftright(h.k, {bits}) AND p.copy = int(h.walker_id % h.copies)"""
+        return f"""SELECT /*+ SHUFFLE_HASH(p) */ walker_id, step, p.to[{i}] AS vertex, coalesce(p.degrees[{i}], 0L) AS degree, coalesce(p.copies[{i}], 1) AS copies,
+                if(p.src is null, path, array_append(path, p.to[{i}])) AS path
+            FROM (SELECT walker_id, step + 1L AS step, copies, path, {at} AS at, {k} AS k FROM (SELECT walker_id, step, vertex, degree, copies, path FROM ({inner}))) h
+            LEFT JOIN {{lists}} p ON p.src = h.at AND p.list = shiftright(h.k, {LIST.bit_length() - 1}) AND p.copy = int(h.walker_id % h.copies)"""
 
-    def walks(self, walkers: int, length: int, seed: int = 1, first: int = 0, every: int = 16) -> DataFrame:
+    def walks(self, walkers: int, length: int, seed: int = 1, first: int = 0, every: int = 8) -> DataFrame:
         """walker_id (from ``first`` on), step, vertex: uniform walks, written every ``every`` steps."""
         if length < 1:
             raise ValueError("length counts vertices: at least 1")
-        here = stage(start_walkers(self.graph, walkers, seed, first, self.ends).select("walker_id", "vertex", "degree", "copies"), "walkers")
+        here = start_walkers(self.graph, walkers, seed, first, self.ends).select("walker_id", F.lit(0).cast("long").alias("step"), "vertex", "degree", "copies")
+        here = stage(here, "walkers")
         parts = [here.select("walker_id", F.lit(0).alias("step"), "vertex")]
         for low in range(1, length, every):
-            steps = list(range(low, min(low + every, length)))
-            text = "SELECT walker_id, vertex, degree, copies FROM {here}"
-            for n, step in enumerate(steps):
-                text = self._step(text, step, seed, steps[:n])
+            text = "SELECT *, cast(array() as array<bigint>) AS path FROM {here}"
+            for _ in range(low, min(low + every, length)):
+                text = self._step(text, seed)
             with fixed_plan(self.spark):
                 here = stage(self.spark.sql(text, here=here, lists=self.lists), "walkers")
-            went = here.select("walker_id", F.posexplode(F.array(*[f"s{s}" for s in steps])).alias("_i", "vertex")).filter("vertex is not null")
-            parts.append(went.select("walker_id", (F.col("_i") + low).alias("step"), "vertex"))
-            here = here.select("walker_id", "vertex", "degree", "copies")
+            parts.append(here.select("walker_id", F.posexplode("path").alias("_i", "vertex")).select("walker_id", (F.col("_i") + low).alias("step"), "vertex"))
+            here = here.drop("path")
         return reduce(DataFrame.unionByName, parts)
 
 
-def packed_walks(graph: Graph, walkers: int, length: int, seed: int = 1, first: int = 0) -> DataFrame:
-    """walker_id, step, vertex: uniform walks by the graph's packed lists, which are made with its first walk."""
+def packed_graph(graph: Graph) -> PackedGraph:
+    """The graph's packed lists, made when first asked for."""
     if "_packed" not in graph.__dict__:
         graph.__dict__["_packed"] = PackedGraph(graph)
-    return graph.__dict__["_packed"].walks(walkers, length, seed, first)
+    return graph.__dict__["_packed"]
+
+
+def packed_walks(graph: Graph, walkers: int, length: int, seed: int = 1, first: int = 0) -> DataFrame:
+    """walker_id, step, vertex: uniform walks by the graph's packed lists."""
+    return packed_graph(graph).walks(walkers, length, seed, first)

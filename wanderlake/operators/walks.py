@@ -44,12 +44,13 @@ def _slot_number(graph: Graph, drawn: Column) -> Column:
     return F.when(F.col("degree") > 0, drawn).otherwise(-1 - F.col("walker_id"))
 
 
-def _moved(step: int, found: DataFrame) -> DataFrame:
+def _moved(found: DataFrame) -> DataFrame:
     """Walkers after a step: where ``next`` is null the walker has ended and stays."""
     went = F.col("next").isNotNull()
-    path = F.when(went, F.concat("path", F.array(F.struct(F.lit(step).alias("step"), F.col("next").alias("vertex"))).cast(_PATH))).otherwise(F.col("path"))
+    path = F.when(went, F.concat("path", F.array(F.struct((F.col("step") + 1).cast("int").alias("step"), F.col("next").alias("vertex"))).cast(_PATH))).otherwise(F.col("path"))
     return found.select(
         "walker_id",
+        (F.col("step") + 1).alias("step"),
         F.when(went, F.col("vertex")).otherwise(F.col("prev")).alias("prev"),
         F.when(went, F.col("degree")).otherwise(F.col("prev_degree")).alias("prev_degree"),
         F.coalesce("next", "vertex").alias("vertex"),
@@ -58,14 +59,17 @@ def _moved(step: int, found: DataFrame) -> DataFrame:
     )
 
 
-def step_uniform(here: DataFrame, graph: Graph, seed: int, step: int) -> DataFrame:
-    """Moves walkers (walker_id, prev, prev_degree, vertex, degree, path) along a uniformly drawn arc."""
-    here = here.withColumn("k", _slot_number(graph, draw(seed, F.col("walker_id"), step) % F.col("degree")))
+def step_uniform(here: DataFrame, graph: Graph, seed: int) -> DataFrame:
+    """Moves walkers (walker_id, step, prev, prev_degree, vertex, degree, path) along a uniformly drawn arc.
+
+    ``step`` counts the steps made; as a column and not a number of the plan, it lets all steps run the same compiled code.
+    """
+    here = here.withColumn("k", _slot_number(graph, draw(seed, F.col("walker_id"), F.col("step") + 1) % F.col("degree")))
     arcs = graph.steps.select(F.col("src").alias("vertex"), "k", F.col("dst").alias("next"), F.col("dst_degree").alias("next_degree"))
-    return _moved(step, here.join(arcs, ["vertex", "k"], "left"))
+    return _moved(here.join(arcs, ["vertex", "k"], "left"))
 
 
-def step_second_order(here: DataFrame, graph: Graph, seed: int, step: int, p: float, q: float, rounds: int = 3) -> tuple[DataFrame, DataFrame]:
+def step_second_order(here: DataFrame, graph: Graph, seed: int, p: float, q: float, rounds: int = 3) -> tuple[DataFrame, DataFrame]:
     """Moves walkers by the law ``weight * (1/p to prev, 1 to neighbours of prev, 1/q else)``; also gives the staged table to discard afterwards.
 
     ``rounds`` rounds of rejection: a drawn arc is accepted or not from the draw alone where that
@@ -74,6 +78,7 @@ def step_second_order(here: DataFrame, graph: Graph, seed: int, step: int, p: fl
     """
     back, out = 1.0 / p, 1.0 / q
     upper = max(1.0, back, out)
+    step = F.col("step") + 1
     arcs = graph.steps.select(F.col("src").alias("vertex"), "k", F.col("dst").alias("cand"), F.col("dst_degree").alias("cand_degree"))
     known = graph.pairs.select(F.col("src").alias("_from"), F.col("dst").alias("_to"), F.lit(True).alias("_arc"))
     none = F.lit(None).cast("long")
@@ -92,14 +97,14 @@ def step_second_order(here: DataFrame, graph: Graph, seed: int, step: int, p: fl
         now = now.withColumn("ok", ok).withColumn("next", F.when(F.col("ok"), F.col("cand")).otherwise(F.col("next"))).withColumn("next_degree", F.when(F.col("ok"), F.col("cand_degree")).otherwise(F.col("next_degree")))
         now = now.drop("k", "cand", "cand_degree", "u", "ok", "_from", "_to", "_arc")
     now = stage(now, "proposed")
-    left = now.filter("next is null and degree > 0").select("walker_id", "prev", "prev_degree", "vertex", "degree")
+    left = now.filter("next is null and degree > 0").select("walker_id", "step", "prev", "prev_degree", "vertex", "degree")
     if left.isEmpty():
-        return _moved(step, now), now
+        return _moved(now), now
     late = drawn_slots(left.withColumn("u", draw_unit(seed, F.col("walker_id"), step, 2 * rounds)), graph.weights, p, q)
     late = late.join(arcs, ["vertex", "k"]).select("walker_id", F.col("cand").alias("_late"), F.col("cand_degree").alias("_late_degree"))
     late = now.join(late, "walker_id", "left")
     late = late.withColumn("next", F.coalesce("next", "_late")).withColumn("next_degree", F.coalesce("next_degree", "_late_degree"))
-    return _moved(step, late), now
+    return _moved(late), now
 
 
 def _walk(graph: Graph, walkers: int, length: int, seed: int, every: int, move: Callable[[DataFrame, int], tuple[DataFrame, DataFrame | None]], walker: int = 0) -> DataFrame:
@@ -107,7 +112,7 @@ def _walk(graph: Graph, walkers: int, length: int, seed: int, every: int, move:
     if length < 1:
         raise ValueError("length counts vertices: at least 1")
     none = F.lit(None).cast("long")
-    here = stage(start_walkers(graph, walkers, seed, walker).select("walker_id", none.alias("prev"), none.alias("prev_degree"), "vertex", "degree"), "walkers")
+    here = stage(start_walkers(graph, walkers, seed, walker).select("walker_id", F.lit(0).cast("long").alias("step"), none.alias("prev"), none.alias("prev_degree"), "vertex", "degree"), "walkers")
     parts = [here.select("walker_id", F.lit(0).alias("step"), "vertex")]
     for first in range(1, length, every):
         here, used = here.withColumn("path", F.array().cast(_PATH)), []
@@ -123,7 +128,7 @@ def _walk(graph: Graph, walkers: int, length: int, seed: int, every: int, move:
 
 def deepwalk(graph: Graph, walkers: int, length: int, seed: int = 1, every: int = 8, first: int = 0) -> DataFrame:
     """walker_id (from ``first`` on), step, vertex: uniform walks of ``length`` vertices (fewer where one stops at a sink)."""
-    return _walk(graph, walkers, length, seed, every, lambda here, step: (step_uniform(here, graph, seed, step), None), first)
+    return _walk(graph, walkers, length, seed, every, lambda here, step: (step_uniform(here, graph, seed), None), first)
 
 
 def node2vec(graph: Graph, walkers: int, length: int, p: float, q: float, seed: int = 1, rounds: int = 3, every: int = 4, first: int = 0) -> DataFrame:
@@ -132,7 +137,7 @@ def node2vec(graph: Graph, walkers: int, length: int, p: float, q: float, seed:
         raise ValueError("p and q: above 0")
 
     def move(here: DataFrame, step: int) -> tuple[DataFrame, DataFrame | None]:
-        return (step_uniform(here, graph, seed, step), None) if step == 1 else step_second_order(here, graph, seed, step, p, q, rounds)
+        return (step_uniform(here, graph, seed), None) if step == 1 else step_second_order(here, graph, seed, p, q, rounds)
 
     return _walk(graph, walkers, length, seed, every, move, first)
 

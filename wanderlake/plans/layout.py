@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from math import ceil
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 
@@ -56,3 +56,21 @@ def walk_metrics(walks: DataFrame, seconds: float | None = None, threads: int =
         return out
     per = F.when(F.col("vertices") > 0, F.lit(seconds * 1e9 * threads) / F.col("vertices")).otherwise(0.0)
     return out.withColumns({"seconds": F.lit(seconds), "vertices_per_second": F.col("vertices") / F.lit(seconds), "ns_per_step": per})
+
+
+def watched(walks: DataFrame, name: str = "walks") -> tuple[DataFrame, Observation]:
+    """The walks, and what is counted of them as they are written or read for the first time: walkers, vertices, transitions, last_step; no pass of its own."""
+    seen = Observation(name)
+    first = F.count_if(F.col("step") == 0)
+    return walks.observe(seen, first.alias("walkers"), F.count(F.lit(1)).alias("vertices"), (F.count(F.lit(1)) - first).alias("transitions"), F.max("step").alias("last_step")), seen
+
+
+def walk_info(walks: DataFrame, ends: DataFrame) -> DataFrame:
+    """band, vertices, arcs, visits, starts: by the power of two under a vertex's degree (-1: no arcs), what the graph has and where the walks went.
+
+    ``ends``: name, degree. Visits are added up by vertex before they meet degrees, so a hub is one row.
+    """
+    visits = walks.groupBy(F.col("vertex").alias("name")).agg(F.count(F.lit(1)).alias("visits"), F.count_if(F.col("step") == 0).alias("starts"))
+    band = F.when(F.col("degree") > 0, F.length(F.bin("degree")) - 1).otherwise(-1).alias("band")
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0)).alias(c)
+    return ends.join(visits, "name", "left").groupBy(band).agg(F.count(F.lit(1)).alias("vertices"), F.sum("degree").alias("arcs"), total("visits"), total("starts"))

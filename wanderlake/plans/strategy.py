@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..operators import validate
 from ..operators.graph import Graph
 from ..operators.kernel import LIMIT, fits, kernel_walks
-from ..operators.packed import packed_walks
+from ..operators.packed import packed_graph, packed_walks
 from ..operators.triangles import second_order_law
 from ..operators.walks import deepwalk, node2vec
 from .layout import epoch_plan
@@ -44,6 +44,15 @@ class WalkEngine:
         """Whether walks go by kernel."""
         return self.strategy == "kernel" or self.strategy == "auto" and fits(self.graph, self.limit)
 
+    def prepare(self, second_order: bool = False) -> None:
+        """Makes what walks need of the graph, so that a walk's time is that of walking."""
+        if self.uses_kernel:
+            self.graph.counts  # noqa: B018  packed with the walk itself
+        elif second_order or self.strategy == "join":
+            self.graph.steps.count()
+        else:
+            packed_graph(self.graph)
+
     def walks(self, walkers: int, length: int, p: float | None = None, q: float | None = None, first: int = 0) -> DataFrame:
         """Walks of walkers from number ``first`` on: uniform, or of second order where p and q are given."""
         if (p is None) != (q is None) or p is not None and not (p > 0 and q > 0):

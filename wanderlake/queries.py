@@ -19,6 +19,8 @@ from .plans.strategy import WalkEngine
 from .sources import edges as io
 
 SEED, WALKERS, LENGTH, SHIFT = 7, 300, 8, 1_000_000
+#: Walkers a vertex of the walks that are to converge.
+PER_VERTEX = 60
 PQ = {"a": (0.5, 2.0), "b": (2.0, 0.5), "c": (10.0, 10.0)}
 
 
@@ -163,6 +165,33 @@ def engine_rows(spark: SparkSession, d: str) -> DataFrame:
     return WalkEngine(ps(spark, d), seed=SEED).deepwalk(LENGTH, walkers=WALKERS)
 
 
+def packed_rows(spark: SparkSession, d: str) -> DataFrame:
+    """Walks by packed lists, as for graphs beyond what the kernel sends."""
+    return WalkEngine(ps(spark, d), "packed", seed=SEED).deepwalk(LENGTH, walkers=WALKERS)
+
+
+def second_order_batches(spark: SparkSession, d: str) -> DataFrame:
+    """Second-order walks in batches, as memory allows."""
+    return WalkEngine(uu(spark, d), seed=SEED).in_batches(LENGTH, WALKERS, 4 * (2 * LENGTH + 3) * 128, *PQ["b"])
+
+
+def second_order_counts(spark: SparkSession, d: str) -> DataFrame:
+    """How often second-order walks made each transition."""
+    return validate.second_order_counts(stage(second_order_batches(spark, d), "walks"))
+
+
+def info_rows(spark: SparkSession, d: str) -> DataFrame:
+    graph, rows = _uu_walks(spark, d)
+    return layout.walk_info(rows, graph.ends)
+
+
+def gate_passed(spark: SparkSession, d: str) -> DataFrame:
+    """Whether ``PER_VERTEX`` walkers a vertex, of 80 vertices, pass the convergence gate: enough that they should."""
+    graph = uu(spark, d)
+    rows = stage(WalkEngine(graph, seed=SEED).deepwalk(80, epochs=PER_VERTEX), "walks")
+    return validate.converged(validate.distance_summary(stage(validate.distances(validate.transition_counts(rows, graph.arcs)), "distances")))
+
+
 def _summary(spark: SparkSession, d: str) -> DataFrame:
     graph, rows = _uu_walks(spark, d)
     return validate.distance_summary(stage(validate.distances(validate.transition_counts(rows, graph.arcs)), "distances"))
@@ -201,6 +230,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "deepwalk_kernel": lambda s, d: kernel.kernel_walks(uu(s, d), WALKERS, LENGTH, SEED),
         "deepwalk_engine": engine_rows,
         "deepwalk_batches": epoch_walks,
+        "deepwalk_partitioned": packed_rows,
+        "node2vec_batches": second_order_batches,
+        "node2vec_transition_counts": second_order_counts,
+        "walk_info": info_rows,
+        "convergence_reached": gate_passed,
         "walker_paths": lambda s, d: walks.paths(_uu_walks(s, d)[1]).select("walker_id", F.array_join("path", ",").alias("path")),
         "info_sidecar": sidecar,
         "first_order_law": lambda s, d: _round(walks.first_order_law(uu(s, d).arcs), "prob"),
@@ -257,6 +291,7 @@ def oracle_sql() -> dict[str, str]:
     walk = f""", walk AS (
         SELECT CAST(r AS BIGINT) AS walker_id, 0 AS step, name AS vertex FROM (SELECT range AS r FROM range({WALKERS})) JOIN names ON start = {_draw("r", "0")} % (SELECT count(*) FROM names)
         UNION ALL SELECT walker_id, step + 1, slots.dst FROM walk JOIN deg ON deg.src = vertex JOIN slots ON slots.src = vertex AND k = {_draw("walker_id", "step + 1")} % degree WHERE step + 1 < {LENGTH})"""
+    long_walk = walk.replace(f"range({WALKERS})", f"(SELECT unnest(range({PER_VERTEX} * (SELECT count(*) FROM names))) AS range)").replace(f"WHERE step + 1 < {LENGTH}", "WHERE step + 1 < 80")
     rp, rq = PQ["b"]
     back, out_, upper = 1 / rp, 1 / rq, max(1.0, 1 / rp, 1 / rq)
     unit = lambda salt: f"{_draw('walker_id', 'step + 1', str(salt))} / {float(draws.RANGE)} * {upper}"
@@ -324,6 +359,14 @@ def oracle_sql() -> dict[str, str]:
         "node2vec_paths": f"{u}{walk2(100, 4)} SELECT walker_id, step, vertex FROM walk",
         "node2vec_kernel": f"{u}{walk2(WALKERS, LENGTH)} SELECT walker_id, step, vertex FROM walk",
         "deepwalk_batches": f"{u}{walk} SELECT walker_id, step, vertex FROM walk",
+        "deepwalk_partitioned": f"{p}{walk} SELECT walker_id, step, vertex FROM walk",
+        "node2vec_batches": f"{u}{walk2(WALKERS, LENGTH)} SELECT walker_id, step, vertex FROM walk",
+        "node2vec_transition_counts": f"""{u}{walk2(WALKERS, LENGTH)} SELECT prev, cur, next, count(*) AS observed FROM (
+            SELECT vertex AS prev, lead(vertex) OVER o AS cur, lead(vertex, 2) OVER o AS next FROM walk WINDOW o AS (PARTITION BY walker_id ORDER BY step)) WHERE next IS NOT NULL GROUP BY ALL""",
+        "walk_info": f"""{u}{walk}, v AS (SELECT vertex, count(*) AS n, count(*) FILTER (step = 0) AS s FROM walk GROUP BY vertex)
+            SELECT CASE WHEN coalesce(degree, 0) > 0 THEN length(bin(degree)) - 1 ELSE -1 END AS band, count(*) AS vertices, CAST(sum(coalesce(degree, 0)) AS BIGINT) AS arcs, CAST(sum(coalesce(n, 0)) AS BIGINT) AS visits, CAST(sum(coalesce(s, 0)) AS BIGINT) AS starts
+            FROM names LEFT JOIN deg ON src = name LEFT JOIN v ON vertex = name GROUP BY 1""",
+        "convergence_reached": f"{u}{long_walk}{moves} SELECT bool_and({gate}) AS converged FROM summ",
         "walker_paths": f"{u}{walk} SELECT walker_id, string_agg(vertex, ',' ORDER BY step) AS path FROM walk GROUP BY walker_id",
         "info_sidecar": f"{p} SELECT 'edge_num' AS name, (SELECT count(*) FROM edges) AS n UNION ALL SELECT 'vertex_num', (SELECT count(*) FROM names)",
         "epoch_plan": f"""{p}, c AS (SELECT 10 * (SELECT count(*) FROM names) AS n, {(1 << 20) // (4 * (2 * 80 + 3))} AS cap),
