@@ -3,6 +3,11 @@
 language: texts whose language is rejected go. quality: texts that fail the quality rules, or whose host
 does, go. near_duplicates: of each class of near duplicates one text stays. decontamination: texts with
 benchmark passages go. packing: what is left, as token sequences.
+
+Defined results: texts without letters, null and empty ones among them, go in the first stage; of rows with one doc_id
+that are left at the third stage one stays, rows with a null doc_id all do; null languages and hosts are taken as they come, a null host being
+one of its own; whole texts count, however long; an empty table gives empty results; further columns, also ones named as a
+stage's results, are kept up to the last stage, which returns its own.
 """
 
 from __future__ import annotations
