@@ -57,6 +57,7 @@ def test_sentences_and_offsets_against_another_way():
     assert [k for k, *_ in got] == [i for i, n in enumerate(brute_sentences(text)) if n in lic._BY_TEXT]
 
 
+# Licence notices as they are published.
 NOTICES = {
     "MIT": """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
 
@@ -160,3 +161,41 @@ def test_frames(spark):
     assert lic.scan_licenses(docs).count() == docs.count() and lic.scan_licenses(nothing(spark)).count() == 0
     notice = documents(spark, ["Released under the MIT License.\n" * 3000])
     assert len(lic.scan_licenses(notice, keep=["doc_id"]).filter("doc_id = 0").first().matches) == 3000
+
+
+HOLDERS = ["Google Inc.", "the University of California, Berkeley", "the <organization>", "A. B. Writer, C. D. Other & Sons, Ltd.", "copyright.holder@example.org"]
+
+
+@pytest.mark.parametrize("holder", HOLDERS)
+@pytest.mark.parametrize("mark", ["", " * ", "# "])
+def test_a_named_holder_is_a_holder(holder, mark):
+    """BSD-3 with any holder is BSD-3, however it is wrapped, and not BSD-2."""
+    named = NOTICES["BSD-3-Clause"].replace("the copyright holder", holder)
+    other = named[: named.index("3. ")] + f"3. The name of {holder} may not be used to endorse or promote products derived from this software without specific prior written permission."
+    for notice in (named, other):
+        for width in (24, 40, 72):
+            text = f"{mark}Copyright 2020 X\n{mark}\n{wrapped(notice, mark, width)}\n{mark}\n{mark}import this"
+            hits = lic.match_rules(lic.known_sentences(text))
+            assert [h[0] for h in hits] == ["BSD-3-Clause"] and text[: hits[0][2]].endswith("permission.")
+
+
+def test_holders_that_are_none():
+    """Too long a name, or another sentence that begins like one, is no endorsement clause, and what follows is still seen."""
+    two = NOTICES["BSD-3-Clause"][: NOTICES["BSD-3-Clause"].index("3. ")]
+    for third in ("3. Neither the name of " + "very " * 13 + "long nor the names of its contributors may be used to endorse or promote products.", "3. The name of the game is chess.", "The name of the author is unknown."):
+        assert found(two + third) == ["BSD-2-Clause"]
+    assert found("The name of the game.\nReleased under the MIT License.") == ["MIT"]
+    assert found("The name of\nReleased under the MIT License.") == ["MIT"] == found("Some words\nReleased under the MIT License.")
+
+
+def test_one_line_forms_and_heads():
+    for text, name in {
+        "This project is licensed under the MIT License": "MIT",
+        "Licensed under MIT.": "MIT",
+        "Apache License\nVersion 2.0, January 2004\nhttp://www.apache.org/licenses/": "Apache-2.0",
+        "GNU GENERAL PUBLIC LICENSE\nVersion 3, 29 June 2007": "GPL-3.0",
+        "This work is licensed under a Creative Commons Attribution 4.0 International License.": "CC-BY-4.0",
+        "Licensed under a Creative Commons Attribution 4.0 International License": "CC-BY-4.0",
+        "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.": "CC-BY-SA-4.0",
+    }.items():
+        assert found(text) == [name] == found("Some words.\n\n" + text + "\n\nmore."), text

@@ -3,7 +3,8 @@
 A text falls into pieces (lines, and parts of lines that end in ``.``, ``;``, ``:``, ``!`` or ``?`` before white space); a piece is
 normalised to lower-case letters and digits with single blanks, so comment marks fall away (``rem`` and ``dnl`` too). A
 known sentence is a piece or several in a row, as in notices wrapped over lines or with marks inside; it crosses no
-blank line and enters no list item; a licence's title may stand before it. SPDX lines are sentences of their licences. A known normalised sentence has an identifier; a licence rule is an ordered list of identifiers, which matches where they follow each
+blank line and enters no list item; a licence's title may stand before it. A sentence that names a holder
+counts with any name of up to ``HOLDER_WORDS`` words. SPDX lines are sentences of their licences. A known normalised sentence has an identifier; a licence rule is an ordered list of identifiers, which matches where they follow each
 other with at most ``gap`` other sentences between. Where rules overlap, the longer one stands.
 
 Defined results: a null or empty text has no match; rules match as often as they occur, repeated rows
@@ -41,6 +42,14 @@ SENTENCES = {
     "bsd-source": "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer",
     "bsd-binary": "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution",
     "bsd-endorse": "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission",
+    "bsd-endorse-author": "the name of the author may not be used to endorse or promote products derived from this software without specific prior written permission",
+    "mit-project": "this project is licensed under the mit license",
+    "mit-short": "licensed under mit",
+    "apache-head": "apache license version 2 0 january 2004 http www apache org licenses",
+    "gpl3-head": "gnu general public license version 3 29 june 2007",
+    "cc-by-work": "this work is licensed under a creative commons attribution 4 0 international license",
+    "cc-by-long": "licensed under a creative commons attribution 4 0 international license",
+    "cc-by-sa-work": "this work is licensed under a creative commons attribution sharealike 4 0 international license",
     "gpl3-work": "this work is licensed under the gnu general public license version 3",
     "gpl-free": "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version",
     "gpl2-free": "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version",
@@ -74,17 +83,17 @@ SENTENCES = {
 
 # Licence -> rules, each an ordered list of sentence identifiers.
 RULES = {
-    "Apache-2.0": [["apache-grant"], ["apache-grant-long", "apache-compliance", "apache-obtain"], ["apache-compliance", "apache-obtain", "apache-url", "apache-as-is", "apache-see"]],
-    "MIT": [["mit-notice"], ["mit-licensed"], ["mit-grant", "mit-condition"]],
+    "Apache-2.0": [["apache-grant"], ["apache-head"], ["apache-grant-long", "apache-compliance", "apache-obtain"], ["apache-compliance", "apache-obtain", "apache-url", "apache-as-is", "apache-see"]],
+    "MIT": [["mit-notice"], ["mit-licensed"], ["mit-project"], ["mit-short"], ["mit-grant", "mit-condition"]],
     "ISC": [["isc-grant"]],
     "BSD-2-Clause": [["bsd-grant", "bsd-source", "bsd-binary"]],
-    "BSD-3-Clause": [["bsd-grant", "bsd-source", "bsd-binary", "bsd-endorse"]],
+    "BSD-3-Clause": [["bsd-grant", "bsd-source", "bsd-binary", "bsd-endorse-author"], ["bsd-grant", "bsd-source", "bsd-binary", "bsd-endorse"]],
     "GPL-3.0-or-later": [["gpl-free", "gpl-hope", "gpl-see"]],
     "GPL-2.0-or-later": [["gpl2-free", "gpl-hope", "gpl-see"]],
-    "GPL-3.0": [["gpl3-work"]],
+    "GPL-3.0": [["gpl3-work"], ["gpl3-head"]],
     "MPL-2.0": [["mpl-subject", "mpl-copy"]],
-    "CC-BY-4.0": [["cc-by"]],
-    "CC-BY-SA-4.0": [["cc-by-sa"]],
+    "CC-BY-4.0": [["cc-by"], ["cc-by-work"], ["cc-by-long"]],
+    "CC-BY-SA-4.0": [["cc-by-sa"], ["cc-by-sa-work"]],
     "CC-BY-NC-4.0": [["cc-by-nc"]],
     "CC-BY-ND-4.0": [["cc-by-nd"]],
     "CC0-1.0": [["cc0"]],
@@ -104,6 +113,11 @@ RULES = {
 # Titles in normal form that may stand before a licence's first sentence.
 TITLES = ["the mit license mit", "the mit license", "mit license", "isc license", "bsd 2 clause license", "bsd 3 clause license", "bsd zero clause license", "apache license version 2 0", "zlib license", "boost software license version 1 0 august 17th 2003"]
 
+# Sentences that name a holder: what stands before, what the tables say for the holder, and what comes behind.
+HOLDERS = [("neither the name of", "the copyright holder", "nor the names of its contributors"), ("the name of", "the author", "may not be used to endorse")]
+#: Words of a holder's name.
+HOLDER_WORDS = 12
+
 for _name in RULES:
     SENTENCES[f"spdx-{_name}"] = "spdx license identifier " + re.sub("[^a-z0-9]+", " ", _name.lower())
     RULES[_name].insert(0, [f"spdx-{_name}"])
@@ -120,6 +134,19 @@ def normal(sentence: str) -> str:
     return _OTHER.sub(" ", sentence.lower()).strip()
 
 
+def unnamed(said: str) -> str:
+    """A sentence, or its beginning, in normal form with the holder it names put as the tables put holders."""
+    for lead, holder, tail in HOLDERS:
+        if said.startswith(lead + " "):
+            name, found, rest = said[len(lead) + 1 :].partition(f" {tail}")
+            words = name.count(" ") + 1
+            if found and words <= HOLDER_WORDS:
+                return f"{lead} {holder} {tail}{rest}"
+            if not found and words < HOLDER_WORDS + len(tail.split()):
+                return f"{lead} {holder}"
+    return said
+
+
 def _pieces(text: str) -> list[tuple[str, int, int, bool, bool]]:
     """(normal form, start, end, begins, runs on) of the non-empty pieces of lines.
 
@@ -164,21 +191,21 @@ def known_sentences(text: str | None) -> list[tuple[int, str, int, int]]:
     pieces = _pieces(text) if text else []
     while i < len(pieces):
         said, start, _, begins, runs_on = pieces[i]
-        last = i if said in _BY_TEXT else None
-        whole, name, j = said, _BY_TEXT.get(said), i
-        if last is None and whole not in _BEGINNINGS:
+        whole, name, j = said, _BY_TEXT.get(unnamed(said)), i
+        last = i if name else None
+        if last is None and unnamed(whole) not in _BEGINNINGS:
             title = next((t for t in TITLES if whole.startswith(t + " ")), None)
             if title:
                 # The licence's sentence starts behind its title.
                 whole = whole[len(title) + 1 :]
                 start += _length_of(text, start, title)
-                name = _BY_TEXT.get(whole)
+                name = _BY_TEXT.get(unnamed(whole))
                 last = i if name else None
-        while whole in _BEGINNINGS and j + 1 < len(pieces) and not pieces[j + 1][3]:
+        while unnamed(whole) in _BEGINNINGS and j + 1 < len(pieces) and not pieces[j + 1][3]:
             j += 1
             whole = f"{whole} {pieces[j][0]}"
-            if whole in _BY_TEXT:
-                last, name = j, _BY_TEXT[whole]
+            if unnamed(whole) in _BY_TEXT:
+                last, name = j, _BY_TEXT[unnamed(whole)]
         k += last is not None or begins or not joins
         joins = last is None and runs_on
         if last is not None:
