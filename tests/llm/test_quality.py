@@ -85,3 +85,35 @@ def test_many_hosts_join_salted(spark):
     a = quality._judged(measures, "doc_id", "source").orderBy("doc_id").collect()
     b = quality._judged(measures, "doc_id", "source", small=0).orderBy("doc_id").select(quality._judged(measures, "doc_id", "source").columns).collect()
     assert a == b
+
+
+def measured(spark, hosts):
+    """Measures of hosts: (documents, how many are short) each."""
+    sizes = spark.createDataFrame([(f"h{i}", n, k) for i, (n, k) in enumerate(hosts)], "source string, n long, k long")
+    rows = sizes.selectExpr("source", "k", "explode(sequence(1L, n)) as i")
+    return rows.selectExpr("source", "if(i <= k, 10L, 100L) as n_words", "0L as n_repeat_words", "0L as n_symbols", "500L as word_chars", "0L as n_dup_lines", "9L as n_lines")
+
+
+def test_hosts_that_differ_by_chance_shrink_to_one_rate(spark):
+    """2,000 hosts of 10 documents that fail one time in twenty, each by itself: what differs is chance, and so all rates come near that one."""
+    rng = random.Random(8)
+    alike = [(10, sum(rng.random() < 0.05 for _ in range(10))) for _ in range(2000)]
+    rates = [r.rate_short for r in quality.host_verdicts(measured(spark, alike)).collect()]
+    assert 0.035 < min(rates) and max(rates) < 0.08
+    apart = [(10, k) for k in (0, 9) for _ in range(1000)]
+    rates = [r.rate_short for r in quality.host_verdicts(measured(spark, apart)).collect()]
+    assert min(rates) < 0.06 and max(rates) > 0.8
+
+
+def test_the_prior_finds_the_spread_it_was_made_with(spark):
+    """Hosts of many sizes whose rates come from a beta: the strength of the prior is about its a + b."""
+    rng = random.Random(4)
+    hosts = []
+    for _ in range(3000):
+        n, rate = rng.choice([3, 8, 20, 60]), rng.betavariate(2, 18)
+        hosts.append((n, sum(rng.random() < rate for _ in range(n))))
+    got = quality.host_verdicts(measured(spark, hosts)).filter("host_docs = 60").select("host_docs", "fail_short", "rate_short").collect()
+    mean = sum(k for _, k in hosts) / sum(n for n, _ in hosts)
+    # rate = (k + mean s) / (n + s), so s = (k - n rate) / (rate - mean).
+    strengths = [(r.fail_short - r.host_docs * r.rate_short) / (r.rate_short - mean) for r in got if abs(r.rate_short - mean) > 1e-3]
+    assert max(strengths) - min(strengths) < 1e-3 and 15 < strengths[0] < 26

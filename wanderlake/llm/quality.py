@@ -74,7 +74,8 @@ def host_verdicts(measures: DataFrame, host: str = "source") -> DataFrame:
     """Per host: documents, and for each rule failures, shrunk rate; host_rejected by the posterior of a rate.
 
     The beta prior of a rule has the mean of all documents and the strength that the method of
-    moments gives for the spread of host rates, so a host with few documents stays near the mean, and its wide
+    moments gives for the spread of hosts' true rates: the spread of the rates seen, less what hosts of their sizes and one
+    rate would show by chance. So a host with few documents stays near the mean, and its wide
     posterior condemns it only where all hosts vary much.
     """
     hosts = stage(
@@ -89,8 +90,11 @@ def host_verdicts(measures: DataFrame, host: str = "source") -> DataFrame:
     out, bad = hosts, F.lit(False)
     for r in RULES:
         mean = (row[f"f_{r}"] or 0) / n if n else 0.0
-        var = max(0.0, row[f"q_{r}"] / n - mean * mean) if n else 0.0
-        strength = min(1e6, max(1.0, mean * (1 - mean) / var - 1)) if var > 0 else 1e6
+        # Likeness of documents within hosts: squares between hosts, over what one rate gives, less k - 1.
+        one_rate, free = mean * (1 - mean), row["k"] - 1
+        room = n - row["n2"] / n - free if n else 0.0
+        like = ((row[f"q_{r}"] - n * mean * mean) / one_rate - free) / room if one_rate > 0 and room > 0 else 0.0
+        strength = min(1e6, max(1.0, 1 / like - 1)) if like > 0 else 1e6
         a, b = mean * strength, (1 - mean) * strength
         rate, size = (F.col(f"fail_{r}") + F.lit(a)) / (F.col("host_docs") + F.lit(a + b)), F.col("host_docs") + F.lit(a + b)
         out = out.withColumn(f"rate_{r}", rate)
@@ -162,8 +166,10 @@ f AS (
          n_dup_lines > 0 AND 2 * n_dup_lines > n_lines AS f4 FROM m),
 u AS (SELECT source, unnest([1, 2, 3, 4]) AS rule, unnest([f1, f2, f3, f4]) AS x FROM f),
 h AS (SELECT source, rule, count(*) AS n, sum(CAST(x AS INT)) AS k FROM u GROUP BY source, rule),
-q AS (SELECT rule, sum(k) / sum(n) AS mean, greatest(0.0, sum(CAST(k AS DOUBLE) * k / n) / sum(n) - (sum(k) / sum(n)) ^ 2) AS var FROM h GROUP BY rule),
-s AS (SELECT rule, mean, CASE WHEN var > 0 THEN least(1e6, greatest(1.0, mean * (1 - mean) / var - 1)) ELSE 1e6 END AS strength FROM q),
+q AS (SELECT rule, sum(k) / sum(n) AS mean, sum(CAST(k AS DOUBLE) * k / n) - sum(n) * (sum(k) / sum(n)) ^ 2 AS squares, count(*) - 1 AS free,
+        sum(n) - sum(CAST(n AS DOUBLE) * n) / sum(n) - (count(*) - 1) AS room FROM h GROUP BY rule),
+y AS (SELECT rule, mean, CASE WHEN mean * (1 - mean) > 0 AND room > 0 THEN (squares / (mean * (1 - mean)) - free) / room ELSE 0.0 END AS alike FROM q),
+s AS (SELECT rule, mean, CASE WHEN alike > 0 THEN least(1e6, greatest(1.0, 1 / alike - 1)) ELSE 1e6 END AS strength FROM y),
 b AS (SELECT h.source, (k + mean * strength) / (n + strength) AS rate, n + strength + 1 AS size, greatest(0.25, least(0.5, 3 * mean)) AS bound FROM h JOIN s USING (rule)),
 v AS (SELECT source, bool_or(rate - 2 * sqrt(rate * (1 - rate) / size) > bound) AS bad FROM b GROUP BY source)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, f1 OR f2 AS base_failed, NOT (f1 OR f2) AND NOT bad AS kept
