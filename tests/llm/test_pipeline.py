@@ -74,8 +74,8 @@ def test_odd_rows_through_the_stages(spark):
     for extra in ("kept", "component_id", "rejected", "n_hit", "contaminated", "_text", "key", "id", "cross_entropy"):
         docs = docs.withColumn(extra, F.lit("x"))
     for name, step in cp.STAGES[:-1]:
-        before, docs = docs.schema, cp.stage(step(spark, docs, SF), name)
-        assert docs.schema == before and "x" == (docs.select("kept").first() or ["x"])[0], name
+        before, docs = docs.dtypes, cp.stage(step(spark, docs, SF), name)
+        assert docs.dtypes == before and "x" == (docs.select("kept").first() or ["x"])[0], name
     assert docs.count() > 5
     assert cp.STAGES[-1][1](spark, docs, SF).count() > 5
 
