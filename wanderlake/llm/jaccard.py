@@ -28,7 +28,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -381,24 +381,32 @@ def _found(rows: DataFrame, table: DataFrame, key: str, own: str, often: str, ho
 
 
 def bucket_rows(entries: DataFrame, hot: int, small: int, slots: int = 1 << 18) -> DataFrame:
-    """token, id, df, weight: the entries of each distinct bucket of two or more; ``weight`` shingles have these entries.
+    """token, id, n, df, weight: the entries of each distinct bucket of two or more; ``weight`` shingles have these entries.
 
     Most shingles are one entry's alone. A bitmap of those that are not, of ``slots`` rows of 64 bits however many there are, keeps the
     rows of most others out of the join.
     """
-    rows = entries.select("id", F.explode("shingles").alias("token"))
+    rows = entries.select("id", "n", F.explode("shingles").alias("token"))
     shared = stage(rows.groupBy("token").agg(F.count(F.lit(1)).alias("df")).filter("df > 1"), "shared")
     slot, bit = f"token & {slots - 1}L", "shiftleft(1L, cast(shiftrightunsigned(token, 40) & 63 as int))"
     bits = stage(shared.groupBy(F.expr(slot).alias("slot")).agg(F.expr(f"bit_or({bit})").alias("bits")), "bits")
-    likely = rows.join(F.broadcast(bits), F.expr(slot) == F.col("slot")).filter(f"bits & {bit} != 0").select("id", "token")
+    likely = rows.join(F.broadcast(bits), F.expr(slot) == F.col("slot")).filter(f"bits & {bit} != 0").select("id", "n", "token")
     meets = stage(_found(likely, shared, "token", "id", "df", hot, small, True), "meets")
     same = meets.groupBy("token", "df").agg(F.bit_xor(F.xxhash64("id")).alias("h"), F.bit_xor(F.xxhash64("id", F.lit(7))).alias("g"))
     same = stage(same.groupBy("df", "h", "g").agg(F.min("token").alias("token"), F.count(F.lit(1)).alias("weight")).select("token", "df", "weight"), "buckets")
-    out = stage(_found(meets.select("id", "token"), same, "token", "id", "df", hot, small, True).select("token", "id", "df", "weight"), "members")
+    out = stage(_found(meets.select("id", "n", "token"), same, "token", "id", "df", hot, small, True).select("token", "id", "n", "df", "weight"), "members")
     discard(shared, bits, meets, same)
     return out
 
 
+def within_reach(few: DataFrame, percent: int) -> DataFrame:
+    """The rows of small buckets, without entries whose size is out of reach of both neighbours in size: a tree has no
+    partner for these, so their bitmaps need not be dealt."""
+    by_size = Window.partitionBy("token").orderBy("n", "id")
+    near = (100 * F.lag("n").over(by_size) >= percent * F.col("n")) | (100 * F.col("n") >= percent * F.lead("n").over(by_size))
+    return few.withColumn("_near", near).filter("_near").drop("_near")
+
+
 def _verified(pairs: DataFrame, entries: DataFrame, docs: DataFrame, key: str, text: str, size: int, percent: int, small: int = 200_000) -> DataFrame:
     """pairs with ``linked``: whether the whole sets reach the threshold. Only the texts of candidates are hashed again."""
     ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
@@ -439,16 +447,16 @@ def near_duplicate_classes(docs: DataFrame, key: str = "doc_id", text: str = "te
     extra = F.broadcast(extra) if extra.count() <= small else extra
     entries = made.filter("bitmap is not null").join(extra, "id", "left_anti").select("id", "key", "digest", "n", "shingles", "bitmap")
     members = bucket_rows(entries, hot, small)
-    few = members.filter(F.col("df") <= leaf)
+    few = stage(within_reach(members.filter(F.col("df") <= leaf), percent), "few")
     rows = few.withColumn("label", F.col("id")).withColumns({c: F.lit(0) for c in ("x", "y", "own")})
-    close = tree_pairs(rows.join(_of(entries, few, small).select("id", "n", "bitmap"), "id"), percent, False)
+    close = tree_pairs(rows.join(_of(entries, few, small).select("id", "bitmap"), "id"), percent, False)
     close = stage(close.groupBy("a", "b").agg(F.sum("met").alias("met")).filter(F.col("met") >= SHARED).select("a", "b"), "close")
     many = members.filter(F.col("df") > leaf).drop("weight")
-    rows = many.withColumn("label", F.col("id")).join(_of(entries, many, small).select("id", "n", "bitmap"), "id")
+    rows = many.withColumn("label", F.col("id")).join(_of(entries, many, small).select("id", "bitmap"), "id")
     rows = _blocks(rows, block, percent)
     pairs = stage(tree_pairs(rows, percent, True), "pairs")
     close = stage(close.union(pairs.filter("b is not null").select("a", "b")).distinct(), "close")
-    discard(members)
+    discard(members, few)
     tried = _verified(close, entries, docs, key, text, size, percent)
     links = tried.filter("linked").select("a", "b")
     roots = components(links)
