@@ -89,12 +89,12 @@ def prefix_length(n: int, percent: int) -> int:
 
 
 def _width(n: np.ndarray) -> np.ndarray:
-    """Bits of the bitmap of a set of n: the next power of two from 1.5 n on, 64 to 65536.
+    """Bits of the bitmap of a set of n: the next power of two from 3 n on, 64 to 65536.
 
-    The more bits, the fewer shingles share one, and the closer the possible overlap is to the true one; but
-    bitmaps are most of what is shuffled, and unrelated sets stay far below the threshold with 1.5 bits a shingle.
+    The more bits, the fewer shingles share one, and the closer the possible overlap is to the true one. With half of these
+    bits, a group of near copies that verified links leave in several classes has a square of pairs to verify.
     """
-    return 1 << np.clip(np.ceil(np.log2(1.5 * np.maximum(n, 1))), 6, 16).astype(np.int64)
+    return 1 << np.clip(np.ceil(np.log2(3 * np.maximum(n, 1))), 6, 16).astype(np.int64)
 
 
 def _bitmap(values: np.ndarray) -> bytes:
