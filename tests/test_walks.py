@@ -271,6 +271,31 @@ def test_laws_from_triangles_by_enumeration(spark, directed):
         assert got.keys() == law_.keys() and all(math.isclose(got[k], law_[k]) for k in law_)
 
 
+def test_law_and_triangles_in_many_pieces(spark, monkeypatch):
+    """Lists of a few arcs, tasks of a few edges and a few pairs at a time give the rows that whole ones give."""
+    rng = np.random.default_rng(5)
+    pairs = [(int(a), int(b)) for a, b in rng.integers(0, 25, (150, 2))] + [(0, i) for i in range(1, 25)]
+    graph = graph_of(spark, pairs, directed=False)
+    monkeypatch.setattr(triangles, "LIST", 4)
+    monkeypatch.setattr(triangles, "EDGES", 25)
+    monkeypatch.setattr(triangles, "PAIRS", 7)
+    want = law(pairs, 0.5, 4.0)
+    got = {(r.prev, r.cur, r.next): r.prob for r in triangles.second_order_law(graph.arcs, 0.5, 4.0).collect()}
+    assert got.keys() == want.keys() and all(math.isclose(got[k], want[k]) for k in want)
+    near = {v: {b for a, b in [*pairs, *((b, a) for a, b in pairs)] if a == v} - {v} for v in range(25)}
+    found = [frozenset(r[:3]) for r in triangles.triangles(graph.weights).collect()]
+    assert len(set(found)) == len(found) and set(found) == {frozenset((a, b, c)) for a in near for b in near[a] for c in near[a] & near[b]}
+
+
+def test_pairs_of_arcs_are_made_behind_all_shuffles(spark):
+    """The law's degree-squared rows are laid out last, and triangles' pairs of edges are never rows."""
+    graph = graph_of(spark, TAIL)
+    law_plan = triangles.second_order_law(graph.arcs, 0.5, 2.0)._jdf.queryExecution().optimizedPlan().toString()
+    assert 0 < law_plan.find("Generate inline") < law_plan.find("Join")
+    plan = triangles.triangles(graph.weights)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan
+
+
 def test_a_star_makes_no_pairs_of_its_arcs(spark):
     """Edges go out from the leaves, so a hub of any size has none to pair."""
     graph = graph_of(spark, [(0, i) for i in range(1, 2000)] + [(1, 2)])

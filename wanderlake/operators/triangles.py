@@ -6,9 +6,13 @@ pairs of those number E^1.5 at most, hubs or not.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 from itertools import permutations
+from math import ceil, sqrt
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,6 +20,11 @@ from ..plans.joins import spread_join
 from ..plans.staging import stage
 from .graph import weighted_arcs
 
+#: Edges of a task that looks for triangles, about; pairs of them that it makes at a time.
+EDGES, PAIRS = 3_000_000, 2_000_000
+#: Arcs of a list of the second-order law.
+LIST = 512
+
 
 def oriented_edges(weights: DataFrame) -> DataFrame:
     """lo, hi, hi_size, up, down: an edge between two vertices, the one with fewer neighbours (then the smaller name) first, with
@@ -30,14 +39,103 @@ def oriented_edges(weights: DataFrame) -> DataFrame:
     return edges.select(pick("b", "a", "lo"), pick("a", "b", "hi"), pick("a_size", "b_size", "hi_size"), pick("ba", "ab", "up"), pick("ab", "ba", "down"))
 
 
+def _deal(edges: DataFrame) -> DataFrame:
+    """Edges with ``i, j, k``, the three vertex groups of a task: each edge goes to those tasks whose groups hold both of its ends.
+
+    Of n groups of vertices an edge reaches n tasks, of which n (n + 1) (n + 2) / 6 hold ``EDGES`` edges or so each: what is shuffled
+    is n rows an edge, and n grows as the square root of the edges, where the pairs of edges at a vertex are many times as many.
+    """
+    n = max(4, ceil(sqrt(6 * edges.count() / EDGES)))
+    group = lambda c: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    third = F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    dealt = edges.withColumn("_g", F.array(group("lo"), group("hi"))).withColumn("_x", third)
+    dealt = dealt.withColumn("_g", F.array_sort(F.concat("_g", F.array("_x"))))
+    return dealt.select(*[F.col("_g")[at].alias(c) for at, c in enumerate("ijk")], "lo", "hi", "hi_size", "up", "down", group("lo").alias("lo_group"), group("hi").alias("hi_group"))
+
+
+def _meetings(part: pa.Table) -> Iterator[tuple[np.ndarray, ...]]:
+    """Of a task's edges those three (as places: a to b, a to c, b to c) that make a triangle of one vertex of each of its groups.
+
+    Vertices are numbered by (size, name), the order in which edges point; a source's pairs are made ``PAIRS`` or so at a time.
+    """
+    lo, hi, size = (part.column(c).to_numpy() for c in ("lo", "hi", "hi_size"))
+    wanted = np.array([part.column(c)[0].as_py() for c in "ijk"])
+    # A digit to base four for each of the groups counts how many vertices are of it.
+    digit = np.zeros(wanted.max() + 1, np.int64)
+    digit[np.unique(wanted)] = 4 ** np.arange(len(np.unique(wanted)))
+    # A vertex that is the lower end of all its edges has no size here; it is never b or c of a pair, so any number will do.
+    names, place = np.unique(np.concatenate([hi, lo]), return_inverse=True)
+    sizes = np.zeros(len(names), np.int64)
+    sizes[place[: len(hi)]] = size
+    number = np.empty(len(names), np.int64)
+    number[np.lexsort((names, sizes))] = np.arange(len(names))
+    src, dst = number[place[len(hi) :]], number[place[: len(hi)]]
+    group = np.empty(len(names), np.int64)
+    group[src], group[dst] = digit[part.column("lo_group").to_numpy()], digit[part.column("hi_group").to_numpy()]
+    order = np.lexsort((dst, src))
+    src, dst = src[order], dst[order]
+    keys = src * len(names) + dst
+    # Each edge is the first of a pair with all later edges of its source.
+    last = np.searchsorted(src, src, side="right")
+    count = last - np.arange(len(src)) - 1
+    upto = np.cumsum(count)
+    begin = 0
+    while begin < len(src):
+        end = max(begin + 1, int(np.searchsorted(upto, (upto[begin - 1] if begin else 0) + PAIRS, side="right")))
+        here = count[begin:end]
+        one = np.repeat(np.arange(begin, end), here)
+        two = one + 1 + np.arange(len(one)) - np.repeat(np.cumsum(here) - here, here)
+        right = group[src[one]] + group[dst[one]] + group[dst[two]] == digit[wanted].sum()
+        one, two = one[right], two[right]
+        want = dst[one] * len(names) + dst[two]
+        at = np.minimum(np.searchsorted(keys, want), max(len(keys) - 1, 0))
+        met = keys[at] == want
+        yield order[one[met]], order[two[met]], order[at[met]]
+        begin = end
+
+
 def triangles(weights: DataFrame) -> DataFrame:
     """a, b, c of each triangle once, and the weights ab, ba, ac, ca, bc, cb of its arcs, 0 where there is none."""
+
+    def run(part: pa.Table) -> pa.Table:
+        part = part.combine_chunks()
+        found = [np.concatenate(x) for x in zip(*_meetings(part), strict=True)]
+        column = lambda name, at: part.column(name).take(pa.array(at)).combine_chunks()
+        one, two, three = found
+        cols = [column("lo", one), column("hi", one), column("hi", two)]
+        cols += [column(x, at) for at in (one, two, three) for x in ("up", "down")]
+        return pa.Table.from_arrays(cols, names=["a", "b", "c", "ab", "ba", "ac", "ca", "bc", "cb"])
+
     edges = stage(oriented_edges(weights), "oriented")
-    one = edges.select(F.col("lo").alias("a"), F.col("hi").alias("b"), F.col("hi_size").alias("b_size"), F.col("up").alias("ab"), F.col("down").alias("ba"))
-    two = edges.select(F.col("lo").alias("a"), F.col("hi").alias("c"), F.col("hi_size").alias("c_size"), F.col("up").alias("ac"), F.col("down").alias("ca"))
-    last = edges.select(F.col("lo").alias("b"), F.col("hi").alias("c"), F.col("up").alias("bc"), F.col("down").alias("cb"))
-    pairs = one.join(two, "a").filter("b_size < c_size or (b_size = c_size and b < c)").drop("b_size", "c_size")
-    return pairs.join(last, ["b", "c"]).select("a", "b", "c", "ab", "ba", "ac", "ca", "bc", "cb")
+    return _deal(edges).groupBy("i", "j", "k").applyInArrow(run, "a long, b long, c long, ab long, ba long, ac long, ca long, bc long, cb long")
+
+
+def common_weights(weights: DataFrame) -> DataFrame:
+    """prev, cur, w_common: the weight of cur's arcs to other vertices that prev leads to as well, where there are any; prev leads to cur and is not cur.
+
+    Triangles are added up by edge in the tasks that find them, and never are rows.
+    """
+
+    def run(part: pa.Table) -> pa.Table:
+        part = part.combine_chunks()
+        up, down = (part.column(c).to_numpy() for c in ("up", "down"))
+        there, back = np.zeros(len(up), np.int64), np.zeros(len(up), np.int64)
+        for ab, ac, bc in _meetings(part):
+            # An edge, and the arcs of its lower and of its higher end to the third vertex.
+            for at, low, high in ((ab, up[ac], up[bc]), (ac, up[ab], down[bc]), (bc, down[ab], down[ac])):
+                there += np.bincount(at, np.where(low > 0, high, 0), len(up)).astype(np.int64)
+                back += np.bincount(at, np.where(high > 0, low, 0), len(up)).astype(np.int64)
+        some = np.flatnonzero((there > 0) | (back > 0))
+        take = lambda name: part.column(name).take(pa.array(some)).combine_chunks()
+        return pa.Table.from_arrays([take("lo"), take("hi"), pa.array(np.where(up > 0, there, 0)[some]), pa.array(np.where(down > 0, back, 0)[some])], names=["lo", "hi", "there", "back"])
+
+    edges = stage(oriented_edges(weights), "oriented")
+    found = _deal(edges).groupBy("i", "j", "k").applyInArrow(run, "lo long, hi long, there long, back long")
+    sums = found.groupBy("lo", "hi").agg(F.sum("there").alias("there"), F.sum("back").alias("back"))
+    ways = F.array(F.struct(F.col("lo").alias("prev"), F.col("hi").alias("cur"), F.col("there").alias("w_common")), F.struct(F.col("hi").alias("prev"), F.col("lo").alias("cur"), F.col("back").alias("w_common")))
+    found = sums.select(F.explode(ways).alias("w")).select("w.*").filter("w_common > 0")
+    both = found.unionByName(_looped(weights).select("prev", "cur", F.col("weight").alias("w_common")))
+    return both.groupBy("prev", "cur").agg(F.sum("w_common").alias("w_common"))
 
 
 def common_neighbours(weights: DataFrame) -> DataFrame:
@@ -45,14 +143,17 @@ def common_neighbours(weights: DataFrame) -> DataFrame:
     found = stage(triangles(weights), "triangles")
     ways = [F.struct(F.col(x).alias("prev"), F.col(y).alias("cur"), F.col(z).alias("next"), F.col(x + y).alias("_1"), F.col(x + z).alias("_2"), F.col(y + z).alias("weight")) for x, y, z in permutations("abc")]
     found = found.select(F.explode(F.array(*ways)).alias("t")).filter("t._1 > 0 and t._2 > 0 and t.weight > 0").select("t.prev", "t.cur", "t.next", "t.weight")
+    return found.unionByName(_looped(weights).select("prev", "cur", F.col("cur").alias("next"), "weight"))
+
+
+def _looped(weights: DataFrame) -> DataFrame:
+    """prev, cur, weight (of cur's loop): who comes from elsewhere to a vertex with a loop has that vertex itself for a common neighbour."""
     loops = weights.filter("src = dst").select(F.col("src").alias("cur"), "weight")
-    # Who comes from elsewhere to a vertex with a loop has that vertex itself for a common neighbour.
-    looped = spread_join(weights.filter("src != dst").select(F.col("src").alias("prev"), F.col("dst").alias("cur")), loops, ["cur"])
-    return found.unionByName(looped.select("prev", "cur", F.col("cur").alias("next"), "weight"))
+    return spread_join(weights.filter("src != dst").select(F.col("src").alias("prev"), F.col("dst").alias("cur")), loops, ["cur"])
 
 
 def arc_masses(weights: DataFrame, common: DataFrame, p: float, q: float) -> DataFrame:
-    """prev, cur, total (arcs of cur), mass: what all second-order transitions after prev, cur weigh together.
+    """prev, cur, total (arcs of cur), mass: what all second-order transitions after prev, cur weigh together; and what else ``common`` (prev, cur, w_common) has.
 
     W / q + (1/p - 1/q) w_back + (1 - 1/q) w_common; a walker that came along a loop has all but the loop in common.
     """
@@ -60,30 +161,40 @@ def arc_masses(weights: DataFrame, common: DataFrame, p: float, q: float) -> Dat
     totals = stage(weights.groupBy("src").agg(F.sum("weight").alias("total")), "totals")
     arcs = spread_join(weights.select(F.col("src").alias("prev"), F.col("dst").alias("cur"), F.col("weight").alias("here")), totals.withColumnRenamed("src", "cur"), ["cur"])
     arcs = arcs.join(weights.select(F.col("src").alias("cur"), F.col("dst").alias("prev"), F.col("weight").alias("w_back")), ["cur", "prev"], "left")
-    arcs = arcs.join(common.groupBy("prev", "cur").agg(F.sum("weight").alias("w_common")), ["prev", "cur"], "left")
+    arcs = arcs.join(common, ["prev", "cur"], "left")
     w_back = F.coalesce("w_back", F.lit(0))
     w_common = F.when(F.col("prev") == F.col("cur"), F.col("total") - F.col("here")).otherwise(F.coalesce("w_common", F.lit(0)))
     mass = w_back * back + w_common + (F.col("total") - w_back - w_common) * out
-    return arcs.select("prev", "cur", "total", mass.alias("mass"))
+    return arcs.select("prev", "cur", "total", mass.alias("mass"), *[c for c in common.columns if c not in ("prev", "cur", "w_common")])
 
 
 def acceptance(arcs: DataFrame, p: float, q: float) -> DataFrame:
     """prev, cur, accept_prob: how likely one round of rejection moves a walker; from arcs and triangles alone."""
     weights = stage(weighted_arcs(arcs), "weights")
     upper = max(1.0, 1.0 / p, 1.0 / q)
-    found = arc_masses(weights, common_neighbours(weights), p, q)
+    found = arc_masses(weights, common_weights(weights), p, q)
     return found.select("prev", "cur", (F.col("mass") / (F.col("total") * F.lit(upper))).alias("accept_prob"))
 
 
 def second_order_law(arcs: DataFrame, p: float, q: float) -> DataFrame:
-    """prev, cur, next, prob. The rows are all pairs of arcs that meet; only those with a neighbour in common are looked up, and no sum is made over them."""
+    """prev, cur, next, prob. The rows are all pairs of arcs that meet, and are made last: what is shuffled is a row a pair of arc and list.
+
+    cur's arcs lie in lists of about ``LIST``, by a hash of where they lead, so a hub's pairs are made in many tasks. An arc to cur
+    goes to each of these lists with those of its common neighbours that are in it, and there is laid out against the list's arcs.
+    """
     weights = stage(weighted_arcs(arcs), "weights")
-    common = stage(common_neighbours(weights), "common")
-    first = stage(arc_masses(weights, common, p, q), "masses").select("prev", "cur", "mass")
-    second = weights.select(F.col("src").alias("cur"), F.col("dst").alias("next"), "weight")
-    known = common.select("prev", "cur", "next", F.lit(True).alias("_common"))
-    rows = first.join(second, "cur").join(known, ["prev", "cur", "next"], "left")
-    bias = F.when(F.col("next") == F.col("prev"), 1.0 / p).when(F.col("_common") | (F.col("prev") == F.col("cur")), 1.0).otherwise(1.0 / q)
+    common = common_neighbours(weights).groupBy("prev", "cur").agg(F.sum("weight").alias("w_common"), F.collect_list("next").alias("_common"))
+    lists = weights.groupBy(F.col("src").alias("cur")).agg(F.ceil(F.count(F.lit(1)) / LIST).cast("int").alias("_lists"))
+    lists = stage(lists, "lists")
+    of = lambda c: F.pmod(F.xxhash64(c), F.col("_lists")).cast("int")
+    second = spread_join(weights.select(F.col("src").alias("cur"), F.col("dst").alias("next"), "weight"), lists, ["cur"])
+    second = second.groupBy("cur", of("next").alias("_list")).agg(F.collect_list(F.struct("next", "weight")).alias("_arcs"))
+    first = spread_join(stage(arc_masses(weights, common, p, q), "masses"), lists, ["cur"])
+    first = first.withColumn("_list", F.explode(F.sequence(F.lit(0), F.col("_lists") - 1)))
+    here = F.when(F.col("_lists") == 1, F.col("_common")).otherwise(F.filter("_common", lambda x: of(x) == F.col("_list")))
+    first = first.select("prev", "cur", "_list", "mass", F.coalesce(here, F.array().cast("array<bigint>")).alias("_common"))
+    rows = first.join(second, ["cur", "_list"]).select("prev", "cur", "mass", "_common", F.inline("_arcs"))
+    bias = F.when(F.col("next") == F.col("prev"), 1.0 / p).when((F.col("prev") == F.col("cur")) | F.array_contains("_common", F.col("next")), 1.0).otherwise(1.0 / q)
     return rows.select("prev", "cur", "next", (F.col("weight") * bias / F.col("mass")).alias("prob"))
 
 
