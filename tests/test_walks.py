@@ -6,7 +6,7 @@ import pytest
 
 from wanderlake.functions.draws import RANGE, draw, draw_values
 from wanderlake.operators import generators, kernel, packed, triangles, validate, walks
-from wanderlake.operators.graph import Graph
+from wanderlake.operators.graph import Graph, Reached
 from wanderlake.plans.layout import walk_metrics
 from wanderlake.plans.strategy import WalkEngine
 
@@ -216,6 +216,22 @@ def test_all_strategies_give_the_same_rows(spark):
     assert taken(WalkEngine(graph, limit=10, seed=4).deepwalk(9, walkers=30)) == rows[0]
 
 
+def test_few_walkers_look_at_their_own_lists_only(spark, monkeypatch):
+    """Walks of few walkers are those of all ways, at sinks too, and a graph that the kernel can't hold is walked."""
+    pairs = [(i % 9, (i * i + 1) % 9) for i in range(40)]
+    graph, sinks = graph_of(spark, pairs), graph_of(spark, [(0, 1), (1, 2), (1, 0), (2, 3)], directed=True, on_sink="stop")
+    want = [taken(kernel.kernel_walks(graph, 12, 5, 4)), taken(kernel.kernel_walks(graph, 12, 5, 4, 3.0, 0.25)), taken(kernel.kernel_walks(sinks, 12, 5, 4))]
+    monkeypatch.setattr(walks, "MANY", 1)
+    graph, sinks = graph_of(spark, pairs), graph_of(spark, [(0, 1), (1, 2), (1, 0), (2, 3)], directed=True, on_sink="stop")
+    engine = WalkEngine(graph, limit=10, seed=4)
+    got = [taken(engine.deepwalk(5, walkers=12)), taken(engine.node2vec(5, 3.0, 0.25, walkers=12)), taken(walks.deepwalk(sinks, 12, 5, 4))]
+    assert got == want
+    assert not {"slots", "steps", "weights", "starts"} & set(graph.__dict__)  # no table of all arcs was made
+    assert Reached(graph, spark.createDataFrame([(3,)], "vertex long")).slots.filter("src != 3").count() == 0
+    with pytest.raises(Exception, match="without arcs"):
+        walks.deepwalk(graph_of(spark, [(0, 1)], directed=True), 12, 5, 2).collect()
+
+
 @pytest.mark.parametrize("p,q", [(0.01, 100.0), (0.5, 2.0), (2.0, 0.5), (3.0, 1.0)])
 def test_drawn_slots_are_those_of_all_arcs(spark, p, q):
     """The slot drawn from breakpoints alone is the one that sums over all arcs give, for every arc walked and many draws."""

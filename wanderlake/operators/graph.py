@@ -161,6 +161,11 @@ class Graph:
         named = self.names.join(degrees(self.arcs).withColumnRenamed("src", "name"), "name", "left").select("name", F.coalesce("degree", F.lit(0)).alias("degree"))
         return stage(ordered_index(named, F.col("name"), name="start"), "starts")
 
+    @cached_property
+    def numbered(self) -> DataFrame:
+        """start, name: as in ``starts``, without degrees."""
+        return stage(ordered_index(self.names, F.col("name"), name="start"), "numbered")
+
     @cached_property
     def ends(self) -> DataFrame:
         """name, degree of every vertex."""
@@ -191,7 +196,37 @@ class Graph:
         """src, dst of the distinct arcs."""
         return self.weights.select("src", "dst")
 
+    @cached_property
+    def arc_count(self) -> int:
+        """Arcs."""
+        return self.edges.count() * (1 if self.directed else 2)
+
     @cached_property
     def counts(self) -> tuple[int, int]:
         """Vertices and arcs."""
-        return self.names.count(), self.edges.count() * (1 if self.directed else 2)
+        return self.names.count(), self.arc_count
+
+
+class Reached(Graph):
+    """The lists of a few vertices ``at`` (vertex) of a graph: what a step from there needs to know, found by one pass over the edges.
+
+    Slots have the numbers that they have in the whole graph. Where they lead to is not looked at, so they don't tell its degree.
+    """
+
+    def __init__(self, graph: Graph, at: DataFrame):
+        super().__init__(graph.edges, graph.directed, graph.on_sink)
+        self._all, self._at = graph.arcs, at
+
+    @cached_property
+    def arcs(self) -> DataFrame:
+        return stage(self._all.join(F.broadcast(self._at.select(F.col("vertex").alias("src"))), "src", "left_semi").select("edge_idx", "side", "src", "dst"), "reached")
+
+    @cached_property
+    def steps(self) -> DataFrame:
+        """src, k, dst, dst_degree (null)."""
+        return self.slots.withColumn("dst_degree", F.lit(None).cast("long"))
+
+    @cached_property
+    def degrees(self) -> DataFrame:
+        """src, degree of those that have arcs."""
+        return degrees(self.slots)

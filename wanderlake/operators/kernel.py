@@ -9,6 +9,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -20,25 +21,42 @@ LIMIT = 256 << 20
 
 
 def kernel_bytes(graph: Graph) -> int:
-    """Bytes that the driver holds to pack the adjacency: 32 per vertex, 48 per arc (of which 16 and 8 are sent)."""
+    """Bytes that the driver holds to pack the adjacency: 32 per vertex, 16 per arc (of which 16 and 4 are sent)."""
     vertices, arcs = graph.counts
-    return 32 * vertices + 48 * arcs
+    return 32 * vertices + 16 * arcs
 
 
 def fits(graph: Graph, limit: int = LIMIT) -> bool:
     """Whether the kernel may be used."""
-    return kernel_bytes(graph) <= limit
+    return 16 * graph.arc_count <= limit and kernel_bytes(graph) <= limit
 
 
 def packed_adjacency(graph: Graph, limit: int = LIMIT) -> dict[str, np.ndarray]:
-    """Sorted names, row offsets and neighbours (as places among the names) of a graph within ``limit``."""
+    """Sorted names, row offsets and neighbours (as places among the names) of a graph within ``limit``.
+
+    Tasks sort the arcs and turn names into places; the driver puts what they packed one behind the other.
+    """
     if not fits(graph, limit):
         raise ValueError("the adjacency exceeds what is broadcast; walk by joins")
-    names = np.sort(np.array([r["name"] for r in graph.names.toLocalIterator()], np.int64))
-    pairs = graph.arcs.select("src", "dst").toArrow()
-    src, dst = (np.searchsorted(names, pairs.column(c).to_numpy()) for c in ("src", "dst"))
-    order = np.lexsort((dst, src))
-    return {"names": names, "offsets": np.concatenate([[0], np.cumsum(np.bincount(src, minlength=len(names)))]), "to": dst[order]}
+    names = np.sort(graph.names.toArrow().column(0).to_numpy())
+    sent = graph.edges.sparkSession.sparkContext.broadcast(names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part = TaskContext.get().partitionId()
+        for at, batch in enumerate(batches):
+            src, dst = (np.searchsorted(sent.value, c.to_numpy()).astype("<i4") for c in batch.columns)
+            ends, count = np.unique(src, return_counts=True)
+            packed = [pa.array([x.astype("<i4").tobytes()], pa.binary()) for x in (ends, count, dst)]
+            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([at], pa.int32()), *packed], names=["part", "at", "ends", "count", "to"])
+
+    found = graph.arcs.select("src", "dst").orderBy("src", "dst").mapInArrow(run, "part int, at int, ends binary, count binary, to binary").toArrow()
+    degree, to, filled = np.zeros(len(names), np.int64), np.empty(graph.arc_count, "<i4"), 0
+    for i in np.lexsort((found.column("at").to_numpy(), found.column("part").to_numpy())).tolist():
+        ends, count, here = (np.frombuffer(found.column(c)[i].as_buffer(), "<i4") for c in ("ends", "count", "to"))
+        degree[ends] += count
+        to[filled : filled + len(here)] = here
+        filled += len(here)
+    return {"names": names, "offsets": np.concatenate([[0], np.cumsum(degree)]), "to": to}
 
 
 class _Walker:
@@ -55,7 +73,7 @@ class _Walker:
         return draw_values(self.seed, self.ids[which], step, salt)
 
     def has_arc(self, src: np.ndarray, dst: np.ndarray) -> np.ndarray:
-        want = src * len(self.names) + dst
+        want = src.astype(np.int64) * len(self.names) + dst
         at = np.minimum(np.searchsorted(self.keys, want), len(self.keys) - 1)
         return self.keys[at] == want
 
@@ -88,7 +106,11 @@ class _Walker:
 def kernel_walks(graph: Graph, walkers: int, length: int, seed: int = 1, p: float | None = None, q: float | None = None, rounds: int = 3, limit: int = LIMIT, first: int = 0) -> DataFrame:
     """walker_id (from ``first`` on), step, vertex: uniform walks, or second-order ones where p and q are given."""
     spark = graph.edges.sparkSession
-    sent = spark.sparkContext.broadcast(packed_adjacency(graph, limit))
+    if not fits(graph, limit):
+        raise ValueError("the adjacency exceeds what is broadcast; walk by joins")
+    if "_sent" not in graph.__dict__:  # once for any number of walks
+        graph.__dict__["_sent"] = spark.sparkContext.broadcast(packed_adjacency(graph, limit))
+    sent = graph.__dict__["_sent"]
     stop = graph.on_sink == "stop"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -4,11 +4,14 @@ Draws depend on seed, walker and step alone, so partitioning, retries and strate
 step joins walkers to slots on (vertex, slot number): keys are spread even where many walkers stand on
 one hub, and a hub's list is many rows. Slots stay hash-partitioned by that key, so that only walkers
 are shuffled; every ``every`` steps what was walked is written and the plan starts anew.
+
+Few walkers on a large graph touch little of it: then a step takes the lists of the vertices they stand on out of the edges, numbers
+the slots of those alone, and joins as above.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -16,9 +19,11 @@ from pyspark.sql import functions as F
 
 from ..functions.draws import draw, draw_unit
 from ..plans.staging import discard, stage
-from .graph import Graph, weighted_arcs
+from .graph import Graph, Reached, weighted_arcs
 from .triangles import acceptance, drawn_slots, second_order_law  # noqa: F401
 
+#: Walkers that are few, and arcs of a graph that is large for them.
+FEW, MANY = 10_000, 2_000_000
 _PATH = "array<struct<step:int,vertex:bigint>>"
 
 
@@ -36,6 +41,11 @@ def start_walkers(graph: Graph, walkers: int, seed: int, first: int = 0, starts:
     return drawn.join(starts, "start").drop("start").withColumnRenamed("name", "vertex")
 
 
+def are_few(graph: Graph, walkers: int) -> bool:
+    """Whether walkers are so few for a graph that only the lists they come to are looked at."""
+    return walkers <= FEW and graph.arc_count >= MANY
+
+
 def _slot_number(graph: Graph, drawn: Column) -> Column:
     """The slot a walker takes; at a sink an error, or a number no slot has (its own, so that such rows stay spread)."""
     if graph.on_sink == "error":
@@ -107,17 +117,22 @@ def step_second_order(here: DataFrame, graph: Graph, seed: int, p: float, q: flo
     return _moved(late), now
 
 
-def _walk(graph: Graph, walkers: int, length: int, seed: int, every: int, move: Callable[[DataFrame, int], tuple[DataFrame, DataFrame | None]], walker: int = 0) -> DataFrame:
+def _walk(graph: Graph, walkers: int, length: int, seed: int, every: int, move: Callable[[DataFrame, Graph, int], tuple[DataFrame, DataFrame | None]], walker: int = 0) -> DataFrame:
     """walker_id, step, vertex. Within a round the path rides along; between rounds only the position does."""
     if length < 1:
         raise ValueError("length counts vertices: at least 1")
     none = F.lit(None).cast("long")
-    here = stage(start_walkers(graph, walkers, seed, walker).select("walker_id", F.lit(0).cast("long").alias("step"), none.alias("prev"), none.alias("prev_degree"), "vertex", "degree"), "walkers")
+    few = are_few(graph, walkers)
+    # Degrees of few walkers' vertices are counted as they come to them.
+    starts = graph.numbered.withColumn("degree", F.lit(0).cast("long")) if few else None
+    here = stage(start_walkers(graph, walkers, seed, walker, starts).select("walker_id", F.lit(0).cast("long").alias("step"), none.alias("prev"), none.alias("prev_degree"), "vertex", "degree"), "walkers")
     parts = [here.select("walker_id", F.lit(0).alias("step"), "vertex")]
+    if few:
+        return reduce(DataFrame.unionByName, [*parts, *_few_steps(graph, here, length, move)])
     for first in range(1, length, every):
         here, used = here.withColumn("path", F.array().cast(_PATH)), []
         for step in range(first, min(first + every, length)):
-            here, left = move(here, step)
+            here, left = move(here, graph, step)
             used += [left] if left is not None else []
         here = stage(here, "walkers")
         discard(*used)
@@ -126,9 +141,22 @@ def _walk(graph: Graph, walkers: int, length: int, seed: int, every: int, move:
     return reduce(DataFrame.unionByName, parts)
 
 
+def _few_steps(graph: Graph, here: DataFrame, length: int, move: Callable[[DataFrame, Graph, int], tuple[DataFrame, DataFrame | None]]) -> Iterator[DataFrame]:
+    """walker_id, step, vertex of each step of few walkers: a pass over the edges finds the lists of where they are and come from."""
+    for step in range(1, length):
+        near = Reached(graph, here.select(F.explode(F.array("prev", "vertex")).alias("vertex")).filter("vertex is not null").distinct())
+        found = here.drop("degree").join(near.degrees.withColumnRenamed("src", "vertex"), "vertex", "left")
+        found = found.withColumns({"degree": F.coalesce("degree", F.lit(0)), "path": F.array().cast(_PATH)})
+        moved, left = move(found, near, step)
+        here = stage(moved, "walkers")
+        discard(near.arcs, near.slots, *([] if left is None else [left]))
+        yield here.select("walker_id", F.explode("path").alias("p")).select("walker_id", "p.step", "p.vertex")
+        here = here.drop("path")
+
+
 def deepwalk(graph: Graph, walkers: int, length: int, seed: int = 1, every: int = 8, first: int = 0) -> DataFrame:
     """walker_id (from ``first`` on), step, vertex: uniform walks of ``length`` vertices (fewer where one stops at a sink)."""
-    return _walk(graph, walkers, length, seed, every, lambda here, step: (step_uniform(here, graph, seed), None), first)
+    return _walk(graph, walkers, length, seed, every, lambda here, at, step: (step_uniform(here, at, seed), None), first)
 
 
 def node2vec(graph: Graph, walkers: int, length: int, p: float, q: float, seed: int = 1, rounds: int = 3, every: int = 4, first: int = 0) -> DataFrame:
@@ -136,8 +164,8 @@ def node2vec(graph: Graph, walkers: int, length: int, p: float, q: float, seed:
     if not (p > 0 and q > 0):
         raise ValueError("p and q: above 0")
 
-    def move(here: DataFrame, step: int) -> tuple[DataFrame, DataFrame | None]:
-        return (step_uniform(here, graph, seed), None) if step == 1 else step_second_order(here, graph, seed, p, q, rounds)
+    def move(here: DataFrame, at: Graph, step: int) -> tuple[DataFrame, DataFrame | None]:
+        return (step_uniform(here, at, seed), None) if step == 1 else step_second_order(here, at, seed, p, q, rounds)
 
     return _walk(graph, walkers, length, seed, every, move, first)
 

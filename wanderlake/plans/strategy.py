@@ -14,7 +14,7 @@ from ..operators.graph import Graph
 from ..operators.kernel import LIMIT, fits, kernel_walks
 from ..operators.packed import packed_graph, packed_walks
 from ..operators.triangles import second_order_law
-from ..operators.walks import deepwalk, node2vec
+from ..operators.walks import are_few, deepwalk, node2vec
 from .layout import epoch_plan
 from .staging import discard, file_there, new_path, read_note, stage, stage_bucketed, write_note
 
@@ -25,8 +25,8 @@ class WalkEngine:
     """Walks over a graph, in one of three ways that give the same rows.
 
     ``kernel``: the packed adjacency, if within ``limit`` bytes, is broadcast; ``packed``: lists are dealt out and walkers go to them
-    (uniform walks); ``join``: slots are rows. ``auto``: the kernel where it fits, else packed lists for uniform walks and
-    joins for second-order ones.
+    (uniform walks); ``join``: slots are rows. ``auto``: the kernel where it fits, else packed lists for uniform walks, and
+    joins for second-order ones and for few walkers.
     """
 
     def __init__(self, graph: Graph, strategy: str = "auto", limit: int = LIMIT, seed: int = 1):
@@ -61,7 +61,7 @@ class WalkEngine:
             return kernel_walks(self.graph, walkers, length, self.seed, p, q, limit=self.limit, first=first)
         if p is not None:
             return node2vec(self.graph, walkers, length, p, q, self.seed, first=first)
-        walk = deepwalk if self.strategy == "join" else packed_walks
+        walk = deepwalk if self.strategy == "join" or self.strategy == "auto" and are_few(self.graph, walkers) else packed_walks
         return walk(self.graph, walkers, length, self.seed, first=first)
 
     def deepwalk(self, length: int, walkers: int | None = None, epochs: int | None = None) -> DataFrame:
