@@ -185,3 +185,14 @@ def test_files_in_other_stores_are_read_whole(spark, tmp_path):
     files = spark.read.format("binaryFile").load(str(tmp_path / "x"))
     base = {r["path"]: 2 * k for k, r in enumerate(files.select("path").orderBy("path").collect())}
     assert rows(b._whole(files, base)) == rows(io.read_binary_edges(spark, str(tmp_path / "x"))) == [(i, k) for i in range(3) for k in (1, 2)]
+
+
+def test_binary_parts_stay_small(spark, tmp_path):
+    """A task holds a part whole, so a larger table makes more parts, not larger ones."""
+    edges = spark.range(2_500_000).selectExpr("id as edge_idx", "id as src", "id % 7 as dst")
+    path = str(tmp_path / "parts")
+    io.write_binary_edges(edges, path)
+    sizes = [f.stat().st_size for f in (tmp_path / "parts").glob("part-*")]
+    assert max(sizes) < 12 << 20
+    back = io.read_binary_edges(spark, path)
+    assert back.selectExpr("count(*)", "sum(src)", "max(edge_idx)", "count_if(src != edge_idx or dst != src % 7)").first()[:] == (2_500_000, 2_500_000 * 2_499_999 // 2, 2_499_999, 0)

@@ -59,8 +59,10 @@ def write_text_edges(edges: DataFrame, path: str, header: str | None = None) ->
         edges.sparkSession.createDataFrame([(note,)], "value string").coalesce(1).write.mode("append").text(path)
 
 
-def write_binary_edges(edges: DataFrame, path: str, edges_per_file: int = 16_000_000) -> None:
-    """Packed little-endian unsigned 32-bit pairs in order of edge_idx over the part files, of about ``edges_per_file`` each (128 MB).
+def write_binary_edges(edges: DataFrame, path: str, edges_per_file: int = 1_000_000) -> None:
+    """Packed little-endian unsigned 32-bit pairs in order of edge_idx over the part files, of about ``edges_per_file`` each (8 MB).
+
+    A task holds a few copies of its part, which is why parts are small: a larger table has more of them, not larger ones.
 
     The bytes go through Spark's text writer, so any file system Spark knows will do; each part
     ends in one line feed, a part of a record that readers of the format leave out.
