@@ -232,6 +232,17 @@ def test_few_walkers_look_at_their_own_lists_only(spark, monkeypatch):
         walks.deepwalk(graph_of(spark, [(0, 1)], directed=True), 12, 5, 2).collect()
 
 
+def test_moves_counted_on_paths(spark):
+    """A row a walker gives the counts that a row a step gives, with no window over walkers, and with walks that end."""
+    graph = graph_of(spark, [(0, 1), (1, 2), (1, 0), (2, 3), (0, 1)], directed=True, on_sink="stop")
+    engine = WalkEngine(graph, seed=4)
+    made, rows = engine.paths(12, 5), engine.deepwalk(5, walkers=12)
+    assert {r.walker_id: r.path for r in made.collect()} == {r.walker_id: r.path for r in walks.paths(rows).collect()}
+    counts = validate.path_transition_counts(made, graph.arcs)
+    assert sorted(counts.collect()) == sorted(validate.transition_counts(rows, graph.arcs).collect())
+    assert "Window" not in counts._jdf.queryExecution().optimizedPlan().toString()
+
+
 @pytest.mark.parametrize("p,q", [(0.01, 100.0), (0.5, 2.0), (2.0, 0.5), (3.0, 1.0)])
 def test_drawn_slots_are_those_of_all_arcs(spark, p, q):
     """The slot drawn from breakpoints alone is the one that sums over all arcs give, for every arc walked and many draws."""

@@ -103,8 +103,8 @@ class _Walker:
         return found
 
 
-def kernel_walks(graph: Graph, walkers: int, length: int, seed: int = 1, p: float | None = None, q: float | None = None, rounds: int = 3, limit: int = LIMIT, first: int = 0) -> DataFrame:
-    """walker_id (from ``first`` on), step, vertex: uniform walks, or second-order ones where p and q are given."""
+def kernel_walks(graph: Graph, walkers: int, length: int, seed: int = 1, p: float | None = None, q: float | None = None, rounds: int = 3, limit: int = LIMIT, first: int = 0, paths: bool = False) -> DataFrame:
+    """walker_id (from ``first`` on), step, vertex: uniform walks, or second-order ones where p and q are given; with ``paths`` a row a walker: walker_id, path."""
     spark = graph.edges.sparkSession
     if not fits(graph, limit):
         raise ValueError("the adjacency exceeds what is broadcast; walk by joins")
@@ -130,9 +130,16 @@ def kernel_walks(graph: Graph, walkers: int, length: int, seed: int = 1, p: floa
                 new = w.uniform(alive, cur, step) if p is None or step == 1 else w.second_order(alive, prev, cur, step, p, q, rounds)
                 prev, cur = cur, new
                 rows.append((alive, step, w.names[cur]))
+            if paths:
+                # Walkers end and never come back, so a walker's rows, in order of steps, are its path.
+                at = np.concatenate([a for a, _, _ in rows])
+                order = np.argsort(at, kind="stable")
+                ends = np.concatenate([[0], np.cumsum(np.bincount(at, minlength=len(ids)))]).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([v for _, _, v in rows])[order]))], names=["walker_id", "path"])
+                continue
             yield pa.RecordBatch.from_arrays(
                 [pa.array(np.concatenate([ids[a] for a, _, _ in rows])), pa.array(np.concatenate([np.full(len(a), s, np.int32) for a, s, _ in rows])), pa.array(np.concatenate([v for _, _, v in rows]))],
                 names=["walker_id", "step", "vertex"],
             )
 
-    return spark.range(first, first + walkers).select(F.col("id").alias("walker_id")).mapInArrow(run, "walker_id long, step int, vertex long")
+    return spark.range(first, first + walkers).select(F.col("id").alias("walker_id")).mapInArrow(run, "walker_id long, path array<bigint>" if paths else "walker_id long, step int, vertex long")

@@ -22,6 +22,19 @@ def illegal_transitions(walks: DataFrame, arcs: DataFrame) -> DataFrame:
     return transitions(walks).join(arcs.select("src", "dst").distinct(), ["src", "dst"], "left_anti")
 
 
+def path_transition_counts(paths: DataFrame, arcs: DataFrame) -> DataFrame:
+    """As ``transition_counts``, of walks with a row a walker (``path``): each path is cut into its moves where it is.
+
+    Moves are dealt by (src, dst), as arcs are: nearly all of a task's are different, so that adding them up before would gain nothing.
+    """
+    n = F.size("path") - 1
+    moves = F.arrays_zip(F.slice("path", F.lit(1), n).alias("src"), F.slice("path", F.lit(2), n).alias("dst"))
+    moves = paths.filter(F.size("path") > 1).select(F.inline(moves)).toDF("src", "dst")
+    tasks = int(paths.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    seen = moves.repartition(tasks, "src", "dst").groupBy("src", "dst").agg(F.count(F.lit(1)).alias("observed"))
+    return weighted_arcs(arcs).join(seen, ["src", "dst"], "left").select("src", "dst", "weight", F.coalesce("observed", F.lit(0)).alias("observed"))
+
+
 def transition_counts(walks: DataFrame, arcs: DataFrame) -> DataFrame:
     """src, dst, weight, observed of every distinct arc."""
     seen = transitions(walks).groupBy("src", "dst").agg(F.count(F.lit(1)).alias("observed"))

@@ -14,7 +14,7 @@ from ..operators.graph import Graph
 from ..operators.kernel import LIMIT, fits, kernel_walks
 from ..operators.packed import packed_graph, packed_walks
 from ..operators.triangles import second_order_law
-from ..operators.walks import are_few, deepwalk, node2vec
+from ..operators.walks import are_few, deepwalk, node2vec, paths
 from .layout import epoch_plan
 from .staging import discard, file_there, new_path, read_note, stage, stage_bucketed, write_note
 
@@ -64,6 +64,12 @@ class WalkEngine:
         walk = deepwalk if self.strategy == "join" or self.strategy == "auto" and are_few(self.graph, walkers) else packed_walks
         return walk(self.graph, walkers, length, self.seed, first=first)
 
+    def paths(self, walkers: int, length: int, p: float | None = None, q: float | None = None) -> DataFrame:
+        """walker_id, path: a row a walker, which the kernel makes as such."""
+        if self.uses_kernel:
+            return kernel_walks(self.graph, walkers, length, self.seed, p, q, limit=self.limit, paths=True)
+        return paths(self.walks(walkers, length, p, q))
+
     def deepwalk(self, length: int, walkers: int | None = None, epochs: int | None = None) -> DataFrame:
         """Uniform walks; ``epochs`` means that many walkers per vertex on average, their starts drawn."""
         return self.walks(self._walkers(walkers, epochs), length)
