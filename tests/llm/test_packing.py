@@ -66,3 +66,15 @@ def test_best_fit():
 
 def test_empty(spark):
     assert packing.pack(packing.token_pieces(nothing(spark), VOCABULARY)).count() == 0
+
+
+def test_a_worker_reads_its_vocabulary_once():
+    """Later tasks of a worker have the same table of words; its ids are the tokenizer's own, of texts as bytes."""
+    from tokenizers import Tokenizer
+
+    vocabulary = public_tokenizers.path("word_bpe_49k.json")
+    first = packing.WordIds.of(vocabulary)
+    texts = ["Plain words, Again.", "déjà vu ÉTÉ", "", "tabs\tand\u00a0more 12%"]
+    own = [np.asarray([*Tokenizer.from_file(vocabulary).encode(t, add_special_tokens=False).ids, 0], "<u4").tobytes() for t in texts]
+    assert first.encode([t.encode() for t in texts], b"\0\0\0\0") == own
+    assert packing.WordIds.of(vocabulary) is first and b"again." in first

@@ -40,6 +40,8 @@ class WordIds(dict):
     own pattern and go to its merges directly, all others through the whole tokenizer.
     """
 
+    kept: dict[str, WordIds] = {}
+
     def __init__(self, vocabulary: str, limit: int = 300_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
@@ -73,12 +75,19 @@ class WordIds(dict):
             self[word] = found = self._core(core)
         return found
 
-    def encode(self, texts: list[str | None], end: bytes) -> list[bytes]:
-        """The ids of each text and then ``end``."""
+    @classmethod
+    def of(cls, vocabulary: str) -> WordIds:
+        """This process's table for a vocabulary: a worker's later tasks know the words of its earlier ones."""
+        if vocabulary not in cls.kept:
+            cls.kept[vocabulary] = cls(vocabulary)
+        return cls.kept[vocabulary]
+
+    def encode(self, texts: list[bytes | None], end: bytes) -> list[bytes]:
+        """The ids of each text (in UTF-8) and then ``end``."""
         if len(self) > self.limit:
             self.clear()
         get = self.__getitem__
-        return [b"".join(map(get, (t.lower() if t.isascii() else t).encode().split())) + end if t else end for t in texts]
+        return [b"".join(map(get, (t.lower() if t.isascii() else t).split())) + end if t else end for t in texts]
 
 
 def token_pieces(docs: DataFrame, vocabulary: str, key: str = "doc_id", text: str = "text", capacity: int = 2048, end_id: int = 0, with_ids: bool = False) -> DataFrame:
@@ -92,12 +101,13 @@ def token_pieces(docs: DataFrame, vocabulary: str, key: str = "doc_id", text: st
     end = np.asarray([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = WordIds(vocabulary)
+        cache = WordIds.of(vocabulary)
         for batch in batches:
+            raw = pa.large_binary() if pa.types.is_large_string(batch.column(1).type) else pa.binary()
             for at in range(0, batch.num_rows, 1000):
                 part = batch.slice(at, 1000)
                 row, piece, start, length, crc, ids = [], [], [], [], [], []
-                for i, b in enumerate(cache.encode(part.column(1).to_pylist(), end)):
+                for i, b in enumerate(cache.encode(part.column(1).cast(raw).to_pylist(), end)):
                     for k, s in enumerate(range(0, len(b), 4 * capacity)):
                         p = b[s : s + 4 * capacity]
                         row.append(i)
